@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from notewise.functions.chat import message
 from notewise.functions.text import clean_text, parse_list
 from notewise.plans.prompts import RUN_CONFIG_ROWS, prompt_plan_rows
-from notewise.session import cut_lineage
+from notewise.session import cut_lineage, ship_package
 
 Responder = Callable[[list, dict], list]
 
@@ -82,6 +82,7 @@ def generate(df: DataFrame, fn: Responder, messages: str = "messages",
     (few large input files would otherwise give few model workers).
     """
     settings = dict(settings or {})
+    ship_package(df.sparkSession)
     keep = keep if keep is not None else [c for c in df.columns if c != messages]
     src = df.select(*keep, messages)
     if spread:

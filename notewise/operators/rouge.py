@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from notewise.functions.tokens import multiset_overlap, ngrams, rouge_tokens, sentence_tokens
+from notewise.session import ship_package
 
 METRICS = ("rouge1", "rouge2", "rougeL")
 ALL_METRICS = METRICS + ("rougeLsum",)
@@ -177,6 +178,7 @@ def score_pairs(df: DataFrame, cand: str = "candidate", ref: str = "reference",
     long pairs dominate the LCS kernels.
     """
     keep = keep if keep is not None else [c for c in df.columns if c not in (cand, ref)]
+    ship_package(df.sparkSession)
     if spread:
         df = df.repartition(spread, *keep)
     t = with_tokens(df, cand, ref).select(*keep, "cand_tok", "ref_tok",

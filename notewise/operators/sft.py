@@ -71,12 +71,13 @@ def completion_labels(tokens="tokens", ids=None, marker: str = HDR_END) -> Colum
     response header marker, the token id after it. Without a marker every
     label is ignored. ``ids``: token ids aligned with ``tokens``; by default
     a token's position stands in for its id."""
+    idv = _c(ids) if ids is not None else None
+
     def body(t):
-        last = last_marker_pos(t, marker)
-        idv = _c(ids) if ids is not None else None
-        return F.transform(t, lambda x, i: F.when((last == 0) | (i + 1 <= last),
-                                                  F.lit(LABEL_IGNORE))
-                           .otherwise(F.get(idv, i) if idv is not None else i))
+        # the marker position is bound once per row, not recomputed per token
+        return let(last_marker_pos(t, marker), lambda last: F.transform(
+            t, lambda x, i: F.when((last == 0) | (i + 1 <= last), F.lit(LABEL_IGNORE))
+            .otherwise(F.get(idv, i) if idv is not None else i)))
     return let(_c(tokens), body)
 
 

@@ -24,7 +24,7 @@ from notewise.operators import sft as S
 from notewise.plans import sqlparts as Q
 from notewise.plans.prompts import (EOT, INST_EOS, prompt_plan_rows, run_config,
                                     RUN_CONFIG_ROWS, SYSTEM_COVERAGE)
-from notewise.session import cut_lineage, shared_path
+from notewise.session import cut_lineage, shared_path, ship_package
 from notewise.sources import records as SR
 from notewise.sources import testdata as td
 from notewise.sources.testdata import with_views
@@ -36,7 +36,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -459,7 +463,12 @@ def q_scored_step(spark, sf):
 
 @query("extract_last_message", "SELECT conv_id, arg_max(text, turn) AS content FROM conversations GROUP BY conv_id")
 def q_extract_last_message(spark, sf):
-    return td.chats(spark, sf).select("conv_id", X.extract_last_message("messages").alias("content"))
+    """G4 over stored chats: the last message of each conversation. Taken
+    by an aggregate (max_by turn, partial per task) rather than by building
+    the chat array first, so a very long conversation never sits in one
+    task."""
+    conv = td.table(spark, sf, "conversations")
+    return conv.groupBy("conv_id").agg(F.max_by("text", "turn").alias("content"))
 
 
 DECODED_USER = "r.instruction || ' ' || r.input"

@@ -92,3 +92,36 @@ def cut_lineage(df, spark: SparkSession, name: str, fmt: str = "parquet",
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
     return spark.read.format(fmt).load(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``notewise`` importable in Python workers (the Arrow UDFs and
+    mapInPandas functions live in it): zip the package once per application
+    and hand it to Spark, which copies it to every executor."""
+    import zipfile
+
+    import notewise
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:
+        sc, key = None, id(spark)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(notewise.__file__))
+    out_dir = tempfile.mkdtemp(prefix="notewise-pyfiles-")   # driver-side build artifact
+    zpath = os.path.join(out_dir, "notewise.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    if sc is not None:
+        sc.addPyFile(zpath)
+    else:
+        spark.addArtifacts(zpath, pyfile=True)
+    _SHIPPED.add(key)
