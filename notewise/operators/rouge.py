@@ -46,33 +46,38 @@ def lcs_length(a, b) -> int:
     return n - v.bit_count()
 
 
-def _lcs_ref_indices(ref, can) -> list[int]:
+def _token_masks(seq) -> dict:
+    masks: dict = {}
+    for j, tok in enumerate(seq):
+        masks[tok] = masks.get(tok, 0) | (1 << j)
+    return masks
+
+
+def _lcs_ref_indices(ref, can, masks: dict | None = None) -> list[int]:
     """Indices into ``ref`` of one LCS of ``ref`` and ``can``.
 
     Rows of the DP table are kept as bit vectors over ``can``:
     t[i][j] = j - popcount(V_i & (2^j - 1)). Backtracking from the end takes
     a match when tokens agree, moves left only when t[i][j-1] > t[i-1][j],
-    and up otherwise.
+    and up otherwise. ``masks``: the per-token bit masks of ``can`` when
+    the caller already has them.
     """
     n = len(can)
     if n == 0 or len(ref) == 0:
         return []
-    masks: dict = {}
-    for j, tok in enumerate(can):
-        masks[tok] = masks.get(tok, 0) | (1 << j)
+    if masks is None:
+        masks = _token_masks(can)
     full = (1 << n) - 1
     rows = [full]
     v = full
+    get = masks.get
     for tok in ref:
-        m = masks.get(tok)
+        m = get(tok)
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
         rows.append(v)
 
-    def t(i, j):
-        return j - (rows[i] & ((1 << j) - 1)).bit_count()
-
     out = []
     i, j = len(ref), n
     while i > 0 and j > 0:
@@ -80,10 +85,15 @@ def _lcs_ref_indices(ref, can) -> list[int]:
             out.append(i - 1)
             i -= 1
             j -= 1
-        elif t(i, j - 1) > t(i - 1, j):
-            j -= 1
         else:
-            i -= 1
+            low = (1 << (j - 1)) - 1
+            # t[i][j-1] > t[i-1][j]  <=>  (j-1) - pc(V_i & low) > j - pc(V_{i-1} & (2low+1))
+            left = (j - 1) - (rows[i] & low).bit_count()
+            up = j - (rows[i - 1] & ((low << 1) | 1)).bit_count()
+            if left > up:
+                j -= 1
+            else:
+                i -= 1
     out.reverse()
     return out
 
@@ -93,7 +103,8 @@ def summary_lcs_hits(ref_sents, can_sents) -> tuple[int, int, int]:
 
     For each reference sentence the union of its LCS positions against every
     candidate sentence is taken; a token counts as a hit only while both
-    sides still have an unused copy of it.
+    sides still have an unused copy of it. Candidate masks are built once;
+    a candidate sentence with no token in common adds nothing and is skipped.
     """
     ref_sents = [list(s) for s in ref_sents]
     can_sents = [list(s) for s in can_sents]
@@ -101,13 +112,19 @@ def summary_lcs_hits(ref_sents, can_sents) -> tuple[int, int, int]:
     n = sum(len(s) for s in can_sents)
     if not ref_sents or not can_sents or m == 0 or n == 0:
         return 0, m, n
+    cands = [(c, _token_masks(c)) for c in can_sents if c]
     left_r = Counter(tok for s in ref_sents for tok in s)
     left_c = Counter(tok for s in can_sents for tok in s)
     hits = 0
     for r in ref_sents:
-        union = set()
-        for c in can_sents:
-            union.update(_lcs_ref_indices(r, c))
+        if not r:
+            continue
+        rset = set(r)
+        union: set = set()
+        for c, masks in cands:
+            if rset.isdisjoint(masks):
+                continue
+            union.update(_lcs_ref_indices(r, c, masks))
         for idx in sorted(union):
             tok = r[idx]
             if left_c[tok] > 0 and left_r[tok] > 0:

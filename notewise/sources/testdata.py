@@ -24,6 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that yields fewer splits than the cluster has
+    cores (one big row group is one task), before CPU-heavy per-row work.
+
+    A large input already has many splits and is returned unchanged, so
+    the extra shuffle only ever happens on small inputs.
+    """
+    spark = df.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:           # no RDD access (Spark Connect): leave as is
+        return df
+    return df.repartition(cores, key) if splits < cores else df
+
+
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, messages array<struct<role, content>>) ordered by turn."""
     conv = table(spark, sf_dir, "conversations")
@@ -102,7 +118,8 @@ def split_of(id_col) -> F.Column:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with a split column."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"),
+                    "doc_id")
     return d.withColumn("split", split_of(F.col("doc_id")))
 
 
