@@ -169,7 +169,60 @@ def q_rouge_l(spark, sf):
     return _scored(spark, sf, ("rougeL",)).select(*KEYS, *_prf_cols("rougeL"))
 
 
-@query("rouge_lsum")
+# Summary-level LCS in SQL: per sentence pair a DP table (rows by recursion),
+# the backtrack by recursion, the union of reference positions per reference
+# sentence; a token type t then contributes min(union occurrences of t,
+# candidate count of t) hits (the clipped counting, in closed form).
+_TOK_S = Q.tok('s')
+LSUM_CTE = {
+    "sents": f"""SELECT method, step, record_id,
+    list_transform(list_filter(string_split(candidate, chr(10)), lambda s: length(s) > 0), lambda s: {_TOK_S}) AS cs,
+    list_transform(list_filter(string_split(reference, chr(10)), lambda s: length(s) > 0), lambda s: {_TOK_S}) AS rs
+  FROM answers""",
+    "sp": """SELECT method, step, record_id, ri, ci, rs[ri] AS r, cs[ci] AS c
+  FROM sents CROSS JOIN LATERAL (SELECT unnest(range(1, len(rs) + 1)) AS ri)
+             CROSS JOIN LATERAL (SELECT unnest(range(1, len(cs) + 1)) AS ci)
+  WHERE len(rs[ri]) > 0 AND len(cs[ci]) > 0""",
+    "dp(method, step, record_id, ri, ci, i, r, c, tab) USING KEY (method, step, record_id, ri, ci)": """
+  SELECT method, step, record_id, ri, ci, 0, r, c, [list_transform(range(0, len(c) + 1), lambda x: 0)]
+  FROM sp
+  UNION ALL
+  SELECT method, step, record_id, ri, ci, i + 1, r, c,
+         list_append(tab, list_reduce(
+           list_transform(range(1, len(c) + 1), lambda j:
+             greatest(tab[i + 1][j + 1], CASE WHEN r[i + 1] = c[j] THEN tab[i + 1][j] + 1 ELSE 0 END)),
+           lambda acc, x: list_append(acc, greatest(acc[-1], x)), [0]))
+  FROM dp WHERE i < len(r)""",
+    "bt(method, step, record_id, ri, ci, i, j, idx, tab, r, c) USING KEY (method, step, record_id, ri, ci)": """
+  SELECT method, step, record_id, ri, ci, len(r), len(c), []::INTEGER[], tab, r, c FROM dp
+  UNION ALL
+  SELECT method, step, record_id, ri, ci,
+         CASE WHEN r[i] = c[j] THEN i - 1 WHEN tab[i + 1][j] > tab[i][j + 1] THEN i ELSE i - 1 END,
+         CASE WHEN r[i] = c[j] THEN j - 1 WHEN tab[i + 1][j] > tab[i][j + 1] THEN j - 1 ELSE j END,
+         CASE WHEN r[i] = c[j] THEN list_append(idx, CAST(i - 1 AS INTEGER)) ELSE idx END,
+         tab, r, c
+  FROM bt WHERE i > 0 AND j > 0""",
+    "uni": """SELECT method, step, record_id, ri, list_distinct(flatten(list(idx))) AS u FROM bt
+  GROUP BY method, step, record_id, ri""",
+    "ut": """SELECT u.method, u.step, u.record_id, s.rs[u.ri][x + 1] AS tok, count(*) AS n
+  FROM uni u JOIN sents s USING (method, step, record_id), unnest(u.u) AS t(x)
+  GROUP BY ALL""",
+    "ct": """SELECT method, step, record_id, tok, count(*) AS n
+  FROM sents, unnest(flatten(cs)) AS t(tok) GROUP BY ALL""",
+    "hits": """SELECT ut.method, ut.step, ut.record_id, sum(least(ut.n, ct.n)) AS hits
+  FROM ut JOIN ct USING (method, step, record_id, tok) GROUP BY ALL""",
+    "lsum": """SELECT s.method, s.step, s.record_id, CAST(coalesce(h.hits, 0) AS DOUBLE) AS hits,
+         list_sum(list_transform(s.rs, lambda x: len(x))) AS m,
+         list_sum(list_transform(s.cs, lambda x: len(x))) AS n
+  FROM sents s LEFT JOIN hits h USING (method, step, record_id)""",
+}
+_PS = "CASE WHEN coalesce(n, 0) = 0 OR coalesce(m, 0) = 0 THEN 0.0 ELSE hits / n END"
+_RS = "CASE WHEN coalesce(n, 0) = 0 OR coalesce(m, 0) = 0 THEN 0.0 ELSE hits / m END"
+LSUM_BODY = (f"SELECT method, step, record_id, round({_PS}, 6) AS precision, "
+             f"round({_RS}, 6) AS recall, round({Q.fm(_PS, _RS)}, 6) AS fmeasure FROM lsum")
+
+
+@query("rouge_lsum", "WITH RECURSIVE" + with_views(LSUM_BODY, "answers", extra=LSUM_CTE)[len("WITH"):])
 def q_rouge_lsum(spark, sf):
     return _scored(spark, sf, ("rougeLsum",)).select(*KEYS, *_prf_cols("rougeLsum"))
 
