@@ -572,7 +572,7 @@ def q_run_settings(spark, sf):
 
 @query("clean_text", f"SELECT doc_id, {Q.clean('text')} AS text FROM documents")
 def q_clean_text(spark, sf):
-    return td.docs(spark, sf).select("doc_id", X.clean_text("text").alias("text"))
+    return td.docs(spark, sf, spread=True).select("doc_id", X.clean_text("text").alias("text"))
 
 
 @query("clean_scope", with_views(
@@ -657,7 +657,8 @@ def q_answer_vs_prediction(spark, sf):
        f"SELECT doc_id, CAST({Q.count_tokens('text')} AS INTEGER) AS token_count FROM documents "
        f"WHERE {Q.count_tokens('text')} < 512")
 def q_within_token_budget(spark, sf):
-    d = td.docs(spark, sf).select("doc_id", count_tokens("text").cast("int").alias("token_count"))
+    d = td.docs(spark, sf, spread=True).select(
+        "doc_id", count_tokens("text").cast("int").alias("token_count"))
     return S.within_budget(d)
 
 

@@ -105,8 +105,24 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both bindings stacked: the answers table the scorers run on."""
-    return steps(spark, sf_dir).unionByName(pairs(spark, sf_dir))
+    """Both bindings stacked: the answers table the scorers run on.
+
+    One scan, one shuffle and one window pass produce both: each assistant
+    turn emits its ``to_final`` row and its ``to_next`` row (when it has a
+    later turn) through one generator.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    a = (_assistant_turns(spark, sf_dir)
+         .withColumn("step", F.row_number().over(w).cast("int"))
+         .withColumn("last", F.last("text").over(wall))
+         .withColumn("next", F.lead("text").over(w))
+         .where(F.col("next").isNotNull()))          # the last turn is never a candidate
+    both = F.array(
+        F.struct(F.lit("to_final").alias("method"), F.col("last").alias("reference")),
+        F.struct(F.lit("to_next").alias("method"), F.col("next").alias("reference")))
+    return a.select(F.col("conv_id").alias("record_id"), "step", F.col("text").alias("candidate"),
+                    F.inline(both)).select("method", "step", "record_id", "candidate", "reference")
 
 
 def split_of(id_col) -> F.Column:
@@ -116,10 +132,11 @@ def split_of(id_col) -> F.Column:
             .when(m == 9, F.lit("test")).otherwise(F.lit("train")))
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with a split column."""
-    d = spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"),
-                    "doc_id")
+def docs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """documents with a split column; ``spread`` for CPU-heavy text work."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    if spread:
+        d = spread_scan(d, "doc_id")
     return d.withColumn("split", split_of(F.col("doc_id")))
 
 
