@@ -520,14 +520,16 @@ def q_scored_step(spark, sf):
     return G.scored_step(resp, run_config(spark))
 
 
-@query("extract_last_message", "SELECT conv_id, arg_max(text, turn) AS content FROM conversations GROUP BY conv_id")
+@query("extract_last_message", with_views("SELECT record_id, output AS content FROM records", "records"))
 def q_extract_last_message(spark, sf):
-    """G4 over stored chats: the last message of each conversation. Taken
-    by an aggregate (max_by turn, partial per task) rather than by building
-    the chat array first, so a very long conversation never sits in one
-    task."""
-    conv = td.table(spark, sf, "conversations")
-    return conv.groupBy("conv_id").agg(F.max_by("text", "turn").alias("content"))
+    """The answer is the content of the last message of the chat a chat
+    model returns (its input history plus the new assistant turn). Here the
+    returned chat is the system/user history with the record's gold answer
+    as the assistant turn: a bounded array, taken apart by element_at."""
+    r = td.records(spark, sf)
+    returned = F.array_append(C.messages_system_user(X.clean_text("input")),
+                              C.message("assistant", "output"))
+    return r.select("record_id", X.extract_last_message(returned).alias("content"))
 
 
 DECODED_USER = "r.instruction || ' ' || r.input"

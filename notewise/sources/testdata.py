@@ -1,12 +1,12 @@
 """Bindings of the engine's tables to the driver's parquet test tables.
 
-``records``, ``steps``, ``pairs``, ``chats`` come from ``conversations``;
-``docs`` from ``documents``. All are lazy DataFrames: the scan is pruned to
-the columns used, and grouping is partial (map-side) where it can be.
+``records``, ``steps``, ``pairs`` come from ``conversations``; ``docs``
+from ``documents``. All are lazy DataFrames: the scan is pruned to the
+columns used, and grouping is partial (map-side) where it can be. No view
+collects a conversation into an array.
 
-A conversation is one chat history; its size is bounded by a model context
-window (tens of turns), so the per-conversation windows below are bounded
-groups whatever the skew of the table as a whole.
+The step numbering uses a window per conversation: one conversation is one
+chat history, bounded by a model context window (tens of turns).
 """
 
 from __future__ import annotations
@@ -40,15 +40,6 @@ def spread_scan(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if splits < cores else df
 
 
-def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, messages array<struct<role, content>>) ordered by turn."""
-    conv = table(spark, sf_dir, "conversations")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    return conv.groupBy("conv_id").agg(
-        F.transform(ordered, lambda m: F.struct(m["role"].alias("role"),
-                                                m["content"].alias("content"))).alias("messages"))
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One instruction record per conversation that has an assistant turn.
 
