@@ -21,11 +21,17 @@ PRF = ("precision", "recall", "fmeasure")
 # ---------------------------------------------------------------- J1 / J2
 
 def unpaired_rows(candidates: DataFrame, gold: DataFrame, key: str = "record_id") -> DataFrame:
-    """Keys present on one side only: (side, key)."""
-    c = candidates.select(key).distinct()
-    g = gold.select(key).distinct()
-    return (c.join(g, key, "left_anti").select(F.lit("candidate_only").alias("side"), key)
-            .unionByName(g.join(c, key, "left_anti").select(F.lit("gold_only").alias("side"), key)))
+    """Keys present on one side only: (side, key).
+
+    Both key sets are tagged and stacked, then reduced by one partial
+    aggregate per key: a single shuffle, no join.
+    """
+    tagged = (candidates.select(key, F.lit(1).alias("_c"), F.lit(0).alias("_g"))
+              .unionByName(gold.select(key, F.lit(0).alias("_c"), F.lit(1).alias("_g"))))
+    seen = tagged.groupBy(key).agg(F.max("_c").alias("_c"), F.max("_g").alias("_g"))
+    side = (F.when((F.col("_c") == 1) & (F.col("_g") == 0), F.lit("candidate_only"))
+            .when((F.col("_c") == 0) & (F.col("_g") == 1), F.lit("gold_only")))
+    return seen.select(side.alias("side"), key).where(F.col("side").isNotNull())
 
 
 def pair_with_gold(candidates: DataFrame, gold: DataFrame, key: str = "record_id",

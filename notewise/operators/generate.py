@@ -155,6 +155,24 @@ def attach_run_settings(report: DataFrame, run_config: DataFrame) -> DataFrame:
     return report.join(F.broadcast(run_config), "method", "left")
 
 
+# ---------------------------------------------------------------- model responders
+
+_MODELS: dict = {}
+
+
+def cached_responder(factory: Callable[[], Responder], name: str = "model") -> Responder:
+    """A responder that builds its model on first use in each Python worker
+    and keeps it for later batches and tasks (worker processes are reused),
+    instead of loading it per batch. ``factory()`` returns the batch
+    function ``fn(chats, settings) -> list[str]``."""
+    def respond(chats: list, settings: dict) -> list:
+        fn = _MODELS.get(name)
+        if fn is None:
+            fn = _MODELS[name] = factory()
+        return fn(chats, settings)
+    return respond
+
+
 # ---------------------------------------------------------------- test double
 
 def extractive_responder(chats: list, settings: dict) -> list:

@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from notewise.operators import evaluate as E
@@ -87,3 +89,28 @@ def test_stream_scoring_matches_batch(spark):
                           metrics=("rougeL",), keep=["method", "step", "record_id"])
     exp = {(r.step, r.record_id): r.rougeL.fmeasure for r in batch.collect()}
     assert got == exp and len(got) > 0
+
+
+def test_cached_responder_builds_once_per_worker(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    def factory():
+        built.add(1)
+        return G.extractive_responder
+
+    recs = td.records(spark, SF).repartition(1)
+    from notewise.functions.chat import messages_system_user
+    out = G.generate(recs.select("record_id", messages_system_user().alias("messages")),
+                     G.cached_responder(factory, "test-model"), keep=["record_id"])
+    assert out.count() == recs.count()
+    assert built.value == 1
+
+
+def test_inst_template_rejects_system_role(spark):
+    from pyspark.errors import PySparkException
+    from notewise.functions import chat as C
+    df = spark.createDataFrame([("n",)], "input string")
+    with pytest.raises(PySparkException):
+        df.select(C.render_inst(C.messages_system_user())).collect()
+    ok = df.select(C.render_inst(F.array(C.message("user", F.lit("q")), C.message("assistant", F.lit("a")))))
+    assert ok.first()[0] == "<s>[INST] q [/INST]a</s>"
