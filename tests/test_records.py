@@ -107,3 +107,23 @@ def test_head_records_uses_group_limit(spark):
     assert h.count() == 15
     plan = h._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_jsonl_export_keeps_null_fields(spark, folder):
+    df = spark.createDataFrame([("train", 1, None), ("test", 2, "o")], "split string, record_id long, output string")
+    path = os.path.join(folder, "export")
+    SR.write_jsonl_splits(df, path)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert any('"output":null' in l for l in lines)
+    back = SR.reload_splits(spark, path, "record_id long, output string")
+    assert {(r.split, r.record_id, r.output) for r in back.collect()} == {("train", 1, None), ("test", 2, "o")}
+    # a filter on split prunes folders
+    plan = back.where("split = 'test'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
+
+
+def test_shared_folder_comes_from_session(spark, folder):
+    from notewise.session import checkpoint_base, shared_path
+    spark.sparkContext.setCheckpointDir(folder)
+    assert checkpoint_base(spark).startswith("file:" + folder) or checkpoint_base(spark).startswith(folder)
+    assert shared_path(spark, "x").startswith(checkpoint_base(spark) + "/notewise/x-")
