@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notewise.functions.chat import message
-from notewise.functions.text import clean_text, parse_list
-from notewise.plans.prompts import RUN_CONFIG_ROWS, prompt_plan_rows
+from notewise.functions.text import clean_text
+from notewise.plans.prompts import prompt_plan_rows
 from notewise.session import cut_lineage, ship_package
 
 Responder = Callable[[list, dict], list]
@@ -144,11 +144,6 @@ def scored_step(responses: DataFrame, run_config: DataFrame) -> DataFrame:
             .where(F.col("step") == F.col("scored_step")).drop("scored_step"))
 
 
-def run_config_frame(spark: SparkSession) -> DataFrame:
-    from notewise.plans.prompts import run_config
-    return run_config(spark)
-
-
 def attach_run_settings(report: DataFrame, run_config: DataFrame) -> DataFrame:
     """Print the settings with the results (run_config has one row per
     method, a fixed-size table: broadcast)."""
@@ -192,5 +187,3 @@ def extractive_responder(chats: list, settings: dict) -> list:
             out.append("; ".join(items[:max(len(items) - 1, 1)]))
     return out
 
-
-RUN_METHODS = [r[0] for r in RUN_CONFIG_ROWS]

@@ -22,8 +22,7 @@ from notewise.operators import generate as G
 from notewise.operators import rouge as R
 from notewise.operators import sft as S
 from notewise.plans import sqlparts as Q
-from notewise.plans.prompts import (EOT, INST_EOS, prompt_plan_rows, run_config,
-                                    RUN_CONFIG_ROWS, SYSTEM_COVERAGE)
+from notewise.plans.prompts import EOT, INST_EOS, RUN_CONFIG_ROWS, prompt_plan_rows, run_config
 from notewise.session import cut_lineage, shared_path, ship_package
 from notewise.sources import records as SR
 from notewise.sources import testdata as td

@@ -1,7 +1,5 @@
 import random
 
-import pytest
-from pyspark.sql import functions as F
 
 import pyrouge
 from notewise.operators import rouge as R
