@@ -1,9 +1,9 @@
 """Corpus scores, reports and comparisons.
 
 Every aggregate here is a hash aggregate with map-side partial
-aggregation, so a hot method or step never sends its rows to one reducer;
-windows are partitioned by (method, record_id, metric), i.e. by the handful
-of steps of one record.
+aggregation, so a hot method or step never sends its rows to one reducer.
+Step-to-step comparisons pair rows through aggregates, not windows over
+a record's steps. The only global window (A6) ranks a result-sized table.
 """
 
 from __future__ import annotations
@@ -179,10 +179,25 @@ def method_leaderboard(corpus: DataFrame, run_config: DataFrame, metric: str = "
 def step_gain(long_scores: DataFrame, measure: str = "fmeasure") -> DataFrame:
     """Change of a record's score from one step to the next, averaged
     per (method, step, metric), with the shares of records that improved
-    or got worse."""
-    w = Window.partitionBy("method", "record_id", "metric").orderBy("step")
-    d = long_scores.withColumn("delta", F.col(measure) - F.lag(measure).over(w))
-    d = d.where(F.col("delta").isNotNull())
+    or got worse.
+
+    Each score row is emitted twice, as the current value of its step and as
+    the previous value of step + 1; one partial aggregate on (method,
+    record_id, metric, step) pairs them. No window holds a record's steps
+    together and the scores are computed once (a self-join would score
+    twice).
+    """
+    keys = ["method", "record_id", "metric"]
+    none = F.lit(None).cast("double")
+    both = F.inline(F.array(
+        F.struct(F.col("step").alias("_s"), F.col(measure).cast("double").alias("_cur"),
+                 none.alias("_prev")),
+        F.struct((F.col("step") + 1).alias("_s"), none.alias("_cur"),
+                 F.col(measure).cast("double").alias("_prev"))))
+    d = (long_scores.select(*keys, both).groupBy(*keys, F.col("_s").alias("step"))
+         .agg(F.max("_cur").alias("_cur"), F.max("_prev").alias("_prev"))
+         .where(F.col("_cur").isNotNull() & F.col("_prev").isNotNull())
+         .withColumn("delta", F.col("_cur") - F.col("_prev")))
     return d.groupBy("method", "step", "metric").agg(
         F.avg("delta").alias("mean_delta"),
         F.avg(F.when(F.col("delta") > 0, 1.0).otherwise(0.0)).alias("share_improved"),

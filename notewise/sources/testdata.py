@@ -5,8 +5,10 @@ from ``documents``. All are lazy DataFrames: the scan is pruned to the
 columns used, and grouping is partial (map-side) where it can be. No view
 collects a conversation into an array.
 
-The step numbering uses a window per conversation: one conversation is one
-chat history, bounded by a model context window (tens of turns).
+Step numbering goes through ``operators.ordering.ordered_within``: a plain
+window per conversation, except for conversations above a row threshold,
+which are cut into bounded buckets (no window partition holds a hot
+conversation whole).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from notewise.operators.ordering import ordered_within
 from notewise.plans.prompts import DEFAULT_INSTRUCTION
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -65,55 +68,48 @@ def _assistant_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.where(F.col("role") == "assistant").select("conv_id", "turn", "text")
 
 
+def _ordered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns with their position, count, next and last text per
+    conversation (skew-safe: see ``operators.ordering``)."""
+    return ordered_within(_assistant_turns(spark, sf_dir), "conv_id", "turn", "text")
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-th assistant turn (step k) scored against the last assistant turn.
 
     (method, step, record_id, candidate, reference); the last turn itself is
     not a step.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    a = (_assistant_turns(spark, sf_dir)
-         .withColumn("step", F.row_number().over(w))
-         .withColumn("n", F.count("*").over(wall))
-         .withColumn("reference", F.last("text").over(wall)))
-    return (a.where(F.col("step") < F.col("n"))
-            .select(F.lit("to_final").alias("method"), F.col("step").cast("int").alias("step"),
+    a = _ordered_turns(spark, sf_dir)
+    return (a.where(F.col("pos") < F.col("n"))
+            .select(F.lit("to_final").alias("method"), F.col("pos").alias("step"),
                     F.col("conv_id").alias("record_id"), F.col("text").alias("candidate"),
-                    "reference"))
+                    F.col("last_text").alias("reference")))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-th assistant turn scored against the next assistant turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    a = (_assistant_turns(spark, sf_dir)
-         .withColumn("step", F.row_number().over(w))
-         .withColumn("reference", F.lead("text").over(w)))
-    return (a.where(F.col("reference").isNotNull())
-            .select(F.lit("to_next").alias("method"), F.col("step").cast("int").alias("step"),
+    a = _ordered_turns(spark, sf_dir)
+    return (a.where(F.col("next_text").isNotNull())
+            .select(F.lit("to_next").alias("method"), F.col("pos").alias("step"),
                     F.col("conv_id").alias("record_id"), F.col("text").alias("candidate"),
-                    "reference"))
+                    F.col("next_text").alias("reference")))
 
 
 def scored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both bindings stacked: the answers table the scorers run on.
 
-    One scan, one shuffle and one window pass produce both: each assistant
-    turn emits its ``to_final`` row and its ``to_next`` row (when it has a
-    later turn) through one generator.
+    One ordering pass produces both: each assistant turn that has a later
+    turn emits its ``to_final`` row and its ``to_next`` row through one
+    generator.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    a = (_assistant_turns(spark, sf_dir)
-         .withColumn("step", F.row_number().over(w).cast("int"))
-         .withColumn("last", F.last("text").over(wall))
-         .withColumn("next", F.lead("text").over(w))
-         .where(F.col("next").isNotNull()))          # the last turn is never a candidate
+    a = _ordered_turns(spark, sf_dir).where(F.col("next_text").isNotNull())
     both = F.array(
-        F.struct(F.lit("to_final").alias("method"), F.col("last").alias("reference")),
-        F.struct(F.lit("to_next").alias("method"), F.col("next").alias("reference")))
-    return a.select(F.col("conv_id").alias("record_id"), "step", F.col("text").alias("candidate"),
-                    F.inline(both)).select("method", "step", "record_id", "candidate", "reference")
+        F.struct(F.lit("to_final").alias("method"), F.col("last_text").alias("reference")),
+        F.struct(F.lit("to_next").alias("method"), F.col("next_text").alias("reference")))
+    return a.select(F.col("conv_id").alias("record_id"), F.col("pos").alias("step"),
+                    F.col("text").alias("candidate"), F.inline(both)).select(
+        "method", "step", "record_id", "candidate", "reference")
 
 
 def split_of(id_col) -> F.Column:
