@@ -11,8 +11,10 @@ plain window. Groups above it are few by construction (at most
 rows / bucket_rows of them, so their key list is a broadcast of proven
 size) and take a bucketed path: ``order`` is a dense integer position (a
 message index), so ``order div bucket_rows`` cuts a hot group into buckets of
-at most ``bucket_rows`` rows; bucket sizes give each bucket's offset, and
-the rows at bucket edges fetch their successor from the next bucket.
+at most ``bucket_rows`` rows. A per-bucket aggregate (size, first and last
+value) gives each bucket its offset, the first value of the next bucket (the
+successor of the bucket's last row) and the group's last value, joined back
+once on (key, bucket).
 """
 
 from __future__ import annotations
@@ -40,32 +42,26 @@ def ordered_within(df: DataFrame, key: str, order: str, value: str,
                       F.lead(value).over(w).alias(nxt),
                       F.last(value).over(wall).alias(lst)))
 
-    # hot groups: buckets of consecutive positions
+    # hot groups: buckets of consecutive positions, each at most bucket_rows rows
     h = df.join(hot, key, "left_semi").withColumn(
         "_b", F.floor(F.col(order) / F.lit(bucket_rows)).cast("long"))
     wb = Window.partitionBy(key, "_b").orderBy(order)
-    r = (h.withColumn("_local", F.row_number().over(wb))
-         .withColumn("_next_in", F.lead(value).over(wb))
-         .withColumn("_last_in", F.last(value).over(wb.rowsBetween(U, UF))))
+    r = h.select(*cols, "_b", F.row_number().over(wb).alias("_local"),
+                 F.lead(value).over(wb).alias("_next_in"))
+    # one row per bucket: size, first and last value; then per group (a few
+    # rows per bucket_rows rows): offsets, size, the next bucket's first value
+    # and the group's last value
     wk = Window.partitionBy(key).orderBy("_b")
-    buckets = (h.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    whole = wk.rowsBetween(U, UF)
+    buckets = (h.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt"),
+                                        F.min_by(value, order).alias("_first"),
+                                        F.max_by(value, order).alias("_last"))
                .select(key, "_b",
                        F.coalesce(F.sum("_cnt").over(wk.rowsBetween(U, -1)), F.lit(0)).alias("_off"),
-                       F.sum("_cnt").over(wk.rowsBetween(U, UF)).alias("n"),
-                       F.lead("_b").over(wk).alias("_next_b"),
-                       F.max("_b").over(wk.rowsBetween(U, UF)).alias("_last_b")))
-    r = r.join(buckets, [key, "_b"])
-    # successor of a bucket's last row: the first row of the next bucket
-    firsts = r.where(F.col("_local") == 1).select(key, F.col("_b").alias("_next_b"),
-                                                  F.col(value).alias("_succ"))
-    edge = F.col("_next_in").isNull() & F.col("_next_b").isNotNull()
-    inner = r.where(~edge).withColumn("_succ", F.lit(None).cast(df.schema[value].dataType))
-    edges = r.where(edge).join(firsts, [key, "_next_b"], "left")
-    r = inner.unionByName(edges)
-    # the group's last value: one row per hot group
-    glast = r.where((F.col("_b") == F.col("_last_b")) & (F.col("_local") == 1)).select(
-        key, F.col("_last_in").alias(lst))
-    hot_out = r.join(glast, key).select(
+                       F.sum("_cnt").over(whole).alias("n"),
+                       F.lead("_first").over(wk).alias("_succ"),
+                       F.last("_last").over(whole).alias(lst)))
+    hot_out = r.join(buckets, [key, "_b"]).select(
         *cols, (F.col("_off") + F.col("_local")).cast("int").alias("pos"), "n",
         F.coalesce("_next_in", "_succ").alias(nxt), lst)
     return normal.withColumn("pos", F.col("pos").cast("int")).unionByName(hot_out)
