@@ -34,8 +34,11 @@ def ngr(t: str, n: int) -> str:
 
 
 def overlap(a: str, b: str) -> str:
-    return (f"coalesce(list_sum(list_transform(list_distinct({a}), lambda g: "
-            f"least(len(list_filter({a}, lambda x: x = g)), len(list_filter({b}, lambda x: x = g))))), 0)")
+    """Multiset intersection size of two lists: count per value on each
+    side, join on the value, sum the smaller counts."""
+    return (f"coalesce((SELECT sum(least(x.n, y.n)) FROM "
+            f"(SELECT g, count(*) AS n FROM unnest({a}) AS t(g) GROUP BY g) x JOIN "
+            f"(SELECT g, count(*) AS n FROM unnest({b}) AS t(g) GROUP BY g) y USING (g)), 0)")
 
 
 def fm(p: str, r: str) -> str:
