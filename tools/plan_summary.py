@@ -46,9 +46,16 @@ def main():
         out.append(f"| {name} | {s['shuffles']} | {s['broadcasts']} | {', '.join(s['joins']) or '-'} | "
                    f"{', '.join(s['python']) or '-'} | {win} | {scans} |")
         print(name, s["shuffles"], flush=True)
-    path = __file__.rsplit("/tools/", 1)[0] + "/docs/PLANS.md"
-    with open(path, "w") as f:
+    root = __file__.rsplit("/tools/", 1)[0]
+    with open(root + "/docs/PLANS.md", "w") as f:
         f.write("\n".join(out) + "\n")
+    # the flagship query's full formatted plan
+    from notewise.plans.flagship import step_rouge_l
+    flag = step_rouge_l(spark, sf)
+    text = flag._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    with open(root + "/docs/FLAGSHIP_PLAN.txt", "w") as f:
+        f.write(re.sub(r"file:/\S+/testdata/", "testdata/", text))
 
 
 if __name__ == "__main__":
