@@ -26,21 +26,32 @@ U, UF = Window.unboundedPreceding, Window.unboundedFollowing
 
 
 def ordered_within(df: DataFrame, key: str, order: str, value: str,
-                   bucket_rows: int = 100_000) -> DataFrame:
-    """df + pos (int), n (long), next_<value>, last_<value>."""
+                   bucket_rows: int = 100_000, detect_hot: bool = True) -> DataFrame:
+    """df + pos (int), n (long), next_<value>, last_<value>.
+
+    ``detect_hot``: look for hot groups first (a keys-only aggregate, one
+    small job) and plan the plain window alone when there are none, which
+    is the common case; otherwise both paths are planned.
+    """
     nxt, lst = f"next_{value}", f"last_{value}"
     cols = df.columns
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))      # keys only, partial
-    hot = F.broadcast(sizes.where(F.col("_rows") > bucket_rows).select(key))
+    hot_keys = sizes.where(F.col("_rows") > bucket_rows).select(key)
+    hot = F.broadcast(hot_keys)            # at most rows / bucket_rows keys
 
     # normal groups: one window partition per group, at most bucket_rows rows
     w = Window.partitionBy(key).orderBy(order)
     wall = w.rowsBetween(U, UF)
-    normal = (df.join(hot, key, "left_anti")
-              .select(*cols, F.row_number().over(w).alias("pos"),
-                      F.count(F.lit(1)).over(wall).alias("n"),
-                      F.lead(value).over(w).alias(nxt),
-                      F.last(value).over(wall).alias(lst)))
+
+    def window(frame: DataFrame) -> DataFrame:
+        return frame.select(*cols, F.row_number().over(w).cast("int").alias("pos"),
+                            F.count(F.lit(1)).over(wall).alias("n"),
+                            F.lead(value).over(w).alias(nxt),
+                            F.last(value).over(wall).alias(lst))
+
+    if detect_hot and not hot_keys.take(1):
+        return window(df)
+    normal = window(df.join(hot, key, "left_anti"))
 
     # hot groups: buckets of consecutive positions, each at most bucket_rows rows
     h = df.join(hot, key, "left_semi").withColumn(
@@ -64,4 +75,4 @@ def ordered_within(df: DataFrame, key: str, order: str, value: str,
     hot_out = r.join(buckets, [key, "_b"]).select(
         *cols, (F.col("_off") + F.col("_local")).cast("int").alias("pos"), "n",
         F.coalesce("_next_in", "_succ").alias(nxt), lst)
-    return normal.withColumn("pos", F.col("pos").cast("int")).unionByName(hot_out)
+    return normal.unionByName(hot_out)
