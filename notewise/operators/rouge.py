@@ -198,9 +198,9 @@ def score_pairs(df: DataFrame, cand: str = "candidate", ref: str = "reference",
     ship_package(df.sparkSession)
     if spread:
         df = df.repartition(spread, *keep)
-    t = with_tokens(df, cand, ref).select(*keep, "cand_tok", "ref_tok",
-                                          *( [cand, ref] if "rougeLsum" in metrics else []))
-    # Materialise token arrays and sizes once; later columns only read them.
+    texts = [cand, ref] if "rougeLsum" in metrics else []     # Lsum re-reads lines
+    t = with_tokens(df, cand, ref).select(*keep, "cand_tok", "ref_tok", *texts)
+    # token arrays are projected once; every metric below reads them
     nc, nr = F.size("cand_tok"), F.size("ref_tok")
     cols = {"cand_len": nc, "ref_len": nr}
     if "rouge1" in metrics:

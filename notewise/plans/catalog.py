@@ -22,7 +22,8 @@ from notewise.operators import generate as G
 from notewise.operators import rouge as R
 from notewise.operators import sft as S
 from notewise.plans import sqlparts as Q
-from notewise.plans.prompts import EOT, INST_EOS, RUN_CONFIG_ROWS, prompt_plan_rows, run_config
+from notewise.plans.prompts import (EOT, INST_EOS, RUN_CONFIG_ROWS, prompt_plan_rows, run_config,
+                                    settings_for)
 from notewise.session import cut_lineage, shared_path, ship_package
 from notewise.sources import records as SR
 from notewise.sources import testdata as td
@@ -497,7 +498,8 @@ SINGLE_ANSWER = f"replace({Q.clean('input')}, '. ', '; ')"
 def q_generate_single(spark, sf):
     recs = td.records(spark, sf)
     msgs = recs.select("record_id", C.messages_system_user(X.clean_text("input")).alias("messages"))
-    out = G.generate(msgs, G.extractive_responder, keep=["record_id"])
+    out = G.generate(msgs, G.extractive_responder, settings=settings_for("single_prompt"),
+                     keep=["record_id"])
     return cut_lineage(out, spark, "single").select("record_id", "candidate")
 
 
@@ -507,7 +509,8 @@ def q_generate_single(spark, sf):
     f"FROM (SELECT record_id, string_split({SINGLE_ANSWER}, '; ') AS items FROM records) "
     f"CROSS JOIN range(1, 6) AS s(k)", "records"))
 def q_generate_flow(spark, sf):
-    resp = G.generate_flow(spark, td.records(spark, sf), G.extractive_responder, steps=5)
+    resp = G.generate_flow(spark, td.records(spark, sf), G.extractive_responder, steps=5,
+                           settings=settings_for("flow"))
     return resp.select("method", "step", "record_id", "candidate")
 
 

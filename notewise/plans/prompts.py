@@ -117,3 +117,12 @@ RUN_CONFIG_ROWS = [
 
 def run_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RUN_CONFIG_ROWS, RUN_CONFIG_SCHEMA)
+
+
+def settings_for(method: str) -> dict:
+    """Generation settings of one method, as handed to a responder."""
+    for m, max_new, temp, top_p, _ in RUN_CONFIG_ROWS:
+        if m == method:
+            return {"max_new_tokens": max_new, "temperature": temp, "top_p": top_p,
+                    "do_sample": True}
+    raise KeyError(method)
