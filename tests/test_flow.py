@@ -114,3 +114,16 @@ def test_inst_template_rejects_system_role(spark):
         df.select(C.render_inst(C.messages_system_user())).collect()
     ok = df.select(C.render_inst(F.array(C.message("user", F.lit("q")), C.message("assistant", F.lit("a")))))
     assert ok.first()[0] == "<s>[INST] q [/INST]a</s>"
+
+
+def test_settings_reach_the_responder(spark):
+    from notewise.functions.chat import messages_system_user
+    from notewise.plans.prompts import settings_for
+
+    def echo(chats, settings):
+        return [f"{settings['max_new_tokens']}/{settings['temperature']}"] * len(chats)
+
+    recs = td.records(spark, SF)
+    out = G.generate(recs.select("record_id", messages_system_user().alias("messages")), echo,
+                     settings=settings_for("demo"), keep=["record_id"])
+    assert {r.candidate for r in out.collect()} == {"256/0.6"}
