@@ -36,29 +36,31 @@ def unpaired_rows(candidates: DataFrame, gold: DataFrame, key: str = "record_id"
 
 def pair_with_gold(candidates: DataFrame, gold: DataFrame, key: str = "record_id",
                    gold_col: str = "output", check: bool = True) -> DataFrame:
-    """Pair answers with gold text on ``key`` (equi-join).
+    """Pair answers with gold text on ``key`` (inner equi-join).
 
     With ``check`` (J2 enforced) the job fails when a gold key repeats or a
     row of either side has no partner: a positional zip would silently
-    truncate, and the mean would still divide by all candidates. The checks
-    run inside the same job as the join (no extra pass): gold is reduced to
-    one row per key by a partial aggregate, then a full outer join raises on
-    an unmatched row.
+    truncate, and the mean would still divide by all candidates. The check
+    is a keys-only partial aggregate unioned into the same job (it yields
+    no rows unless it raises), so the pairing itself stays an inner join
+    that AQE can split when one key is hot.
     """
+    pairs = candidates.join(gold.select(key, F.col(gold_col).alias("reference")), key)
     if not check:
-        return candidates.join(gold.select(key, F.col(gold_col).alias("reference")), key)
-    g = gold.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
-                              F.any_value(gold_col).alias("reference"))
-    g = g.withColumn("_g", F.lit(True))
-    c = candidates.withColumn("_c", F.lit(True))
-    j = c.join(g, key, "full_outer")
+        return pairs
+    tagged = (candidates.select(key, F.lit(1).alias("_c"), F.lit(0).alias("_g"))
+              .unionByName(gold.select(key, F.lit(0).alias("_c"), F.lit(1).alias("_g"))))
+    seen = tagged.groupBy(key).agg(F.max("_c").alias("_c"), F.sum("_g").alias("_g"))
     k = F.col(key).cast("string")
-    err = (F.when(F.col("_c").isNull(), F.concat(F.lit("gold without answer: "), k))
-           .when(F.col("_g").isNull(), F.concat(F.lit("answer without gold: "), k))
-           .when(F.col("_n") > 1, F.concat(F.lit("duplicate gold key: "), k)))
-    return (j.withColumn("reference", F.when(err.isNotNull(), F.raise_error(err))
-                         .otherwise(F.col("reference")))
-            .drop("_c", "_g", "_n"))
+    err = (F.when(F.col("_c") == 0, F.concat(F.lit("gold without answer: "), k))
+           .when(F.col("_g") == 0, F.concat(F.lit("answer without gold: "), k))
+           .when(F.col("_g") > 1, F.concat(F.lit("duplicate gold key: "), k)))
+    fails = seen.where(err.isNotNull()).select(F.raise_error(err).alias("_fail"))
+    fields = pairs.schema.fields
+    fail_rows = fails.select(*[(F.col("_fail").cast(f.dataType) if i == 0 else
+                                F.lit(None).cast(f.dataType)).alias(f.name)
+                               for i, f in enumerate(fields)])
+    return pairs.unionByName(fail_rows)
 
 
 # ---------------------------------------------------------------- A1-A3
