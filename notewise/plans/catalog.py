@@ -745,7 +745,7 @@ LABELS_SQL = {
 
 
 @query("completion_labels", with_views(
-    "SELECT split, record_id, to_json(labels) AS labels FROM lab", "split_records",
+    "SELECT split, record_id, CAST(to_json(labels) AS VARCHAR) AS labels FROM lab", "split_records",
     extra={**SFT_VIEW, **SFT_TEXT, **TOKS_SFT, **LABELS_SQL}))
 def q_completion_labels(spark, sf):
     lf = S.label_frame(S.format_training_text(_sft_records(spark, sf)))
@@ -865,7 +865,8 @@ def q_load_splits(spark, sf):
 
 
 @query("write_jsonl_splits", _sft_sql(
-    "SELECT split, count(*) AS n_lines, sum(token_count) AS total_tokens FROM sft_count GROUP BY split"))
+    "SELECT split, count(*) AS n_lines, CAST(sum(token_count) AS BIGINT) AS total_tokens "
+    "FROM sft_count GROUP BY split"))
 def q_write_jsonl_splits(spark, sf):
     path = _export(spark, sf)
     lines = spark.read.text(path).select(

@@ -76,7 +76,7 @@ def count_tokens(x: str) -> str:
 def json_msgs(*pairs: tuple[str, str]) -> str:
     """to_json of a message list; pairs are (role literal, content SQL)."""
     items = ", ".join(f"{{'role': '{r}', 'content': {c}}}" for r, c in pairs)
-    return f"to_json([{items}])"
+    return f"CAST(to_json([{items}]) AS VARCHAR)"
 
 
 SYS_COVERAGE = lit(SYSTEM_COVERAGE)
