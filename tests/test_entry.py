@@ -37,9 +37,15 @@ def _norm(rows, cols):
     return sorted(tuple(n(r[i]) for i in order) for r in rows)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+         "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_oracle_parity_sf0001(spark, duck, name):
     sdf = entry.queries()[name](spark, SF)
     rel = duck.sql(entry.oracle_sql()[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert _norm([tuple(r) for r in sdf.collect()], sdf.columns) == _norm(rel.fetchall(), rel.columns)
