@@ -127,3 +127,25 @@ def test_settings_reach_the_responder(spark):
     out = G.generate(recs.select("record_id", messages_system_user().alias("messages")), echo,
                      settings=settings_for("demo"), keep=["record_id"])
     assert {r.candidate for r in out.collect()} == {"256/0.6"}
+
+
+def test_readme_flow(spark):
+    """The usage example of the README, end to end on test records."""
+    from notewise.functions.chat import messages_system_user
+    from notewise.functions.text import clean_text
+    from notewise.operators import sft as S
+    from notewise.sources import records as SR
+    base = tempfile.mkdtemp(prefix="nw-readme-", dir="/tmp")
+    SR.write_record_arrays(td.records(spark, SF), os.path.join(base, "notes"), chunk=8)
+    recs = SR.read_records(spark, os.path.join(base, "notes"), id_key="id")
+    msgs = recs.select("record_id", messages_system_user(clean_text("input")).alias("messages"))
+    answers = G.generate(msgs, G.cached_responder(lambda: G.extractive_responder, "readme"),
+                         keep=["record_id"], settings={"max_new_tokens": 512})
+    pairs = E.pair_with_gold(answers.withColumn("method", F.lit("single"))
+                             .withColumn("step", F.lit(1)), recs)
+    scored = R.score_pairs(pairs, metrics=R.ALL_METRICS, keep=["method", "step", "record_id"])
+    report = E.score_report(E.corpus_rouge(scored)).collect()
+    assert [r.metric for r in sorted(report, key=lambda r: r.metric)] == ["rouge1", "rouge2", "rougeL"]
+    assert E.corpus_rouge_bootstrap(scored).count() == 4
+    sft = S.prepare_sft(recs.withColumn("split", F.lit("train")))
+    assert S.length_report(sft).first().n_rows == recs.count()
