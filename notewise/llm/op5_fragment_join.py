@@ -77,15 +77,17 @@ def hash_set(text: bytes, n: int, word_hash) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, key, f0..f3): the set of each (doc_id, text bytes) row in
-    its fragments; ``key`` is a digest of the whole set, null if empty."""
+    """The columns of ``docs`` but ``text`` (bytes), and n, key, f0..f3: the
+    set of each row in its fragments; ``key`` is a digest of the whole set,
+    null if empty."""
     C.ship_package(docs.sparkSession)
     names = [f"f{i}" for i in range(FRAGMENTS)]
+    keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         memo = C.Memo(xxhash.xxh64_intdigest)
         for b in batches:
-            ids, at = b.column("doc_id"), 0
+            at = 0
             for part in C.by_bytes(b.column("text").to_pylist(), len, 8 << 20):
                 sets = [hash_set(t, words, memo.__getitem__) for t in part]
                 cuts = np.array([np.concatenate([[0], np.searchsorted(s, PIVOTS), [len(s)]]) for s in sets])
@@ -97,11 +99,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                         pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64())))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)), pa.array([len(s) for s in sets], pa.int32()),
-                     pa.array(keys, pa.binary()), *cols], names=["doc_id", "n", "key", *names])
+                    [*(b.column(c).slice(at, len(part)) for c in keep), pa.array([len(s) for s in sets], pa.int32()),
+                     pa.array(keys, pa.binary()), *cols], names=[*keep, "n", "key", *names])
                 at += len(part)
 
-    schema = docs.select("doc_id").schema.add("n", "integer").add("key", "binary")
+    schema = docs.select(*keep).schema.add("n", "integer").add("key", "binary")
     for name in names:
         schema = schema.add(name, ArrayType(LongType()))
     return docs.mapInArrow(run, schema)
@@ -252,23 +254,57 @@ def components(pairs: DataFrame) -> DataFrame:
         now = new.select("v", "c")
 
 
-def linked_groups(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per row of ``docs``
-    (doc_id, text bytes); ``options`` go to ``links``."""
+def groups(docs: DataFrame, words: int, percent: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): the rows of ``docs`` (doc_id, text bytes, others) with
+    the key of their set, and of each key its component c."""
     spark = docs.sparkSession
-    sets = C.cut_lineage(shingle_sets(docs, words).withColumn("rid", F.monotonically_increasing_id()), spark, "join-sets")
-    same = C.cut_lineage(sets.where("key IS NOT NULL").groupBy("key")
+    rows = C.cut_lineage(shingle_sets(docs, words).withColumn("rid", F.monotonically_increasing_id()), spark, "join-sets")
+    same = C.cut_lineage(rows.where("key IS NOT NULL").groupBy("key")
                          .agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc")), spark, "join-same")
     names = [f"f{i}" for i in range(FRAGMENTS)]
-    whole = components(links(sets.select("rid", "n", *names), same.select("rid"), percent, **options))
-    named = same.join(whole.withColumnRenamed("v", "rid"), "rid", "left").withColumn("c", F.coalesce("c", "rid"))
-    first = named.groupBy("c").agg(F.min("first_doc").alias("component_id"))
-    of_key = named.join(first, "c").select("key", "component_id")
-    return (sets.select("doc_id", "n", "key").join(of_key, "key", "left")
+    whole = components(links(rows.select("rid", "n", *names), same.select("rid"), percent, **options))
+    return rows.drop(*names), (same.join(whole.withColumnRenamed("v", "rid"), "rid", "left")
+                               .withColumn("c", F.coalesce("c", "rid")))
+
+
+def linked_groups(docs: DataFrame, words: int = 5, percent: int = 80, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per row of ``docs``
+    (doc_id, text bytes); ``options`` go to ``links``."""
+    rows, sets = groups(docs.select("doc_id", "text"), words, percent, **options)
+    first = sets.groupBy("c").agg(F.min("first_doc").alias("component_id"))
+    of_key = sets.join(first, "c").select("key", "component_id")
+    return (rows.select("doc_id", "n", "key").join(of_key, "key", "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, others), one of each group: the one
+    with the smallest id (a null id comes last), one of several alike. Rows
+    without a word all stay. Texts aren't dealt out if the rows to drop are
+    few enough to broadcast."""
+    spark = docs.sparkSession
+    rows, sets = groups(C.id_and_bytes(docs).withColumn("mark", F.xxhash64(F.col("text").cast("string"))),
+                        words, percent, **options)
+    each = (rows.where("key IS NOT NULL").join(sets.select("key", "c"), "key")
+            .groupBy("c", "doc_id", "mark").agg(F.count("*").alias("rows")))
+    first = each.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("lead"))
+    judged = each.join(first, "c").select(
+        F.col("doc_id").alias("__id"), F.col("mark").alias("__of"), "rows",
+        (F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("mark") == F.col("lead.mark"))).alias("__stays"))
+    verdict = C.cut_lineage(judged.where("NOT __stays OR rows > 1").drop("rows"), spark, "join-verdict")
+    if verdict.count() <= broadcast_rows:
+        verdict = F.broadcast(verdict)
+    heard = docs.withColumn("__mark", F.xxhash64(F.coalesce("text", F.lit("")))).join(
+        verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__of")), "left")
+    out = heard.where("__stays IS NULL").select(docs.columns)
+    if not verdict.where("__stays").isEmpty():          # rows that repeat, id and text: one of them
+        alike = Window.partitionBy("doc_id", "__mark").orderBy("__mark")
+        out = out.unionByName(heard.where("__stays").withColumn("__nth", F.row_number().over(alike))
+                              .where("__nth = 1").select(docs.columns))
+    return out
+
+
 def op5_fragment_join(spark, sf_dir: str) -> DataFrame:
     """Link all documents by 3-word shingles at 90 percent."""
     return linked_groups(C.id_and_bytes(C.table(spark, sf_dir, "documents")), words=3, percent=90)
