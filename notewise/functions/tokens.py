@@ -1,8 +1,6 @@
 """Token and n-gram column functions.
 
-Native Catalyst expressions over array<string>; the multiset overlap used
-by ROUGE-N runs in O(n log n) per pair (sort + hash intersection), so it
-also holds for document-length texts.
+Native Catalyst expressions.
 """
 
 from __future__ import annotations
@@ -14,13 +12,12 @@ from pyspark.sql import functions as F
 # ROUGE tokenizer (no stemming): lower-case, every run outside [a-z0-9] is a
 # separator, empty pieces dropped.
 ROUGE_SEPARATOR = "[^a-z0-9]+"
+ROUGE_LINE_SEPARATOR = "[^a-z0-9\\n]+"
 # Default token counter for budgets (not a sub-word count): a special chat
 # marker, an ASCII alphanumeric run, or any other single non-blank character.
 COUNT_TOKEN_PATTERN = r"<\|[a-z_]+\|>|[0-9A-Za-z]+|[^0-9A-Za-z \t\r\n]"
 # --- end fixed values
 
-_TAG_SEP = "\u0001"
-
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -33,11 +30,10 @@ def rouge_tokens(c) -> Column:
     return F.filter(F.split(spaced, " "), lambda x: x != F.lit(""))
 
 
-def sentence_tokens(c) -> Column:
-    """Lines of a text (split on newline, empty lines dropped), each as ROUGE
-    tokens: the input of the summary-level LCS."""
-    lines = F.filter(F.split(_c(c), "\n"), lambda s: F.length(s) > 0)
-    return F.transform(lines, rouge_tokens)
+def scoring_text(c) -> Column:
+    """A text as its ROUGE tokens, one blank between two, line ends kept (the
+    summary-level LCS reads lines): what the scoring UDF splits."""
+    return F.regexp_replace(F.lower(_c(c)), ROUGE_LINE_SEPARATOR, " ")
 
 
 def ngrams(tokens, n: int) -> Column:
@@ -59,39 +55,8 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def occurrence_tags(arr) -> Column:
-    """Make a multiset a set: the j-th copy of value v becomes 'v<SEP>j'.
-
-    The multiset intersection size of two arrays is then the size of the
-    set intersection of their tags (min(c1, c2) copies share tags 0..min-1).
-    Sorting groups equal values into runs; each run emits its tags.
-    O(n log n) per array.
-    """
-    def from_sorted(s):
-        n = F.size(s)
-        run_starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                              lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-
-        def from_starts(starts):
-            return F.flatten(F.transform(
-                starts,
-                lambda st, k: F.transform(
-                    F.sequence(F.lit(0), F.coalesce(F.get(starts, k + 1), n) - st - 1),
-                    lambda j: F.concat(F.get(s, st), F.lit(_TAG_SEP), j.cast("string")))))
-
-        return F.when(n == 0, F.array().cast("array<string>")).otherwise(let(run_starts, from_starts))
-
-    return let(F.array_sort(_c(arr)), from_sorted)
-
-
-def multiset_overlap(a, b) -> Column:
-    """Size of the multiset intersection of two string arrays."""
-    return F.size(F.array_intersect(occurrence_tags(a), occurrence_tags(b)))
-
-
 def count_tokens(c, pattern: str = COUNT_TOKEN_PATTERN) -> Column:
-    """T2 default counter: number of pattern matches in the text (counted
-    without materialising the tokens)."""
+    """T2 default counter: number of pattern matches in the text."""
     return F.regexp_count(_c(c), F.lit(pattern))
 
 

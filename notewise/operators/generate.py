@@ -2,27 +2,32 @@
 
 The model runtime is not part of this engine. A *responder* is any
 function ``fn(list_of_chats, settings) -> list[str]`` (a chat is a list of
-{role, content} dicts). ``generate`` runs it with ``mapInPandas`` over Arrow
-batches: one call per batch, the model loaded once per Python worker.
-
-Generation is nondeterministic, so every step is written to the shared
-folder and read back before anything else uses it (a recomputed partition
-would otherwise produce different answers in different branches).
-
-The refinement flow keeps one *state* table per step: (record_id, note,
-out1..outk). Step k+1 reads only step k's table, so no step joins back to
-earlier ones; histories are built from the prompt plan by projection.
+{role, content} dicts, or a rendered prompt). ``generate`` calls it from an
+iterator Arrow UDF over the messages alone: one call per batch; all other
+columns stay in the JVM.
+
+Generation is nondeterministic: the UDF is marked so, and every step is
+written to the shared folder and read back before anything else uses it (a
+recomputed partition would otherwise give different answers to different
+branches).
+
+A flow is data: a *plan* of (step, msg_idx, role, source, content) rows for
+any number of steps. ``source`` is ``lit`` (the content), ``note``, or
+``out<k>``, the answer of step k. Each step's answers are one table (key,
+answer, call); a step joins the earlier answers that its plan names.
 """
 
 from __future__ import annotations
 
+import re
 import time
-from typing import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from notewise.functions.chat import message
 from notewise.functions.text import clean_text
@@ -34,104 +39,110 @@ Responder = Callable[[list, dict], list]
 
 # ---------------------------------------------------------------- prompt plan -> history
 
-def plan_steps(flow: str = "as_reference") -> dict[int, list[tuple]]:
-    """The plan of one flow as {step: [(msg_idx, role, source, literal)]}."""
+def plan_steps(plan="as_reference") -> dict[int, list[tuple]]:
+    """A plan as {step: [(msg_idx, role, source, content)]}. ``plan``: the
+    name of a built-in flow, or rows (step, msg_idx, role, source, content)."""
+    rows = [r[1:] for r in prompt_plan_rows((plan,))] if isinstance(plan, str) else [tuple(r) for r in plan]
     out: dict[int, list[tuple]] = {}
-    for f, step, idx, role, source, lit in prompt_plan_rows():
-        if f == flow:
-            out.setdefault(step, []).append((idx, role, source, lit))
-    return {k: sorted(v) for k, v in out.items()}
+    for step, idx, role, source, content in rows:
+        if source not in ("lit", "note") and not re.fullmatch(r"out[1-9][0-9]*", source):
+            raise ValueError(f"unknown message source: {source}")
+        out.setdefault(int(step), []).append((idx, role, source, content))
+    return {k: sorted(out[k], key=lambda m: m[0]) for k in sorted(out)}
 
 
-def _content(source: str, literal, note: str) -> Column:
-    if source == "lit":
-        return F.lit(literal)
-    if source == "note":
-        return F.col(note)
-    return F.col(source)           # out1 .. out4
+def needed_outputs(plan, step: int) -> list[int]:
+    """Steps whose answers the messages of ``step`` quote."""
+    return sorted({int(src[3:]) for _, _, src, _ in plan_steps(plan)[step] if src.startswith("out")})
 
 
-def step_history(step: int, flow: str = "as_reference", note: str = "note") -> Column:
+def step_history(step: int, plan="as_reference", note: str = "note") -> Column:
     """The message list of ``step`` for every row, from the plan.
 
-    The plan is a fixed configuration of at most ten messages per step, so
-    it is applied as a projection (no join, no shuffle): literals, the note
-    column and the earlier output columns ``out1..out{step-1}``.
+    The plan is configuration, so it is applied as a projection (no join, no
+    shuffle): literals, the note column and the answer columns ``out<k>``.
     """
-    rows = plan_steps(flow)[step]
-    return F.array(*[message(role, _content(src, lit, note)) for _, role, src, lit in rows])
+    def content(source, literal):
+        return F.lit(literal) if source == "lit" else F.col(note if source == "note" else source)
+    return F.array(*[message(role, content(src, lit)) for _, role, src, lit in plan_steps(plan)[step]])
 
 
-def needed_outputs(step: int) -> list[str]:
-    return [f"out{j}" for j in range(1, step)]
+# ---------------------------------------------------------------- G1: one batch job
 
+ANSWER = "candidate string, call_id string, call_rows int, call_sec double"
 
-# ---------------------------------------------------------------- G1: one batch job
 
-GEN_SCHEMA_FIELDS = [T.StructField("candidate", T.StringType()),
-                     T.StructField("elapsed_ms", T.LongType())]
+def answer_udf(fn: Responder, settings: dict, clock: Callable[[], float] = time.perf_counter):
+    """Iterator Arrow UDF over chats (message arrays) or rendered prompts."""
+    def chat(value):
+        return value if isinstance(value, str) else [{"role": m["role"], "content": m["content"]} for m in value]
+
+    @pandas_udf(ANSWER)
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            chats = [chat(v) for v in batch]
+            began = clock()
+            answers = list(fn(chats, settings)) if chats else []
+            spent = clock() - began
+            if len(answers) != len(chats):
+                raise ValueError(f"responder returned {len(answers)} answers for {len(chats)} chats")
+            yield pd.DataFrame({"candidate": pd.Series(answers, dtype=object), "call_id": uuid.uuid4().hex,
+                                "call_rows": len(chats), "call_sec": spent})
 
+    return answer.asNondeterministic()
 
-def generate(df: DataFrame, fn: Responder, messages: str = "messages",
-             settings: dict | None = None, keep: list[str] | None = None,
-             spread: int | None = None) -> DataFrame:
-    """G1: one answer per row of ``df``. Returns keep + (candidate, elapsed_ms).
 
-    ``elapsed_ms`` is the wall time of the batch call divided over its rows
-    (A8 sums it). ``spread`` hash-spreads rows over that many tasks first
-    (few large input files would otherwise give few model workers).
+def generate(df: DataFrame, fn: Responder, messages: str = "messages", settings: dict | None = None,
+             keep: list[str] | None = None, spread: int | None = None,
+             clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """G1: one answer per row of ``df``: keep + (candidate, call_id,
+    call_rows, call_sec).
+
+    ``messages``: a column of chats, or of rendered prompts. The call columns
+    say which call of the responder gave the answer, how many rows it had and
+    how many seconds it took (A8 sums calls). ``spread`` hash-spreads rows
+    over that many tasks first (few large input files would otherwise give
+    few model workers).
     """
-    settings = dict(settings or {})
     ship_package(df.sparkSession)
     keep = keep if keep is not None else [c for c in df.columns if c != messages]
     src = df.select(*keep, messages)
     if spread:
         src = src.repartition(spread, *keep[:1])
-    out_schema = T.StructType([f for f in src.schema.fields if f.name in keep] + GEN_SCHEMA_FIELDS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            chats = [[{"role": m["role"], "content": m["content"]} for m in msgs]
-                     for msgs in pdf[messages]]
-            t0 = time.perf_counter()
-            answers = list(fn(chats, settings)) if chats else []
-            per_row = int((time.perf_counter() - t0) * 1000 / max(len(chats), 1))
-            if len(answers) != len(chats):
-                raise ValueError(f"responder returned {len(answers)} answers for {len(chats)} chats")
-            res = pdf[keep].copy()
-            res["candidate"] = answers
-            res["elapsed_ms"] = per_row
-            yield res
-
-    return src.mapInPandas(run, out_schema)
+    answer = answer_udf(fn, dict(settings or {}), clock)
+    return src.select(*keep, answer(messages).alias("_a")).select(*keep, "_a.*")
 
 
 # ---------------------------------------------------------------- G2: the step flow
 
-def generate_flow(spark: SparkSession, records: DataFrame, fn: Responder, steps: int = 5,
-                  flow: str = "as_reference", method: str = "flow",
-                  settings: dict | None = None, clean_note: bool = True,
-                  spread: int | None = None) -> DataFrame:
-    """``steps`` chained answers per record, one batch job per step.
-
-    Returns responses (method, step, record_id, candidate, elapsed_ms) read
-    back from the written step tables.
+def generate_flow(spark: SparkSession, records: DataFrame, fn: Responder, plan="as_reference",
+                  method: str = "flow", settings: dict | None = None, clean_note: bool = True,
+                  spread: int | None = None, steps: int | None = None, key: str = "record_id",
+                  render: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chained answers per record, one batch job per step of ``plan``
+    (the first ``steps`` of it). ``render`` turns message arrays into prompt
+    texts (``chat.render_llama3``, ``chat.render_inst``) for responders that
+    take those.
+
+    Returns responses (method, step, key, candidate, call_id, call_rows,
+    call_sec) read back from the written step tables. Records need distinct,
+    non-NULL keys.
     """
     note = clean_text("input") if clean_note else F.col("input")
-    state = records.select("record_id", note.alias("note"))
-    outs = []
-    for k in range(1, steps + 1):
-        hist = state.withColumn("messages", step_history(k, flow, "note"))
-        gen = generate(hist, fn, "messages", settings,
-                       keep=["record_id", "note"] + needed_outputs(k), spread=spread)
-        gen = gen.withColumnRenamed("candidate", f"out{k}")
-        gen = cut_lineage(gen, spark, f"flow-{method}-step{k}")
-        outs.append(gen.select(F.lit(method).alias("method"), F.lit(k).alias("step"),
-                               "record_id", F.col(f"out{k}").alias("candidate"), "elapsed_ms"))
-        state = gen.drop("elapsed_ms")
-    resp = outs[0]
-    for o in outs[1:]:
-        resp = resp.unionByName(o)
+    notes = records.select(key, note.alias("note"))
+    done: dict[int, DataFrame] = {}
+    for k in list(plan_steps(plan))[:steps]:
+        state = notes
+        for j in needed_outputs(plan, k):
+            state = state.join(done[j].select(key, F.col("candidate").alias(f"out{j}")), key)
+        chat = step_history(k, plan, "note")
+        asked = state.select(key, (render(chat) if render else chat).alias("messages"))
+        done[k] = cut_lineage(generate(asked, fn, "messages", settings, keep=[key], spread=spread),
+                              spark, f"flow-{method}-step{k}")
+    parts = [t.select(F.lit(method).alias("method"), F.lit(k).alias("step"), *t.columns) for k, t in done.items()]
+    resp = parts[0]
+    for part in parts[1:]:
+        resp = resp.unionByName(part)
     return resp
 
 
@@ -139,15 +150,13 @@ def generate_flow(spark: SparkSession, records: DataFrame, fn: Responder, steps:
 
 def scored_step(responses: DataFrame, run_config: DataFrame) -> DataFrame:
     """Keep each method's scored step (run_config.scored_step)."""
-    cfg = F.broadcast(run_config.select("method", "scored_step"))   # one row per method
-    return (responses.join(cfg, "method")
+    return (responses.join(run_config.select("method", "scored_step"), "method")
             .where(F.col("step") == F.col("scored_step")).drop("scored_step"))
 
 
 def attach_run_settings(report: DataFrame, run_config: DataFrame) -> DataFrame:
-    """Print the settings with the results (run_config has one row per
-    method, a fixed-size table: broadcast)."""
-    return report.join(F.broadcast(run_config), "method", "left")
+    """Print the settings with the results (one row per method)."""
+    return report.join(run_config, "method", "left")
 
 
 # ---------------------------------------------------------------- model responders
@@ -155,35 +164,18 @@ def attach_run_settings(report: DataFrame, run_config: DataFrame) -> DataFrame:
 _MODELS: dict = {}
 
 
-def cached_responder(factory: Callable[[], Responder], name: str = "model") -> Responder:
+class cached_responder:
     """A responder that builds its model on first use in each Python worker
     and keeps it for later batches and tasks (worker processes are reused),
     instead of loading it per batch. ``factory()`` returns the batch
-    function ``fn(chats, settings) -> list[str]``."""
-    def respond(chats: list, settings: dict) -> list:
-        fn = _MODELS.get(name)
-        if fn is None:
-            fn = _MODELS[name] = factory()
-        return fn(chats, settings)
-    return respond
+    function ``fn(chats, settings) -> list[str]``; ``name`` tells models
+    apart. Workers import this class by name, so all tasks of a worker share
+    one store of models."""
 
+    def __init__(self, factory: Callable[[], Responder], name: str = "model"):
+        self.factory, self.name = factory, name
 
-# ---------------------------------------------------------------- test double
-
-def extractive_responder(chats: list, settings: dict) -> list:
-    """A deterministic stand-in for a model, for tests and benchmarks only.
-
-    First answer: the note's sentences as a semicolon list. Every later
-    answer: the previous answer without its last item (one item stays).
-    """
-    out = []
-    for chat in chats:
-        prev = next((m["content"] for m in reversed(chat) if m["role"] == "assistant"), None)
-        if prev is None:
-            note = next((m["content"] for m in chat if m["role"] == "user"), "") or ""
-            out.append(note.replace(". ", "; "))
-        else:
-            items = prev.split("; ")
-            out.append("; ".join(items[:max(len(items) - 1, 1)]))
-    return out
-
+    def __call__(self, chats: list, settings: dict) -> list:
+        if self.name not in _MODELS:
+            _MODELS[self.name] = self.factory()
+        return _MODELS[self.name](chats, settings)

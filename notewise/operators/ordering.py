@@ -3,18 +3,20 @@
 ``ordered_within(df, key, order, value)`` adds, for every row, its 1-based
 position in its group by ``order``, the group size, the next row's value and
 the group's last value: what ``row_number``, ``count``, ``lead`` and
-``last`` over ``Window.partitionBy(key).orderBy(order)`` give, with every
-window partition bounded by ``bucket_rows`` rows.
-
-Groups up to ``bucket_rows`` rows (all of them in normal data) take the
-plain window. Groups above it are few by construction (at most
-rows / bucket_rows of them, so their key list is a broadcast of proven
-size) and take a bucketed path: ``order`` is a dense integer position (a
-message index), so ``order div bucket_rows`` cuts a hot group into buckets of
-at most ``bucket_rows`` rows. A per-bucket aggregate (size, first and last
-value) gives each bucket its offset, the first value of the next bucket (the
-successor of the bucket's last row) and the group's last value, joined back
-once on (key, bucket).
+``last`` over ``Window.partitionBy(key).orderBy(order, value)`` give.
+
+There is one path for all groups. ``order`` is an integer position (a
+message index), and ``order div bucket_rows`` cuts every group into buckets;
+a window works inside each bucket. One row per bucket (size, first and last
+row) then gives each bucket its offset, the first row of the next bucket and
+the group's last row, joined back on the bucket. A group shorter than a
+bucket is one bucket. Group and bucket form one struct column, so that NULL
+keys and NULL orders are groups and buckets like any other and the window's
+partitioning serves the join too: the values are shuffled once. Rows are
+handed on inside structs, so that a NULL value stays a value.
+
+A bucket holds all rows of a group with the same position (and all with a
+NULL position, which come first); ties are ordered by value.
 """
 
 from __future__ import annotations
@@ -25,54 +27,23 @@ from pyspark.sql import functions as F
 U, UF = Window.unboundedPreceding, Window.unboundedFollowing
 
 
-def ordered_within(df: DataFrame, key: str, order: str, value: str,
-                   bucket_rows: int = 100_000, detect_hot: bool = True) -> DataFrame:
-    """df + pos (int), n (long), next_<value>, last_<value>.
-
-    ``detect_hot``: look for hot groups first (a keys-only aggregate, one
-    small job) and plan the plain window alone when there are none, which
-    is the common case; otherwise both paths are planned.
-    """
-    nxt, lst = f"next_{value}", f"last_{value}"
+def ordered_within(df: DataFrame, key: str, order: str, value: str, bucket_rows: int = 100_000) -> DataFrame:
+    """df + pos (int), n (long), next_<value>, last_<value>."""
     cols = df.columns
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))      # keys only, partial
-    hot_keys = sizes.where(F.col("_rows") > bucket_rows).select(key)
-    hot = F.broadcast(hot_keys)            # at most rows / bucket_rows keys
-
-    # normal groups: one window partition per group, at most bucket_rows rows
-    w = Window.partitionBy(key).orderBy(order)
-    wall = w.rowsBetween(U, UF)
-
-    def window(frame: DataFrame) -> DataFrame:
-        return frame.select(*cols, F.row_number().over(w).cast("int").alias("pos"),
-                            F.count(F.lit(1)).over(wall).alias("n"),
-                            F.lead(value).over(w).alias(nxt),
-                            F.last(value).over(wall).alias(lst))
-
-    if detect_hot and not hot_keys.take(1):
-        return window(df)
-    normal = window(df.join(hot, key, "left_anti"))
-
-    # hot groups: buckets of consecutive positions, each at most bucket_rows rows
-    h = df.join(hot, key, "left_semi").withColumn(
-        "_b", F.floor(F.col(order) / F.lit(bucket_rows)).cast("long"))
-    wb = Window.partitionBy(key, "_b").orderBy(order)
-    r = h.select(*cols, "_b", F.row_number().over(wb).alias("_local"),
-                 F.lead(value).over(wb).alias("_next_in"))
-    # one row per bucket: size, first and last value; then per group (a few
-    # rows per bucket_rows rows): offsets, size, the next bucket's first value
-    # and the group's last value
-    wk = Window.partitionBy(key).orderBy("_b")
-    whole = wk.rowsBetween(U, UF)
-    buckets = (h.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt"),
-                                        F.min_by(value, order).alias("_first"),
-                                        F.max_by(value, order).alias("_last"))
-               .select(key, "_b",
-                       F.coalesce(F.sum("_cnt").over(wk.rowsBetween(U, -1)), F.lit(0)).alias("_off"),
-                       F.sum("_cnt").over(whole).alias("n"),
-                       F.lead("_first").over(wk).alias("_succ"),
-                       F.last("_last").over(whole).alias(lst)))
-    hot_out = r.join(buckets, [key, "_b"]).select(
+    bucket = F.floor(F.col(order) / F.lit(bucket_rows)).cast("long")
+    rows = df.select(*cols, F.struct(F.col(key).alias("k"), bucket.alias("b")).alias("_g"))
+    inside = Window.partitionBy("_g").orderBy(order, value)
+    one, place = F.struct(F.col(value).alias("v")), F.struct(order, value)
+    local = rows.select("*", F.row_number().over(inside).alias("_local"), F.lead(one).over(inside).alias("_after"))
+
+    along = Window.partitionBy("_k").orderBy("_b")
+    whole = along.rowsBetween(U, UF)
+    buckets = (rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_size"), F.min_by(one, place).alias("_first"),
+                                      F.max_by(one, place).alias("_last"))
+               .select("_g", F.struct("_g.k").alias("_k"), F.col("_g.b").alias("_b"), "_size", "_first", "_last")
+               .select("_g", F.coalesce(F.sum("_size").over(along.rowsBetween(U, -1)), F.lit(0)).alias("_off"),
+                       F.sum("_size").over(whole).alias("n"), F.lead("_first").over(along).alias("_succ"),
+                       F.last("_last").over(whole).alias("_final")))
+    return local.join(buckets, "_g").select(
         *cols, (F.col("_off") + F.col("_local")).cast("int").alias("pos"), "n",
-        F.coalesce("_next_in", "_succ").alias(nxt), lst)
-    return normal.unionByName(hot_out)
+        F.coalesce("_after", "_succ")["v"].alias(f"next_{value}"), F.col("_final.v").alias(f"last_{value}"))

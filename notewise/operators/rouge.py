@@ -1,9 +1,9 @@
 """ROUGE-1, ROUGE-2, ROUGE-L and ROUGE-Lsum as one Spark job.
 
-Tokens are computed once per pair, in the JVM. N-gram overlap is a native
-array expression. The two LCS kernels are Arrow (pandas) UDFs: a
-bit-parallel LCS length (R6) and the summary-level union LCS (R8). Both
-take token arrays, so Python never sees raw text or re-tokenizes.
+Texts are normalised once per pair, in the JVM, to their tokens with one
+blank between them. One Arrow UDF then counts everything the metrics are
+made of: n-gram overlaps (R3), a bit-parallel LCS length (R6) and the
+summary-level union LCS (R8). Precision, recall and F are column algebra.
 
 Argument order follows the scorer convention score(reference, candidate):
 precision is measured on the candidate, recall on the reference.
@@ -11,6 +11,7 @@ precision is measured on the candidate, recall on the reference.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from notewise.functions.tokens import multiset_overlap, ngrams, rouge_tokens, sentence_tokens
+from notewise.functions.tokens import scoring_text
 from notewise.session import ship_package
 
 METRICS = ("rouge1", "rouge2", "rougeL")
@@ -56,31 +57,41 @@ def _token_masks(seq) -> dict:
 def _lcs_ref_indices(ref, can, masks: dict | None = None) -> list[int]:
     """Indices into ``ref`` of one LCS of ``ref`` and ``can``.
 
-    Rows of the DP table are kept as bit vectors over ``can``:
+    Rows of the DP table are bit vectors over ``can``:
     t[i][j] = j - popcount(V_i & (2^j - 1)). Backtracking from the end takes
     a match when tokens agree, moves left only when t[i][j-1] > t[i-1][j],
-    and up otherwise. ``masks``: the per-token bit masks of ``can`` when
-    the caller already has them.
+    and up otherwise. Only every k-th row is kept, k the root of the number
+    of rows; backtracking computes the rows of one stretch at a time again.
+    ``masks``: the per-token bit masks of ``can`` when the caller has them.
     """
-    n = len(can)
-    if n == 0 or len(ref) == 0:
+    n, m = len(can), len(ref)
+    if n == 0 or m == 0:
         return []
-    if masks is None:
-        masks = _token_masks(can)
+    masks = _token_masks(can) if masks is None else masks
     full = (1 << n) - 1
-    rows = [full]
-    v = full
-    get = masks.get
-    for tok in ref:
-        m = get(tok)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-        rows.append(v)
+    stretch = max(1, math.isqrt(m))
+
+    def rows_from(v, lo, hi):
+        out = [v]
+        for tok in ref[lo:hi]:
+            bits = masks.get(tok)
+            if bits:
+                u = v & bits
+                v = ((v + u) | (v - u)) & full
+            out.append(v)
+        return out
+
+    kept, v = [full], full
+    for lo in range(0, m, stretch):
+        v = rows_from(v, lo, min(m, lo + stretch))[-1]
+        kept.append(v)
 
     out = []
-    i, j = len(ref), n
+    i, j, lo, rows = m, n, m, []
     while i > 0 and j > 0:
+        if i <= lo or not rows:
+            lo = (i - 1) // stretch * stretch
+            rows = rows_from(kept[lo // stretch], lo, min(m, lo + stretch))
         if ref[i - 1] == can[j - 1]:
             out.append(i - 1)
             i -= 1
@@ -88,8 +99,8 @@ def _lcs_ref_indices(ref, can, masks: dict | None = None) -> list[int]:
         else:
             low = (1 << (j - 1)) - 1
             # t[i][j-1] > t[i-1][j]  <=>  (j-1) - pc(V_i & low) > j - pc(V_{i-1} & (2low+1))
-            left = (j - 1) - (rows[i] & low).bit_count()
-            up = j - (rows[i - 1] & ((low << 1) | 1)).bit_count()
+            left = (j - 1) - (rows[i - lo] & low).bit_count()
+            up = j - (rows[i - 1 - lo] & ((low << 1) | 1)).bit_count()
             if left > up:
                 j -= 1
             else:
@@ -134,21 +145,37 @@ def summary_lcs_hits(ref_sents, can_sents) -> tuple[int, int, int]:
     return hits, m, n
 
 
-# ---------------------------------------------------------------- Arrow UDFs
+def multiset_overlap(a, b) -> int:
+    """Size of the multiset intersection."""
+    return sum((Counter(a) & Counter(b)).values())
+
+
+# ---------------------------------------------------------------- the Arrow UDF
+
+PAIR_COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in
+                            ("cand_len", "ref_len", "o1", "o2", "lcs", "lsum", "lsum_ref", "lsum_cand")])
+
+
+def pair_counts(metrics=ALL_METRICS):
+    """Arrow UDF over two normalised texts (``scoring_text``): the counts
+    that the metrics are made of. A NULL text has no token."""
+    wanted = set(metrics)
 
-@pandas_udf(T.LongType())
-def lcs_length_udf(cand: pd.Series, ref: pd.Series) -> pd.Series:
-    """R6 over Arrow batches of token arrays."""
-    return pd.Series([lcs_length(c, r) for c, r in zip(cand, ref)], dtype="int64")
+    def one(cand: str | None, ref: str | None) -> tuple:
+        c, r = (cand or "").split(), (ref or "").split()
+        o1 = multiset_overlap(c, r) if "rouge1" in wanted else 0
+        o2 = multiset_overlap(zip(c, c[1:]), zip(r, r[1:])) if "rouge2" in wanted else 0
+        lcs = lcs_length(c, r) if "rougeL" in wanted else 0
+        lsum = (summary_lcs_hits([x.split() for x in (ref or "").split("\n")],
+                                 [x.split() for x in (cand or "").split("\n")])
+                if "rougeLsum" in wanted else (0, 0, 0))
+        return (len(c), len(r), o1, o2, lcs, *lsum)
 
+    @pandas_udf(PAIR_COUNTS)
+    def counts(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(c, r) for c, r in zip(cand, ref)], columns=PAIR_COUNTS.names, dtype="int64")
 
-@pandas_udf(T.StructType([T.StructField("hits", T.LongType()),
-                          T.StructField("ref_tokens", T.LongType()),
-                          T.StructField("cand_tokens", T.LongType())]))
-def summary_lcs_udf(cand_sents: pd.Series, ref_sents: pd.Series) -> pd.DataFrame:
-    """R8 over Arrow batches of sentence token arrays."""
-    out = [summary_lcs_hits(r, c) for c, r in zip(cand_sents, ref_sents)]
-    return pd.DataFrame(out, columns=["hits", "ref_tokens", "cand_tokens"], dtype="int64")
+    return counts
 
 
 # ---------------------------------------------------------------- column algebra
@@ -180,9 +207,15 @@ def prf_lcs(lcs: Column, cand_count: Column, ref_count: Column) -> Column:
                     fmeasure(p, r).cast("double").alias("fmeasure"))
 
 
-def with_tokens(df: DataFrame, cand: str = "candidate", ref: str = "reference") -> DataFrame:
-    """Token arrays for both sides, projected once before any metric."""
-    return df.withColumns({"cand_tok": rouge_tokens(cand), "ref_tok": rouge_tokens(ref)})
+def count_pairs(df: DataFrame, cand: str = "candidate", ref: str = "reference", metrics=METRICS, keep=None,
+                spread: int | None = None) -> DataFrame:
+    """keep + ``counts`` (see ``pair_counts``): the one Python stage of
+    scoring. Texts are normalised in the JVM, so Python only splits them."""
+    keep = keep if keep is not None else [c for c in df.columns if c not in (cand, ref)]
+    ship_package(df.sparkSession)
+    if spread:
+        df = df.repartition(spread, *keep)
+    return df.select(*keep, pair_counts(metrics)(scoring_text(cand), scoring_text(ref)).alias("counts"))
 
 
 def score_pairs(df: DataFrame, cand: str = "candidate", ref: str = "reference",
@@ -192,38 +225,19 @@ def score_pairs(df: DataFrame, cand: str = "candidate", ref: str = "reference",
     ``keep``: key columns carried through (default: every column except the
     two texts). ``spread``: optional number of tasks to hash-spread the pairs
     over first (by ``keep``), for inputs that arrive in few large files;
-    long pairs dominate the LCS kernels.
+    long pairs dominate the LCS kernels. A NULL text scores 0 everywhere.
     """
-    keep = keep if keep is not None else [c for c in df.columns if c not in (cand, ref)]
-    ship_package(df.sparkSession)
-    if spread:
-        df = df.repartition(spread, *keep)
-    texts = [cand, ref] if "rougeLsum" in metrics else []     # Lsum re-reads lines
-    t = with_tokens(df, cand, ref).select(*keep, "cand_tok", "ref_tok", *texts)
-    # token arrays are projected once; every metric below reads them
-    nc, nr = F.size("cand_tok"), F.size("ref_tok")
-    cols = {"cand_len": nc, "ref_len": nr}
-    if "rouge1" in metrics:
-        cols["o1"] = multiset_overlap("cand_tok", "ref_tok")
-    if "rouge2" in metrics:
-        cols["o2"] = multiset_overlap(ngrams("cand_tok", 2), ngrams("ref_tok", 2))
-    if "rougeL" in metrics:
-        cols["lcs"] = lcs_length_udf("cand_tok", "ref_tok")
-    if "rougeLsum" in metrics:
-        cols["lsum"] = summary_lcs_udf(sentence_tokens(cand), sentence_tokens(ref))
-    t = t.withColumns(cols)
-    out = []
-    if "rouge1" in metrics:
-        out.append(prf(F.col("o1"), F.col("cand_len"), F.col("ref_len")).alias("rouge1"))
-    if "rouge2" in metrics:
-        out.append(prf(F.col("o2"), F.greatest(F.col("cand_len") - 1, F.lit(0)),
-                       F.greatest(F.col("ref_len") - 1, F.lit(0))).alias("rouge2"))
-    if "rougeL" in metrics:
-        out.append(prf_lcs(F.col("lcs"), F.col("cand_len"), F.col("ref_len")).alias("rougeL"))
-    if "rougeLsum" in metrics:
-        out.append(prf_lcs(F.col("lsum.hits"), F.col("lsum.cand_tokens"),
-                           F.col("lsum.ref_tokens")).alias("rougeLsum"))
-    return t.select(*keep, *out)
+    t = count_pairs(df, cand, ref, metrics, keep, spread)
+    kept = [c for c in t.columns if c != "counts"]
+    c = {n: F.col(f"counts.{n}") for n in PAIR_COUNTS.names}
+    zero = F.lit(0).cast("long")
+    scores = {
+        "rouge1": prf(c["o1"], c["cand_len"], c["ref_len"]),
+        "rouge2": prf(c["o2"], F.greatest(c["cand_len"] - 1, zero), F.greatest(c["ref_len"] - 1, zero)),
+        "rougeL": prf_lcs(c["lcs"], c["cand_len"], c["ref_len"]),
+        "rougeLsum": prf_lcs(c["lsum"], c["lsum_cand"], c["lsum_ref"]),
+    }
+    return t.select(*kept, *[scores[m].alias(m) for m in metrics])
 
 
 def scores_long(scored: DataFrame, keys, metrics=METRICS) -> DataFrame:

@@ -53,6 +53,14 @@ def within_budget(df: DataFrame, budget: int = TOKEN_BUDGET, col: str = "token_c
     return df.where(F.col(col) < budget)
 
 
+def within_budget_of_text(df: DataFrame, text: str = "text", budget: int = TOKEN_BUDGET, keep=("record_id",)) -> DataFrame:
+    """F1 from the text: keep + token_count of the rows under the budget. The
+    count is bound before it is compared, so a row is counted once; a filter
+    over a counted column would be pushed down and count again."""
+    counted = F.array(F.struct(count_tokens(text).cast("int").alias("token_count")))
+    return df.select(*keep, F.inline(F.filter(counted, lambda x: x["token_count"] < budget)))
+
+
 def truncate(tokens="tokens", budget: int = TOKEN_BUDGET) -> Column:
     """The first ``budget`` tokens."""
     return F.slice(_c(tokens), 1, budget)

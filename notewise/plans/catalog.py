@@ -22,8 +22,9 @@ from notewise.operators import generate as G
 from notewise.operators import rouge as R
 from notewise.operators import sft as S
 from notewise.plans import sqlparts as Q
-from notewise.plans.prompts import (EOT, INST_EOS, RUN_CONFIG_ROWS, prompt_plan_rows, run_config,
-                                    settings_for)
+from notewise.plans.prompts import (EOT, FLOW_TURNS, HDR_END, HDR_START, INST_BOS, INST_CLOSE, INST_EOS, INST_OPEN,
+                                    RUN_CONFIG_ROWS, SHORT_PLAN, prompt_plan_rows, run_config, settings_for)
+from notewise.plans.standin import WorkClock, extractive_responder
 from notewise.session import cut_lineage, shared_path, ship_package
 from notewise.sources import records as SR
 from notewise.sources import testdata as td
@@ -56,6 +57,8 @@ def _prf_cols(struct: str):
 
 
 KEYS = ["method", "step", "record_id"]
+#: tasks that CPU-heavy work on the test documents (one file) is spread over
+SPREAD = 16
 
 
 def _scored(spark, sf, metrics=R.METRICS) -> DataFrame:
@@ -99,11 +102,8 @@ def q_ngrams(spark, sf):
     f"SELECT method, step, record_id, CAST({Q.overlap('ct', 'rt')} AS BIGINT) AS overlap1, "
     f"CAST({Q.overlap(Q.ngr('ct', 2), Q.ngr('rt', 2))} AS BIGINT) AS overlap2 FROM toks"))
 def q_ngram_overlap(spark, sf):
-    from notewise.functions.tokens import multiset_overlap
-    t = R.with_tokens(td.scored_answers(spark, sf)).select(*KEYS, "cand_tok", "ref_tok")
-    return t.select(*KEYS, multiset_overlap("cand_tok", "ref_tok").cast("bigint").alias("overlap1"),
-                    multiset_overlap(ngrams("cand_tok", 2), ngrams("ref_tok", 2))
-                    .cast("bigint").alias("overlap2"))
+    t = R.count_pairs(td.scored_answers(spark, sf), metrics=("rouge1", "rouge2"), keep=KEYS)
+    return t.select(*KEYS, F.col("counts.o1").alias("overlap1"), F.col("counts.o2").alias("overlap2"))
 
 
 def _rn_sql(n: int) -> str:
@@ -152,8 +152,8 @@ def _lcs_sql(body: str) -> str:
 
 @query("lcs_length", _lcs_sql("SELECT method, step, record_id, lcs FROM lcs"))
 def q_lcs_length(spark, sf):
-    t = R.with_tokens(td.scored_answers(spark, sf)).select(*KEYS, "cand_tok", "ref_tok")
-    return t.select(*KEYS, R.lcs_length_udf("cand_tok", "ref_tok").alias("lcs"))
+    t = R.count_pairs(td.scored_answers(spark, sf), metrics=("rougeL",), keep=KEYS)
+    return t.select(*KEYS, "counts.lcs")
 
 
 _PL = "CASE WHEN nc = 0 OR nr = 0 THEN 0.0 ELSE lcs / nc END"
@@ -266,10 +266,58 @@ def q_corpus_rouge(spark, sf):
     return c.select("method", "step", "metric", *[r6(k).alias(k) for k in E.PRF], "n_pairs")
 
 
-@query("corpus_rouge_bootstrap")
+LSUM_LONG = (f"SELECT method, step, record_id, 'rougeLsum' AS metric, {_PS} AS precision, {_RS} AS recall, "
+             f"{Q.fm(_PS, _RS)} AS fmeasure FROM lsum")
+#: the two recursive tables of the summary LCS under names of their own
+LSUM_CTE_2 = {k.replace("dp(", "sdp(").replace("bt(", "sbt(") if "(" in k else k:
+              v.replace("FROM dp", "FROM sdp").replace("FROM bt", "FROM sbt") for k, v in LSUM_CTE.items()}
+
+
+def _boot_sql(seed: int = 17, replicates: int = 1000) -> dict:
+    """The bootstrap's integer weights in SQL: a cubic in the replicate's
+    number, coefficients from the md5 of (seed, run, key), fixed limits."""
+    p = E.PRIME
+    dice = f"md5(concat_ws('|', '{seed}', method, CAST(step AS VARCHAR), CAST(record_id AS VARCHAR)))"
+    co = ", ".join(f"CAST(('0x' || substr(d, {i + 1}, 8)) AS BIGINT) % {p} AS c{j}" for j, i in enumerate((0, 8, 16, 24)))
+    limits = "[" + ", ".join(map(str, E.poisson_limits())) + "]"
+    return {
+        "every": f"SELECT * FROM long UNION ALL {LSUM_LONG}",
+        "co": f"SELECT method, step, record_id, {co} FROM (SELECT DISTINCT method, step, record_id, {dice} AS d FROM answers)",
+        "w": f"""SELECT method, step, record_id, r, len(list_filter({limits}, lambda x: x <= v)) AS w
+  FROM (SELECT method, step, record_id, r, ((((c3 * r + c2) % {p}) * r + c1) % {p} * r + c0) % {p} AS v
+        FROM co, range(1, {replicates + 1}) AS t(r))""",
+        "rep": f"""SELECT method, step, metric, r,
+         sum(w * CAST(round(fmeasure * {E.SCALE}) AS BIGINT)) / sum(w) / {E.SCALE} AS f
+  FROM every JOIN w USING (method, step, record_id) GROUP BY method, step, metric, r HAVING sum(w) > 0""",
+        "boot": """SELECT method, step, metric, quantile_cont(f, 0.025) AS low, quantile_cont(f, 0.5) AS mid,
+         quantile_cont(f, 0.975) AS high FROM rep GROUP BY method, step, metric"""}
+
+
+def _boot_query(select: str) -> str:
+    extra = {**TOKS, **LCS_CTE, "long": _long_sql(), **LSUM_CTE_2, **_boot_sql()}
+    return "WITH RECURSIVE" + with_views(select, "answers", extra=extra)[len("WITH"):]
+
+
+_LMH = ("low", "mid", "high")
+
+
+@query("corpus_rouge_bootstrap", _boot_query(
+    "SELECT method, step, metric, round(low, 6) AS low, round(mid, 6) AS mid, round(high, 6) AS high FROM boot"))
 def q_corpus_rouge_bootstrap(spark, sf):
     b = E.corpus_rouge_bootstrap(_scored(spark, sf, R.ALL_METRICS))
-    return b.select("method", "step", "metric", *[r6(k).alias(k) for k in ("low", "mid", "high")])
+    return b.select("method", "step", "metric", *[r6(k).alias(k) for k in _LMH])
+
+
+@query("evaluate_runs", _boot_query(
+    "SELECT method, step, metric, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, "
+    "round(avg(fmeasure), 6) AS fmeasure, count(*) AS n_pairs, round(any_value(low), 6) AS low, "
+    "round(any_value(mid), 6) AS mid, round(any_value(high), 6) AS high "
+    "FROM every JOIN boot USING (method, step, metric) GROUP BY method, step, metric"))
+def q_evaluate_runs(spark, sf):
+    """Both scorers' reports of every run from one scoring pass."""
+    e = E.evaluate_runs(td.scored_answers(spark, sf))
+    return e.select("method", "step", "metric", *[r6(k).alias(k) for k in E.PRF], "n_pairs",
+                    *[r6(k).alias(k) for k in _LMH])
 
 
 @query("score_report", _corpus_query(
@@ -279,9 +327,12 @@ def q_score_report(spark, sf):
     return E.score_report(_corpus(spark, sf))
 
 
-def _docs_labels(spark, sf) -> DataFrame:
+def _docs_label_flags(spark, sf) -> DataFrame:
+    """doc_id and the null flags; the text is reduced to its flag before the
+    join, so the join moves ids and flags."""
     lab = td.table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    return td.docs(spark, sf).select("doc_id", "text").join(lab, "doc_id", "left")
+    doc = td.docs(spark, sf).select("doc_id", *X.null_flags(["text"]))
+    return doc.join(lab, "doc_id", "left").select("doc_id", "text_null", *X.null_flags(["quality", "toxic"]))
 
 
 @query("null_patterns", """
@@ -289,7 +340,7 @@ SELECT text IS NULL AS text_null, quality IS NULL AS quality_null, toxic IS NULL
        count(*) AS n
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ALL""")
 def q_null_patterns(spark, sf):
-    return E.null_patterns(_docs_labels(spark, sf), ["text", "quality", "toxic"])
+    return E.flag_patterns(_docs_label_flags(spark, sf).drop("doc_id"))
 
 
 SFT_VIEW = {"sft": (
@@ -301,9 +352,10 @@ SFT_COUNT = {"sft_count": f"SELECT *, CAST({Q.count_tokens('text')} + 1 AS INTEG
                           f"FROM sft_text"}
 
 
-def _sft_sql(body: str, count: bool = True) -> str:
-    extra = {**SFT_VIEW, **SFT_TEXT, **(SFT_COUNT if count else {})}
-    return with_views(body, "split_records", extra=extra)
+def _sft_sql(body: str, count: bool = True, source: str = "split_records", more: dict | None = None) -> str:
+    view = {"sft": SFT_VIEW["sft"].replace("FROM split_records", f"FROM {source}")}
+    extra = {**view, **SFT_TEXT, **(SFT_COUNT if count else {}), **(more or {})}
+    return with_views(body, source, extra=extra)
 
 
 def _sft_records(spark, sf) -> DataFrame:
@@ -311,12 +363,17 @@ def _sft_records(spark, sf) -> DataFrame:
     return X.clean_scope(td.split_records(spark, sf), ("instruction", "input", "output"))
 
 
+def _sft_docs(spark, sf) -> DataFrame:
+    """The same over documents, many of which exceed the token budget."""
+    return X.clean_scope(td.doc_records(spark, sf), ("instruction", "input", "output"))
+
+
 @query("length_report", _sft_sql(
     "SELECT split, count(*) FILTER (WHERE token_count < 512) AS n_under, count(*) AS n_rows, "
     "round(count(*) FILTER (WHERE token_count < 512) / count(*), 6) AS share_under "
-    "FROM sft_count GROUP BY split"))
+    "FROM sft_count GROUP BY split", source="doc_records"))
 def q_length_report(spark, sf):
-    rep = S.length_report(S.prepare_sft(_sft_records(spark, sf)))
+    rep = S.length_report(S.prepare_sft(_sft_docs(spark, sf)))
     return rep.select("split", "n_under", "n_rows", r6("share_under").alias("share_under"))
 
 
@@ -360,19 +417,20 @@ def q_step_gain(spark, sf):
 
 
 @query("run_timing", with_views(
-    "SELECT 'single_prompt' AS method, 1 AS step, count(*) AS n, true AS timed FROM records",
-    "records"))
+    "SELECT 'single_prompt' AS method, 1 AS step, count(*) AS n, round(count(*) * 0.25, 6) AS total_sec, "
+    "true AS calls_add_up FROM records", "records"))
 def q_run_timing(spark, sf):
+    """A8 on a clock that moves a quarter of a second per chat."""
     recs = td.records(spark, sf)
     msgs = recs.select("record_id", C.messages_system_user(X.clean_text("input")).alias("messages"))
-    resp = G.generate(msgs, G.extractive_responder, keep=["record_id"])
+    clock = WorkClock(0.25)
+    resp = G.generate(msgs, clock.timed(extractive_responder), keep=["record_id"], clock=clock)
     resp = cut_lineage(resp.select(F.lit("single_prompt").alias("method"), F.lit(1).alias("step"),
-                                   "record_id", "candidate", "elapsed_ms"), spark, "timing")
+                                   "*"), spark, "timing")
     t = E.run_timing(resp)
-    # wall times vary run to run; the check covers the row flow and that
-    # every timing column is filled
-    timed = (F.col("total_sec") >= 0) & (F.col("max_ms") >= 0) & (F.col("p95_ms") >= F.col("p50_ms"))
-    return t.select("method", "step", "n", timed.alias("timed"))
+    ok = ((F.col("max_sec") <= F.col("total_sec")) & (F.col("p50_sec") <= F.col("p95_sec"))
+          & (F.col("p95_sec") <= F.col("max_sec")) & (F.col("max_sec") * F.col("n_calls") >= F.col("total_sec")))
+    return t.select("method", "step", "n", r6("total_sec").alias("total_sec"), ok.alias("calls_add_up"))
 
 
 # ====================================================================== joins (J*)
@@ -396,13 +454,15 @@ def q_pair_with_gold(spark, sf):
 
 
 @query("unpaired_rows", with_views(
-    "SELECT 'candidate_only' AS side, conv_id AS record_id FROM "
-    "(SELECT DISTINCT conv_id FROM conversations) c WHERE conv_id NOT IN (SELECT record_id FROM records) "
-    "UNION ALL SELECT 'gold_only', record_id FROM records "
-    "WHERE record_id NOT IN (SELECT conv_id FROM conversations)", "records"))
+    "SELECT t.run AS method, 'gold_only' AS side, r.record_id FROM records r, "
+    "(SELECT DISTINCT role AS run FROM conversations) t "
+    "WHERE NOT EXISTS (FROM conversations c WHERE c.conv_id = r.record_id AND c.role = t.run) "
+    "UNION ALL SELECT DISTINCT role, 'candidate_only', conv_id FROM conversations "
+    "WHERE conv_id NOT IN (SELECT record_id FROM records)", "records"))
 def q_unpaired_rows(spark, sf):
-    cand = td.table(spark, sf, "conversations").select(F.col("conv_id").alias("record_id"))
-    return E.unpaired_rows(cand, td.records(spark, sf))
+    """J2 for each run: the roles of the conversations stand for runs."""
+    cand = td.table(spark, sf, "conversations").select(F.col("role").alias("method"), F.col("conv_id").alias("record_id"))
+    return E.unpaired_rows(cand, td.records(spark, sf), run=["method"])
 
 
 @query("compare_steps", _corpus_query("""
@@ -418,36 +478,41 @@ def q_compare_steps(spark, sf):
                     r6("delta").alias("delta"))
 
 
-def _plan_sql() -> str:
-    vals = ", ".join(
-        "('{}', {}, {}, '{}', '{}', {})".format(f, s, i, r, src,
-                                              "NULL" if lit is None else Q.lit(lit))
-        for f, s, i, r, src, lit in prompt_plan_rows())
-    return (f"SELECT * FROM (VALUES {vals}) AS t(flow, step, msg_idx, role, source, content)")
+def _plan_msgs_sql(rows, outs: bool) -> str:
+    """A plan step's messages as JSON in SQL."""
+    def content(src, lit):
+        if src == "lit":
+            return Q.lit(lit)
+        return Q.clean("r.input") if src == "note" else (f"o.{src}" if outs else "CAST(NULL AS VARCHAR)")
+    return Q.json_msgs(*[(role, content(src, lit)) for _, role, src, lit in rows])
 
 
-@query("attach_prompt_plan", with_views(
-    f"SELECT p.flow, CAST(p.step AS INTEGER) AS step, r.record_id, CAST(p.msg_idx AS INTEGER) AS msg_idx, "
-    f"p.role, p.source, CASE WHEN p.source = 'lit' THEN p.content WHEN p.source = 'note' "
-    f"THEN {Q.clean('r.input')} END AS content FROM records r CROSS JOIN ({_plan_sql()}) p",
-    "records"))
-def q_attach_prompt_plan(spark, sf):
-    """Every record with the message template of each step (model
-    outputs not yet known: NULL). Built by projection from the fixed plan."""
-    recs = td.records(spark, sf).select("record_id", X.clean_text("input").alias("note"))
+def _plan_parts_sql(plans: dict, frm: str, outs: bool) -> str:
+    """One row per record and step of each plan whose answers exist."""
     parts = []
-    for flow in ("as_reference", "consistent"):
-        for step, rows in G.plan_steps(flow).items():
-            msgs = F.array(*[F.struct(F.lit(i).alias("msg_idx"), F.lit(role).alias("role"),
-                                      F.lit(src).alias("source"),
-                                      (F.lit(lit) if src == "lit" else
-                                       F.col("note") if src == "note" else
-                                       F.lit(None).cast("string")).alias("content"))
-                             for i, role, src, lit in rows])
-            parts.append(F.struct(F.lit(flow).alias("flow"), F.lit(step).alias("step"),
-                                  msgs.alias("msgs")))
+    for flow, plan in plans.items():
+        for step, rows in G.plan_steps(plan).items():
+            have = [f"o.out{j} IS NOT NULL" for j in G.needed_outputs(plan, step)] if outs else []
+            parts.append(f"SELECT '{flow}' AS flow, {step} AS step, r.record_id, {_plan_msgs_sql(rows, outs)} AS messages "
+                         f"FROM {frm}" + (" WHERE " + " AND ".join(have) if have else ""))
+    return " UNION ALL ".join(parts)
+
+
+PLANS = {**{f: f for f in FLOW_TURNS}, "short": SHORT_PLAN}
+N_OUTS = max(j for p in PLANS.values() for k in G.plan_steps(p) for j in G.needed_outputs(p, k))
+
+
+@query("attach_prompt_plan", with_views(_plan_parts_sql(PLANS, "records r", False), "records"))
+def q_attach_prompt_plan(spark, sf):
+    """Every record with the messages of each step of each plan (model
+    answers not yet known: NULL), one message array per record and step."""
+    recs = td.records(spark, sf).select("record_id", X.clean_text("input").alias("note"), *[
+        F.lit(None).cast("string").alias(f"out{j}") for j in range(1, N_OUTS + 1)])
+    parts = [F.struct(F.lit(flow).alias("flow"), F.lit(step).alias("step"), G.step_history(step, plan).alias("m"))
+             for flow, plan in PLANS.items() for step in G.plan_steps(plan)]
     plan = recs.select("record_id", F.inline(F.array(*parts)))
-    return plan.select("flow", "step", "record_id", F.inline("msgs"))
+    return plan.select("flow", "step", "record_id",
+                       F.to_json("m", {"ignoreNullFields": "false"}).alias("messages"))
 
 
 # ====================================================================== generation (G*)
@@ -456,38 +521,31 @@ def _asst_outputs(spark, sf) -> DataFrame:
     """Earlier outputs of each conversation: out_k = k-th assistant turn."""
     a = td.pairs(spark, sf)
     return a.groupBy("record_id").agg(*[
-        F.max(F.when(F.col("step") == k, F.col("candidate"))).alias(f"out{k}") for k in range(1, 5)])
+        F.max(F.when(F.col("step") == k, F.col("candidate"))).alias(f"out{k}") for k in range(1, N_OUTS + 1)])
+
+
+OUTS_SQL = {"outs": "SELECT conv_id AS record_id, " + ", ".join(
+    f"max(CASE WHEN step = {k} AND next_text IS NOT NULL THEN text END) AS out{k}"
+    for k in range(1, N_OUTS + 1)) + " FROM asst GROUP BY conv_id"}
 
 
 @query("step_history", with_views(
-    f"""SELECT p.flow, CAST(p.step AS INTEGER) AS step, r.record_id, CAST(p.msg_idx AS INTEGER) AS msg_idx,
-       p.role, CASE p.source WHEN 'lit' THEN p.content WHEN 'note' THEN {Q.clean('r.input')}
-       WHEN 'out1' THEN o.out1 WHEN 'out2' THEN o.out2 WHEN 'out3' THEN o.out3 ELSE o.out4 END AS content
-FROM records r JOIN outs o USING (record_id) CROSS JOIN ({_plan_sql()}) p
-WHERE p.step = 1 OR (p.step = 2 AND o.out1 IS NOT NULL) OR (p.step = 3 AND o.out2 IS NOT NULL)
-   OR (p.step = 4 AND o.out3 IS NOT NULL) OR (p.step = 5 AND o.out4 IS NOT NULL)""",
-    "records", "asst", extra={"outs": "SELECT conv_id AS record_id, " + ", ".join(
-        f"max(CASE WHEN step = {k} AND next_text IS NOT NULL THEN text END) AS out{k}"
-        for k in range(1, 5)) + " FROM asst GROUP BY conv_id"}))
+    _plan_parts_sql(PLANS, "records r JOIN outs o USING (record_id)", True), "records", "asst", extra=OUTS_SQL))
 def q_step_history(spark, sf):
-    """P10: message lists of steps 1-5 where the earlier outputs exist (the
-    conversation's assistant turns stand in for the model outputs)."""
+    """P10: message lists of all plans' steps where the earlier outputs exist
+    (the conversation's assistant turns stand in for the model outputs)."""
     base = td.records(spark, sf).select("record_id", X.clean_text("input").alias("note"))
     state = base.join(_asst_outputs(spark, sf), "record_id", "left")
     parts = []
-    for flow in ("as_reference", "consistent"):
-        for step in range(1, 6):
+    for flow, plan in PLANS.items():
+        for step in G.plan_steps(plan):
             have = F.lit(True)
-            for o in G.needed_outputs(step):
-                have = have & F.col(o).isNotNull()
+            for j in G.needed_outputs(plan, step):
+                have = have & F.col(f"out{j}").isNotNull()
             parts.append(F.when(have, F.struct(F.lit(flow).alias("flow"), F.lit(step).alias("step"),
-                                               G.step_history(step, flow).alias("messages"))))
-    h = state.select("record_id", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull()))
-                     .alias("h"))
-    return h.select("h.flow", "h.step", "record_id",
-                    F.posexplode("h.messages").alias("msg_idx", "m")).select(
-        "flow", "step", "record_id", "msg_idx", F.col("m.role").alias("role"),
-        F.col("m.content").alias("content"))
+                                               G.step_history(step, plan).alias("m"))))
+    h = state.select("record_id", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("h"))
+    return h.select("h.flow", "h.step", "record_id", F.to_json("h.m").alias("messages"))
 
 
 SINGLE_ANSWER = f"replace({Q.clean('input')}, '. ', '; ')"
@@ -498,7 +556,7 @@ SINGLE_ANSWER = f"replace({Q.clean('input')}, '. ', '; ')"
 def q_generate_single(spark, sf):
     recs = td.records(spark, sf)
     msgs = recs.select("record_id", C.messages_system_user(X.clean_text("input")).alias("messages"))
-    out = G.generate(msgs, G.extractive_responder, settings=settings_for("single_prompt"),
+    out = G.generate(msgs, extractive_responder, settings=settings_for("single_prompt"),
                      keep=["record_id"])
     return cut_lineage(out, spark, "single").select("record_id", "candidate")
 
@@ -509,7 +567,18 @@ def q_generate_single(spark, sf):
     f"FROM (SELECT record_id, string_split({SINGLE_ANSWER}, '; ') AS items FROM records) "
     f"CROSS JOIN range(1, 6) AS s(k)", "records"))
 def q_generate_flow(spark, sf):
-    resp = G.generate_flow(spark, td.records(spark, sf), G.extractive_responder, steps=5,
+    resp = G.generate_flow(spark, td.records(spark, sf), extractive_responder, settings=settings_for("flow"))
+    return resp.select("method", "step", "record_id", "candidate")
+
+
+@query("generate_user_flow", with_views(
+    f"SELECT 'user' AS method, CAST(k AS INTEGER) AS step, record_id, "
+    f"array_to_string(items[1:greatest(len(items) - (k - 1), 1)], '; ') AS candidate "
+    f"FROM (SELECT record_id, string_split({SINGLE_ANSWER}, '; ') AS items FROM records) "
+    f"CROSS JOIN range(1, 4) AS s(k)", "records"))
+def q_generate_user_flow(spark, sf):
+    """G2 with a plan of the user's own, of three steps."""
+    resp = G.generate_flow(spark, td.records(spark, sf), extractive_responder, plan=SHORT_PLAN, method="user",
                            settings=settings_for("flow"))
     return resp.select("method", "step", "record_id", "candidate")
 
@@ -522,42 +591,53 @@ def q_scored_step(spark, sf):
     return G.scored_step(resp, run_config(spark))
 
 
-@query("extract_last_message", with_views("SELECT record_id, output AS content FROM records", "records"))
+@query("extract_last_message",
+       "SELECT conv_id AS record_id, arg_max(text, turn) AS content FROM conversations "
+       "WHERE text IS NOT NULL GROUP BY conv_id")
 def q_extract_last_message(spark, sf):
-    """The answer is the content of the last message of the chat a chat
-    model returns (its input history plus the new assistant turn). Here the
-    returned chat is the system/user history with the record's gold answer
-    as the assistant turn: a bounded array, taken apart by element_at."""
-    r = td.records(spark, sf)
-    returned = F.array_append(C.messages_system_user(X.clean_text("input")),
-                              C.message("assistant", "output"))
-    return r.select("record_id", X.extract_last_message(returned).alias("content"))
+    """The answer is the content of the last message of a returned chat.
+    The chats are the conversations' first and last messages as they stand,
+    whatever their roles: a bounded array, taken apart by position."""
+    conv = td.table(spark, sf, "conversations").where("text IS NOT NULL")
+    chats = conv.groupBy(F.col("conv_id").alias("record_id")).agg(F.array(
+        F.min_by(C.message(F.col("role"), "text"), "turn"), F.max_by(C.message(F.col("role"), "text"), "turn")).alias("m"))
+    return chats.select("record_id", X.extract_last_message("m").alias("content"))
 
 
 DECODED_USER = "r.instruction || ' ' || r.input"
+_KEPT = "record_id % 3 <> 0"
 
 
 @query("extract_decoded", with_views(
-    "SELECT method, step, record_id, candidate AS new_text, "
-    f"CAST(length({Q.inst_single(DECODED_USER)}) AS INTEGER) AS prompt_chars "
-    "FROM answers a JOIN records r USING (record_id)", "answers", "records"))
+    f"SELECT method, step, record_id, CASE WHEN {_KEPT} THEN candidate ELSE 'x' || p || candidate END AS new_text, "
+    f"CAST(length(p) AS INTEGER) AS prompt_chars, CASE WHEN {_KEPT} THEN p ELSE 'x' || p END || candidate AS scored_whole "
+    f"FROM (SELECT a.method, a.step, a.record_id, a.candidate, {Q.inst_single(DECODED_USER)} AS p "
+    "FROM answers a JOIN records r USING (record_id))", "answers", "records"))
 def q_extract_decoded(spark, sf):
-    """Answers decoded together with their prompt; the new text is the
-    decoded sequence after the rendered prompt."""
+    """Answers decoded together with their prompt; the new text is what
+    follows the rendered prompt. A third of the sequences don't start with
+    the prompt and stay whole. ``scored_whole`` is the candidate as a script
+    scores it that keeps the prompt."""
     recs = td.records(spark, sf).select("record_id", C.render_inst(C.messages_user()).alias("prompt"))
     a = td.scored_answers(spark, sf).select(*KEYS, "candidate").join(recs, "record_id")
-    dec = a.withColumn("decoded", F.concat("prompt", "candidate"))
+    lead = F.when(F.pmod("record_id", F.lit(3)) == 0, F.lit("x")).otherwise(F.lit(""))
+    dec = a.withColumn("decoded", F.concat(lead, "prompt", "candidate"))
     return dec.select(*KEYS, X.strip_prompt("decoded", "prompt").alias("new_text"),
-                      F.length("prompt").alias("prompt_chars"))
+                      F.length("prompt").alias("prompt_chars"), F.col("decoded").alias("scored_whole"))
 
 
 @query("cut_at_terminator", with_views(
-    "SELECT method, step, record_id, candidate AS answer FROM answers", "answers"))
+    "SELECT method, step, record_id, CASE record_id % 3 WHEN 2 THEN candidate || ' ' || reference ELSE candidate END "
+    "AS answer FROM answers", "answers"))
 def q_cut_at_terminator(spark, sf):
-    """Answers as a generator returns them (end-of-turn marker and
-    trailing text included), cut at the first terminator."""
+    """Answers as a generator returns them, cut at the first terminator:
+    both markers in either order, or none at all."""
     a = td.scored_answers(spark, sf)
-    raw = F.concat("candidate", F.lit(EOT), F.lit("assistant"), F.lit(INST_EOS), F.col("reference"))
+    first, second = F.lit(EOT), F.lit(INST_EOS)
+    kind = F.pmod("record_id", F.lit(3))
+    raw = (F.when(kind == 0, F.concat("candidate", first, F.lit("assistant"), second, "reference"))
+           .when(kind == 1, F.concat("candidate", second, F.lit(" "), first, "reference"))
+           .otherwise(F.concat("candidate", F.lit(" "), "reference")))
     return a.select(*KEYS, X.cut_at_terminator(raw).alias("answer"))
 
 
@@ -576,7 +656,7 @@ def q_run_settings(spark, sf):
 
 @query("clean_text", f"SELECT doc_id, {Q.clean('text')} AS text FROM documents")
 def q_clean_text(spark, sf):
-    return td.docs(spark, sf, spread=True).select("doc_id", X.clean_text("text").alias("text"))
+    return td.docs(spark, sf, spread=SPREAD).select("doc_id", X.clean_text("text").alias("text"))
 
 
 @query("clean_scope", with_views(
@@ -635,16 +715,43 @@ def q_messages_generation(spark, sf):
     return r.select("split", "record_id", C.messages_to_json(C.messages_generation()).alias("messages"))
 
 
-@query("render_llama3_chat", _sft_sql("SELECT split, record_id, text FROM sft_text", count=False))
+def _rendered_sql(msg, lead: str, tail: str, drop_system: bool) -> str:
+    """Rendered histories of all plans' steps in SQL."""
+    def content(src, lit):
+        return Q.lit(lit) if src == "lit" else Q.clean("r.input") if src == "note" else f"o.{src}"
+    parts = []
+    for flow, plan in PLANS.items():
+        for step, rows in G.plan_steps(plan).items():
+            have = " AND ".join(["true", *[f"o.out{j} IS NOT NULL" for j in G.needed_outputs(plan, step)]])
+            body = " || ".join(msg(role, content(src, lit)) for _, role, src, lit in rows
+                               if not (drop_system and role == "system"))
+            parts.append(f"SELECT '{flow}' AS flow, {step} AS step, r.record_id, {lead} || {body}{tail} AS prompt "
+                         f"FROM records r JOIN outs o USING (record_id) WHERE {have}")
+    return with_views(" UNION ALL ".join(parts), "records", "asst", extra=OUTS_SQL)
+
+
+def _histories(spark, sf) -> DataFrame:
+    """(flow, step, record_id, m): message arrays of all plans' steps."""
+    h = q_step_history(spark, sf)
+    return h.select("flow", "step", "record_id", F.from_json("messages", f"array<{C.MESSAGE}>").alias("m"))
+
+
+@query("render_llama3_chat", _rendered_sql(
+    Q.llama_msg, Q.lit(C.BOS), f" || {Q.lit(HDR_START + 'assistant' + HDR_END)} || {Q.NL} || {Q.NL}", False))
 def q_render_llama3_chat(spark, sf):
-    return S.format_training_text(_sft_records(spark, sf)).select("split", "record_id", "text")
+    """P11 on histories of every length, with the generation header."""
+    return _histories(spark, sf).select("flow", "step", "record_id",
+                                        C.render_llama3("m", add_generation_prompt=True).alias("prompt"))
 
 
-@query("render_inst_chat", with_views(
-    f"SELECT record_id, {Q.inst_single("(instruction || ' ' || input)")} AS prompt "
-    f"FROM records", "records"))
+@query("render_inst_chat", _rendered_sql(
+    lambda role, c: f"{Q.lit(INST_OPEN)} || {c} || {Q.lit(INST_CLOSE)}" if role == "user" else f"{c} || {Q.lit(INST_EOS)}",
+    Q.lit(INST_BOS), "", True))
 def q_render_inst_chat(spark, sf):
-    return td.records(spark, sf).select("record_id", C.render_inst(C.messages_user()).alias("prompt"))
+    """P12 on histories of every length, without their system prompt, which
+    the format doesn't know."""
+    h = _histories(spark, sf).withColumn("m", F.filter("m", lambda x: x["role"] != "system"))
+    return h.select("flow", "step", "record_id", C.render_inst("m").alias("prompt"))
 
 
 @query("answer_vs_prediction", with_views(
@@ -661,16 +768,14 @@ def q_answer_vs_prediction(spark, sf):
        f"SELECT doc_id, CAST({Q.count_tokens('text')} AS INTEGER) AS token_count FROM documents "
        f"WHERE {Q.count_tokens('text')} < 512")
 def q_within_token_budget(spark, sf):
-    d = td.docs(spark, sf, spread=True).select(
-        "doc_id", count_tokens("text").cast("int").alias("token_count"))
-    return S.within_budget(d)
+    return S.within_budget_of_text(td.docs(spark, sf, spread=SPREAD), "text", keep=["doc_id"])
 
 
 @query("null_flags", """
 SELECT doc_id, text IS NULL AS text_null, quality IS NULL AS quality_null, toxic IS NULL AS toxic_null
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def q_null_flags(spark, sf):
-    return _docs_labels(spark, sf).select("doc_id", *X.null_flags(["text", "quality", "toxic"]))
+    return _docs_label_flags(spark, sf)
 
 
 @query("valid_response", with_views("""
@@ -712,22 +817,21 @@ def q_format_training_text(spark, sf):
     return S.format_training_text(_sft_records(spark, sf)).select("split", "record_id", "text")
 
 
-@query("token_count", _sft_sql("SELECT split, record_id, token_count FROM sft_count"))
+@query("token_count", _sft_sql("SELECT split, record_id, token_count FROM sft_count", source="doc_records"))
 def q_token_count(spark, sf):
-    return S.prepare_sft(_sft_records(spark, sf)).select("split", "record_id", "token_count")
+    return S.prepare_sft(_sft_docs(spark, sf)).select("split", "record_id", "token_count")
 
 
 TOKS_SFT = {"sft_tok": f"SELECT split, record_id, regexp_extract_all(text, {Q.COUNT_PATTERN}) AS tok "
                        f"FROM sft_text"}
 
 
-@query("truncate_to_budget", with_views(
+@query("truncate_to_budget", _sft_sql(
     "SELECT split, record_id, CAST(len(tok[1:512]) AS INTEGER) AS n_kept, len(tok) > 512 AS truncated, "
-    "array_to_string(tok[1:512], ' ') AS kept FROM sft_tok", "split_records",
-    extra={**SFT_VIEW, **SFT_TEXT, **TOKS_SFT}))
+    "array_to_string(tok[1:512], ' ') AS kept FROM sft_tok", False, "doc_records", TOKS_SFT))
 def q_truncate_to_budget(spark, sf):
     from notewise.functions.tokens import budget_tokens
-    t = S.format_training_text(_sft_records(spark, sf)).select(
+    t = S.format_training_text(_sft_docs(spark, sf)).select(
         "split", "record_id", budget_tokens("text").alias("tok"))
     kept = S.truncate("tok")
     return t.select("split", "record_id", F.size(kept).alias("n_kept"),
@@ -744,22 +848,22 @@ LABELS_SQL = {
 }
 
 
-@query("completion_labels", with_views(
-    "SELECT split, record_id, CAST(to_json(labels) AS VARCHAR) AS labels FROM lab", "split_records",
-    extra={**SFT_VIEW, **SFT_TEXT, **TOKS_SFT, **LABELS_SQL}))
+@query("completion_labels", _sft_sql(
+    "SELECT split, record_id, CAST(to_json(labels) AS VARCHAR) AS labels FROM lab", False, "doc_records",
+    {**TOKS_SFT, **LABELS_SQL}))
 def q_completion_labels(spark, sf):
-    lf = S.label_frame(S.format_training_text(_sft_records(spark, sf)))
+    lf = S.label_frame(S.format_training_text(_sft_docs(spark, sf)))
     return lf.select("split", "record_id", F.to_json("labels").alias("labels"))
 
 
-@query("supervision_audit", with_views(
+@query("supervision_audit", _sft_sql(
     "SELECT split, count(*) AS n_rows, "
     "round(avg(len(list_filter(labels, lambda x: x <> -100))), 6) AS avg_supervised, "
     "count(*) FILTER (WHERE len(list_filter(labels, lambda x: x <> -100)) = 0) AS rows_unsupervised, "
-    "count(*) FILTER (WHERE hf <> hk) AS rows_header_cut FROM lab GROUP BY split", "split_records",
-    extra={**SFT_VIEW, **SFT_TEXT, **TOKS_SFT, **LABELS_SQL}))
+    "count(*) FILTER (WHERE hf <> hk) AS rows_header_cut FROM lab GROUP BY split", False, "doc_records",
+    {**TOKS_SFT, **LABELS_SQL}))
 def q_supervision_audit(spark, sf):
-    lf = S.label_frame(S.format_training_text(_sft_records(spark, sf)))
+    lf = S.label_frame(S.format_training_text(_sft_docs(spark, sf)))
     a = S.supervision_audit(lf)
     return a.select("split", "n_rows", r6("avg_supervised").alias("avg_supervised"),
                     "rows_unsupervised", "rows_header_cut")
@@ -894,12 +998,14 @@ def q_head_records(spark, sf):
 
 
 @query("save_outputs", with_views(
-    "SELECT method, step, record_id, candidate, output FROM answers JOIN records USING (record_id)",
+    "SELECT method, step, a.record_id, candidate, output FROM answers a "
+    "LEFT JOIN (FROM records WHERE record_id % 5 <> 0) r ON a.record_id = r.record_id",
     "answers", "records"))
 def q_save_outputs(spark, sf):
+    """S8; a fifth of the records have lost their gold text."""
     path = shared_path(spark, "outputs")
     resp = td.scored_answers(spark, sf).select(*KEYS, "candidate")
-    SR.save_outputs(resp, td.records(spark, sf), path)
+    SR.save_outputs(resp, td.records(spark, sf).where("record_id % 5 <> 0"), path)
     back = spark.read.parquet(path)
     return back.select("method", F.col("step").cast("int").alias("step"), "record_id",
                        "candidate", "output")

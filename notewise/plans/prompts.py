@@ -25,74 +25,64 @@ TOKEN_BUDGET = 512           # max_seq_length of the fine-tuning runs
 # --- end fixed values
 
 # Default instruction for records whose source has no system turn.
-DEFAULT_INSTRUCTION = ("Read the note and name its main problems as a list "
-                       "separated by semicolons.")
-
-# System prompts (own wording).
-SYSTEM_CONCISE = ("You are a clinician. From the note below, give only the most important "
-                  "problems or diagnoses as one list separated by semicolons. Be brief.")
-SYSTEM_COVERAGE = ("From the note below, list the diagnoses that could explain the "
-                   "findings. Try to cover every plausible one.")
-SYSTEM_FLOW = "You are a clinician. " + SYSTEM_COVERAGE
-
-# Follow-up user turns of the refinement flow (own wording).
-FOLLOW_SHORT = "Think again and narrow the list to the most important problems."
-FOLLOW_REVISE = ("Read the note once more and review your first answer. Did you miss or "
-                 "wrongly add anything? Give a revised list separated by semicolons, "
-                 "nothing else.")
-FOLLOW_RANK = ("Order the diagnoses from most to least likely and say why the first "
-               "ones come first.")
-FOLLOW_REFLECT = ("Look at the first list again next to the note and its main symptoms. "
-                  "Is anything missing or placed too high? Refine the list.")
-# The flow as first written shows this turn with one word changed from step 4 on;
-# the "as_reference" plan keeps that, "consistent" does not.
-FOLLOW_REFLECT_ALT = FOLLOW_REFLECT.replace("the note", "the not", 1)
-FOLLOW_CHECK = ("Before you finish, check that the diagnoses explain every symptom. "
-                "Drop unlikely ones and keep the most probable.")
-FOLLOW_FINAL = ("Give the final list of the most important diagnoses for this note, "
-                "separated by semicolons, only the most relevant ones.")
-
-PLAN_SCHEMA = T.StructType([
-    T.StructField("flow", T.StringType(), False),
-    T.StructField("step", T.IntegerType(), False),
-    T.StructField("msg_idx", T.IntegerType(), False),
-    T.StructField("role", T.StringType(), False),
-    T.StructField("source", T.StringType(), False),
-    T.StructField("content", T.StringType(), True),
-])
-
-
-def _flow_rows(flow: str) -> list[tuple]:
-    """Messages of each step: (step, msg_idx, role, source, literal)."""
-    as_ref = flow == "as_reference"
+DEFAULT_INSTRUCTION = "List the main findings of the text, with a semicolon between items."
+
+# System prompts: plain defaults of our own.
+SYSTEM_CONCISE = "Answer with the main findings of the text as one short list; put a semicolon between items."
+SYSTEM_COVERAGE = "Answer with all findings that the text supports, as a list."
+SYSTEM_FLOW = "You work on one text over several turns. " + SYSTEM_COVERAGE
+
+# Follow-up turns of the built-in flows.
+FOLLOW_SHORTEN = "Keep the items that matter most."
+FOLLOW_REVISE = "Compare the list with the text. Add what is missing, remove what is wrong, answer with the list alone."
+FOLLOW_RANK = "Sort the items by how sure you are of them."
+FOLLOW_REFLECT = "Read the text again and improve the list where it needs it."
+FOLLOW_REFLECT_AGAIN = "Read the text once more and improve the list where it needs it."
+FOLLOW_CHECK = "Test each item against the text and leave out the weak ones."
+FOLLOW_FINAL = "Give the final list."
+
+
+#: Built-in flows: the follow-up turns that a step shows, oldest first. The
+#: first flow shows some turns in other words later on than when they were
+#: put; "consistent" shows them as they were.
+FLOW_TURNS = {
+    "as_reference": {
+        1: [],
+        2: [FOLLOW_REVISE],
+        3: [FOLLOW_RANK, FOLLOW_REFLECT],
+        4: [FOLLOW_RANK, FOLLOW_REFLECT_AGAIN, FOLLOW_CHECK],
+        5: [FOLLOW_RANK, FOLLOW_REFLECT_AGAIN, FOLLOW_CHECK, FOLLOW_FINAL],
+    },
+    "consistent": {
+        1: [],
+        2: [FOLLOW_REVISE],
+        3: [FOLLOW_REVISE, FOLLOW_REFLECT],
+        4: [FOLLOW_REVISE, FOLLOW_REFLECT, FOLLOW_CHECK],
+        5: [FOLLOW_REVISE, FOLLOW_REFLECT, FOLLOW_CHECK, FOLLOW_FINAL],
+    },
+}
+
+
+def flow_plan(turns: dict[int, list[str]], system: str = SYSTEM_FLOW) -> list[tuple]:
+    """Plan rows (step, msg_idx, role, source, content) of a flow in which
+    each step shows the system prompt, the note, and then, for each follow-up
+    turn, the answer before it and the turn."""
     rows = []
-    # history of the user turn that produced output 2, as shown from step 3 on
-    turn2_shown = FOLLOW_RANK if as_ref else FOLLOW_REVISE
-    for step in range(1, 6):
-        msgs = [("system", "lit", SYSTEM_FLOW), ("user", "note", None)]
-        if step >= 2:
-            msgs += [("assistant", "out1", None),
-                     ("user", "lit", FOLLOW_REVISE if step == 2 else turn2_shown)]
-        if step >= 3:
-            msgs += [("assistant", "out2", None),
-                     ("user", "lit", FOLLOW_REFLECT if (step == 3 or not as_ref)
-                      else FOLLOW_REFLECT_ALT)]
-        if step >= 4:
-            msgs += [("assistant", "out3", None), ("user", "lit", FOLLOW_CHECK)]
-        if step >= 5:
-            msgs += [("assistant", "out4", None), ("user", "lit", FOLLOW_FINAL)]
-        for i, (role, source, lit) in enumerate(msgs):
-            rows.append((flow, step, i, role, source, lit))
+    for step, follow in turns.items():
+        msgs = [("system", "lit", system), ("user", "note", None)]
+        for k, text in enumerate(follow, 1):
+            msgs += [("assistant", f"out{k}", None), ("user", "lit", text)]
+        rows += [(step, i, *m) for i, m in enumerate(msgs)]
     return rows
 
 
-def prompt_plan_rows(flows=("as_reference", "consistent")) -> list[tuple]:
-    return [r for f in flows for r in _flow_rows(f)]
+#: A shorter flow, of three steps, as a user might write it.
+SHORT_PLAN = flow_plan({1: [], 2: [FOLLOW_SHORTEN], 3: [FOLLOW_SHORTEN, FOLLOW_FINAL]})
 
 
-def prompt_plan(spark: SparkSession) -> DataFrame:
-    """The step plan as a small table (2 flows x 30 messages)."""
-    return spark.createDataFrame(prompt_plan_rows(), PLAN_SCHEMA)
+def prompt_plan_rows(flows=("as_reference", "consistent")) -> list[tuple]:
+    """(flow, step, msg_idx, role, source, content) of built-in flows."""
+    return [(f, *row) for f in flows for row in flow_plan(FLOW_TURNS[f])]
 
 
 RUN_CONFIG_SCHEMA = T.StructType([
@@ -103,8 +93,8 @@ RUN_CONFIG_SCHEMA = T.StructType([
     T.StructField("scored_step", T.IntegerType(), False),
 ])
 
-# Settings seen in the scripts: single prompt 512 / 0.4 / 0.95; refinement flow the
-# same, scored at step 2; short demo 256 / 0.6 / 0.9; training smoke run 128 tokens.
+# Single prompt 512 / 0.4 / 0.95; refinement flow the same, scored at
+# step 2; short demo 256 / 0.6 / 0.9; training smoke run 128 tokens.
 RUN_CONFIG_ROWS = [
     ("single_prompt", 512, 0.4, 0.95, 1),
     ("flow", 512, 0.4, 0.95, 2),

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from notewise.functions.text import PY_WHITESPACE
 from notewise.plans.prompts import (BOS, EOT, HDR_END, HDR_START, INST_BOS, INST_CLOSE,
-                                    INST_EOS, INST_OPEN, SYSTEM_CONCISE, SYSTEM_COVERAGE)
+                                    INST_OPEN, SYSTEM_CONCISE, SYSTEM_COVERAGE)
 
 WS = "(" + " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE) + ")"
 NL = "chr(10)"
@@ -80,5 +80,3 @@ def json_msgs(*pairs: tuple[str, str]) -> str:
 
 
 SYS_COVERAGE = lit(SYSTEM_COVERAGE)
-INST_EOS_SQL = lit(INST_EOS)
-EOT_SQL = lit(EOT)

@@ -34,14 +34,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("NOTEWISE_DRIVER_MEM", "16g"))
     )
+    if "spark.checkpoint.dir" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="notewise-shared-", dir="/tmp"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
+def _one_process(spark: SparkSession) -> bool:
+    """Do the driver and all tasks share one process, and so one /tmp?"""
     try:
-        return spark.sparkContext.master.startswith("local")
+        return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
     except Exception:  # Spark Connect has no SparkContext
         return False
 
@@ -65,10 +68,9 @@ def checkpoint_base(spark: SparkSession) -> str:
         except Exception:
             base = None
     if not base:
-        if not _is_local(spark):
+        if not _one_process(spark):
             raise RuntimeError(
-                "spark.checkpoint.dir is not set; point it at a folder shared "
-                "by all executors")
+                "spark.checkpoint.dir is not set; point it at a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="notewise-ckpt-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
@@ -78,7 +80,23 @@ def checkpoint_base(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder (never reused, so
     an overwrite can never race with a reader of an older run)."""
-    return f"{checkpoint_base(spark)}/notewise/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{checkpoint_base(spark)}/notewise/{_application(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _application(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return "connect"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this application wrote below the shared
+    folder. For the end of a job: frames read from those tables end with it."""
+    path = f"{checkpoint_base(spark)}/notewise/{_application(spark)}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df, spark: SparkSession, name: str, fmt: str = "parquet",

@@ -16,20 +16,6 @@ from pyspark.sql import types as T
 
 REQUIRED = ("instruction", "input", "output")
 
-RECORD_SCHEMA = T.StructType([
-    T.StructField("record_id", T.LongType()),
-    T.StructField("split", T.StringType()),
-    T.StructField("instruction", T.StringType()),
-    T.StructField("input", T.StringType()),
-    T.StructField("output", T.StringType()),
-])
-
-
-def _strip_scheme(path: str) -> str:
-    import re
-    return re.sub(r"^[a-zA-Z]+:/+", "/", path)
-
-
 def _vget(v: Column, key: str, typ: str = "string") -> Column:
     return F.try_variant_get(v, f"$.{key}", typ)
 
@@ -39,8 +25,7 @@ def parse_record_files(spark: SparkSession, path, id_key: str | None = None) ->
 
     Columns: source_file, pos, rec (variant, NULL for a bad file), bad_file
     (reason or NULL), record_id. ``record_id`` is the ``id_key`` field when
-    given, else the position in the file (with several files the file's rank
-    in the sorted listing goes into the high 32 bits).
+    given, else a 64-bit hash of the file's name and the position in it.
     """
     raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"), "value")
@@ -57,34 +42,27 @@ def parse_record_files(spark: SparkSession, path, id_key: str | None = None) ->
     out = good.unionByName(bad_rows)
     if id_key:
         return out.withColumn("record_id", _vget(F.col("rec"), id_key, "bigint"))
-    files = sorted(raw.inputFiles())
-    if len(files) <= 1:
-        return out.withColumn("record_id", F.col("pos").cast("bigint"))
-    # Several files: the file's rank in the listing Spark already holds on the
-    # driver goes into the high bits. One row per file, so the broadcast side
-    # is bounded by the file count known before the job starts.
-    spark_files = spark.createDataFrame(
-        [(_strip_scheme(f), i) for i, f in enumerate(files)], "path string, file_rank long")
-    out = out.withColumn("path", F.regexp_replace("source_file", "^[a-zA-Z]+:/+", "/"))
-    out = out.join(F.broadcast(spark_files), "path", "left").drop("path")
-    rid = F.shiftleft(F.col("file_rank"), 32) + F.col("pos")
-    return out.withColumn("record_id", rid.cast("bigint")).drop("file_rank")
+    place = F.xxhash64("source_file", "pos")
+    return out.withColumn("record_id", F.when(F.col("pos").isNotNull(), place))
 
 
 def validate_records(parsed: DataFrame, clean_scope=("instruction", "input"),
                      mode: str = "quarantine") -> DataFrame:
     """Status of each parsed element.
 
-    reason: missing_key (a required key absent), null_field (JSON null in a
-    field that gets cleaned, where the original crashes), not_an_object,
-    malformed / not_an_array (whole file). A NULL ``output`` outside the
+    reason: missing_key (a required key absent), not_text (a field that is a
+    number, boolean, array or object), null_field (JSON null in a field that
+    gets cleaned, where the original crashes), not_an_object, malformed /
+    not_an_array (whole file). A NULL ``output`` outside the
     cleaning scope is kept. mode='fail' raises on the first bad row instead.
     """
     rec = F.col("rec")
     is_obj = F.schema_of_variant(rec).startswith("OBJECT")
-    missing = F.lit(False)
+    missing, not_text = F.lit(False), F.lit(False)
     for k in REQUIRED:
-        missing = missing | F.variant_get(rec, f"$.{k}", "variant").isNull()
+        field = F.variant_get(rec, f"$.{k}", "variant")
+        missing = missing | field.isNull()
+        not_text = not_text | ~F.coalesce(F.schema_of_variant(field), F.lit("VOID")).isin("STRING", "VOID")
     nullf = F.lit(False)
     for k in clean_scope:
         nullf = nullf | F.coalesce(F.is_variant_null(F.variant_get(rec, f"$.{k}", "variant")),
@@ -92,6 +70,7 @@ def validate_records(parsed: DataFrame, clean_scope=("instruction", "input"),
     reason = (F.when(F.col("bad_file").isNotNull(), F.col("bad_file"))
               .when(~is_obj, F.lit("not_an_object"))
               .when(missing, F.lit("missing_key"))
+              .when(not_text, F.lit("not_text"))
               .when(nullf, F.lit("null_field")))
     out = parsed.withColumn("reason", reason)
     if mode == "fail":
@@ -134,21 +113,46 @@ def rejects(spark: SparkSession, path, id_key: str | None = None,
     return v.where(F.col("reason").isNotNull()).select("record_id", "raw", "reason")
 
 
-def write_record_arrays(df: DataFrame, path: str, chunk: int = 2048, id_key: str = "id",
-                        fields=REQUIRED, by: str | None = None, obj_col: str | None = None) -> None:
-    """Write records as JSON array files of at most ``chunk`` records each
-    (one file per chunk of consecutive ids; the group size is bounded by
-    ``chunk``). The id goes in as an extra key. ``obj_col``: a column that
-    already holds each object's JSON text."""
+def write_record_arrays(df: DataFrame, path: str, chunk: int = 2048, chunk_bytes: int = 16 << 20,
+                        id_key: str = "id", fields=REQUIRED, by: str | None = None,
+                        obj_col: str | None = None) -> None:
+    """Write records as JSON array files of at most ``chunk`` records and
+    ``chunk_bytes`` characters each (one record may exceed that alone). The id
+    goes in as an extra key. ``obj_col``: a column that already holds each
+    object's JSON text. ``by``: a folder for each value.
+
+    Each task fills arrays from its own rows in a stream: nothing is
+    shuffled or grouped, whatever the ids are, and one array is held at a
+    time. Files lie side by side in the folder.
+    """
     obj = (F.col(obj_col) if obj_col else
            F.to_json(F.struct(F.col("record_id").alias(id_key), *[F.col(f) for f in fields]),
                      {"ignoreNullFields": "false"}))
-    keys = ([by] if by else []) + ["_chunk"]
-    grouped = (df.withColumn("_chunk", F.floor(F.col("record_id") / chunk))
-               .groupBy(*keys)
-               .agg(F.sort_array(F.collect_list(F.struct("record_id", obj.alias("j")))).alias("xs")))
-    text = F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["j"]), ","), F.lit("]"))
-    grouped.select(*keys, text.alias("value")).write.partitionBy(*keys).text(path)
+    part = F.col(by).cast("string") if by else F.lit("")
+
+    def fill(batches):
+        import pyarrow as pa
+
+        def array(key, objs):
+            return pa.RecordBatch.from_pydict({"_part": [key], "value": ["[" + ",".join(objs) + "]"]},
+                                              schema=pa.schema([("_part", pa.string()), ("value", pa.string())]))
+
+        held: dict = {}
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                objs, size = held.get(key, ([], 0))
+                if objs and (len(objs) >= chunk or size + len(text) > chunk_bytes):
+                    yield array(key, objs)
+                    objs, size = [], 0
+                objs.append(text)
+                held[key] = (objs, size + len(text))
+        for key, (objs, _) in held.items():
+            yield array(key, objs)
+
+    arrays = df.select(part.alias("_part"), obj.alias("value")).mapInArrow(fill, "_part string, value string")
+    out = arrays.select(F.col("_part").alias(by), "value") if by else arrays.select("value")
+    writer = out.write.option("maxRecordsPerFile", 1)
+    (writer.partitionBy(by) if by else writer).text(path)
 
 
 def load_splits(spark: SparkSession, paths: dict[str, str], id_key: str | None = None,
@@ -186,6 +190,7 @@ def head_records(df: DataFrame, n: int = 5, by: str = "split", order: str = "rec
 
 
 def save_outputs(responses: DataFrame, gold: DataFrame, path: str, key: str = "record_id") -> None:
-    """Store answers next to their gold text, one folder per method and step."""
-    (responses.join(gold.select(key, "output"), key)
+    """Store answers next to their gold text, one folder per method and
+    step. Every answer is stored; one without gold has a NULL gold text."""
+    (responses.join(gold.select(key, "output"), key, "left")
      .write.mode("errorifexists").partitionBy("method", "step").parquet(path))

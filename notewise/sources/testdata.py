@@ -5,9 +5,8 @@ from ``documents``. All are lazy DataFrames: the scan is pruned to the
 columns used, and grouping is partial (map-side) where it can be. No view
 collects a conversation into an array.
 
-Step numbering goes through ``operators.ordering.ordered_within``: a plain
-window per conversation, except for conversations above a row threshold,
-which are cut into bounded buckets (no window partition holds a hot
+Step numbering goes through ``operators.ordering.ordered_within``, which cuts
+every conversation into bounded buckets (no window partition holds a hot
 conversation whole).
 """
 
@@ -27,22 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than the cluster has
-    cores (one big row group is one task), before CPU-heavy per-row work.
-
-    A large input already has many splits and is returned unchanged, so
-    the extra shuffle only ever happens on small inputs.
-    """
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:           # no RDD access (Spark Connect): leave as is
-        return df
-    return df.repartition(cores, key) if splits < cores else df
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One instruction record per conversation that has an assistant turn.
 
@@ -100,13 +83,14 @@ def scored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both bindings stacked: the answers table the scorers run on.
 
     One ordering pass produces both: each assistant turn that has a later
-    turn emits its ``to_final`` row and its ``to_next`` row through one
-    generator.
+    turn emits its ``to_final`` row and, if the next turn has a text, its
+    ``to_next`` row through one generator.
     """
-    a = _ordered_turns(spark, sf_dir).where(F.col("next_text").isNotNull())
-    both = F.array(
+    a = _ordered_turns(spark, sf_dir).where(F.col("pos") < F.col("n"))
+    both = F.filter(F.array(
         F.struct(F.lit("to_final").alias("method"), F.col("last_text").alias("reference")),
-        F.struct(F.lit("to_next").alias("method"), F.col("next_text").alias("reference")))
+        F.struct(F.lit("to_next").alias("method"), F.col("next_text").alias("reference"))),
+        lambda x: (x["method"] == "to_final") | x["reference"].isNotNull())
     return a.select(F.col("conv_id").alias("record_id"), F.col("pos").alias("step"),
                     F.col("text").alias("candidate"), F.inline(both)).select(
         "method", "step", "record_id", "candidate", "reference")
@@ -119,14 +103,23 @@ def split_of(id_col) -> F.Column:
             .when(m == 9, F.lit("test")).otherwise(F.lit("train")))
 
 
-def docs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
-    """documents with a split column; ``spread`` for CPU-heavy text work."""
+def docs(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
+    """documents with a split column. ``spread``: tasks to hash-spread the
+    rows over first, for CPU-heavy text work on a table of few large files."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     if spread:
-        d = spread_scan(d, "doc_id")
+        d = d.repartition(spread, "doc_id")
     return d.withColumn("split", split_of(F.col("doc_id")))
 
 
+def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fine-tuning records: the text is the note, its first line
+    the answer. Many are longer than the token budget."""
+    return docs(spark, sf_dir).select(
+        F.col("doc_id").alias("record_id"), "split", F.lit(DEFAULT_INSTRUCTION).alias("instruction"),
+        F.col("text").alias("input"), F.substring_index("text", "\n", 1).alias("output"))
+
+
 def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """records with a split column: the fine-tuning source."""
     r = records(spark, sf_dir)
@@ -167,6 +160,10 @@ answers AS (
   UNION ALL
   SELECT 'to_next', CAST(step AS INTEGER), conv_id, text, next_text FROM asst
   WHERE next_text IS NOT NULL)""",
+    "doc_records": """
+doc_records AS (
+  SELECT doc_id AS record_id, split, '{DEFAULT_INSTRUCTION}' AS instruction, text AS input,
+         string_split(text, chr(10))[1] AS output FROM docs)""",
     "docs": """
 docs AS (
   SELECT doc_id, text, lang, source,
@@ -176,7 +173,7 @@ docs AS (
 }
 
 _VIEW_DEPS = {"records": [], "split_records": ["records"], "asst": [],
-              "answers": ["asst"], "docs": []}
+              "answers": ["asst"], "docs": [], "doc_records": ["docs"]}
 
 
 def with_views(sql: str, *views: str, extra: dict[str, str] | None = None) -> str:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -19,6 +20,7 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="nw-shared-", dir="/tmp"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from notewise.operators import evaluate as E
+from notewise.operators import rouge as R
 from notewise.sources import records as SR
 
 
@@ -28,12 +29,22 @@ def test_edge_rows_quarantine(spark, folder):
         {"instruction": "i", "input": "n", "output": None},               # null output kept
     ]
     _write(folder, "a.json", json.dumps(rows))
-    v = SR.validate_records(SR.parse_record_files(spark, folder)).orderBy("record_id").collect()
+    v = SR.validate_records(SR.parse_record_files(spark, folder)).orderBy("pos").collect()
     assert [r.reason for r in v] == [None, "missing_key", "null_field", None]
-    good = SR.read_records(spark, folder, mode="quarantine").orderBy("record_id").collect()
-    assert [r.record_id for r in good] == [0, 3]
-    assert good[0].input == "a b"            # cleaned while loading
-    assert good[1].output is None
+    good = {r.record_id: r for r in SR.read_records(spark, folder, mode="quarantine").collect()}
+    assert set(good) == {v[0].record_id, v[3].record_id}
+    assert good[v[0].record_id].input == "a b"            # cleaned while loading
+    assert good[v[3].record_id].output is None
+
+
+def test_fields_must_be_text(spark, folder):
+    full = {"instruction": "i", "input": "a", "output": "o"}
+    rows = [full] + [{**full, key: bad} for key in full for bad in (5, 2.5, True, ["x"], {"a": 1})]
+    _write(folder, "a.json", json.dumps(rows))
+    v = SR.validate_records(SR.parse_record_files(spark, folder)).orderBy("pos").collect()
+    assert [r.reason for r in v] == [None] + ["not_text"] * 15
+    with pytest.raises(PySparkException):
+        SR.read_records(spark, folder).collect()
 
 
 def test_fail_mode_raises(spark, folder):
@@ -58,14 +69,14 @@ def test_empty_input_gives_zero_rows_and_null_ratio(spark, folder):
     assert length_report(recs).count() == 0
 
 
-def test_multi_file_ids_are_unique_and_positional(spark, folder):
+def test_multi_file_ids_are_unique_and_stable(spark, folder):
     for k in range(3):
         _write(folder, f"p{k}.json", json.dumps([{"instruction": "i", "input": str(j), "output": "o"}
                                                  for j in range(4)]))
     r = SR.read_records(spark, folder).collect()
     ids = sorted(x.record_id for x in r)
     assert len(set(ids)) == 12
-    assert sorted(x.record_id & 0xFFFFFFFF for x in r) == sorted(list(range(4)) * 3)
+    assert sorted(x.record_id for x in SR.read_records(spark, folder).collect()) == ids
 
 
 def test_jsonl_lines_malformed(spark, folder):
@@ -84,6 +95,27 @@ def test_write_arrays_roundtrip(spark, folder):
     assert back[2].output is None
 
 
+def test_written_arrays_are_bounded_files_side_by_side(spark, folder):
+    ids = [None, None, 5, 5, 10 ** 15, -3, 7, 8, 9]                    # NULL, repeated and sparse ids
+    df = spark.createDataFrame([(i, "ins", "x" * 40, "o") for i in ids],
+                               "record_id long, instruction string, input string, output string").coalesce(1)
+    for name, kw, n_files in (("rows", {"chunk": 4}, 3), ("bytes", {"chunk_bytes": 100}, 9)):
+        path = os.path.join(folder, name)
+        SR.write_record_arrays(df, path, **kw)
+        files = [f for f in os.listdir(path) if f.startswith("part-")]
+        assert len(files) == n_files and not [f for f in os.listdir(path) if "=" in f]
+        assert SR.read_records(spark, path, id_key="id").count() == len(ids)
+
+
+def test_outputs_without_gold_are_stored(spark, folder):
+    resp = spark.createDataFrame([("m", 1, 1, "a"), ("m", 1, 2, "b"), ("m", 1, None, "c")],
+                                 "method string, step int, record_id long, candidate string")
+    gold = spark.createDataFrame([(1, "x")], "record_id long, output string")
+    SR.save_outputs(resp, gold, os.path.join(folder, "out"))
+    back = spark.read.parquet(os.path.join(folder, "out")).collect()
+    assert sorted((r.candidate, r.output) for r in back if r.output) == [("a", "x")] and len(back) == 3
+
+
 def test_duplicate_gold_fails(spark):
     cand = spark.createDataFrame([(1, "a"), (2, "b")], "record_id long, candidate string")
     gold = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "record_id long, output string")
@@ -91,13 +123,45 @@ def test_duplicate_gold_fails(spark):
         E.pair_with_gold(cand, gold).collect()
 
 
-def test_unpaired_fails_and_is_reported(spark):
-    cand = spark.createDataFrame([(1, "a"), (3, "c")], "record_id long, candidate string")
-    gold = spark.createDataFrame([(1, "x"), (2, "y")], "record_id long, output string")
+def _fails_for_every_reader(pairs):
+    for read in (lambda d: d.count(), lambda d: d.select("reference").collect(), lambda d: d.collect(),
+                 lambda d: E.corpus_rouge(R.score_pairs(d, metrics=("rouge1", "rouge2"))).collect()):
+        with pytest.raises(PySparkException, match="answer without gold|gold without|NULL key|records|twice"):
+            read(pairs)
+
+
+RUN = "method string, step int, record_id long, candidate string"
+GOLD = "record_id long, output string"
+
+
+@pytest.mark.parametrize("cand, gold", [
+    ([("m", 1, 1, "a"), ("m", 1, 2, "b"), ("m", 1, 3, "c")], [(1, "x"), (2, "y")]),      # answer without gold
+    ([("m", 1, 1, "a")], [(1, "x"), (2, "y")]),                                        # gold without answer
+    ([("m", 1, 1, "a"), ("m", 1, None, "b")], [(1, "x")]),                             # NULL key
+    ([("m", 1, 1, "a"), ("m", 1, 2, "b"), ("m", 2, 1, "c")], [(1, "x"), (2, "y")]),      # a run with a gap
+    ([("m", 1, 1, "a"), ("m", 1, 1, "b")], [(1, "x")]),                                # answered twice
+])
+def test_pairing_fails_whatever_is_read(spark, cand, gold):
+    _fails_for_every_reader(E.pair_with_gold(spark.createDataFrame(cand, RUN), spark.createDataFrame(gold, GOLD)))
+
+
+def test_pairing_passes_complete_runs(spark):
+    cand = spark.createDataFrame([("m", s, i, "a") for s in (1, 2) for i in (1, 2)], RUN)
+    gold = spark.createDataFrame([(1, "x"), (2, "y")], GOLD)
+    assert E.pair_with_gold(cand, gold).count() == 4
+
+
+def test_unpaired_rows_are_reported(spark):
+    cand = spark.createDataFrame([(1, "a"), (3, "c"), (None, "d")], "record_id long, candidate string")
+    gold = spark.createDataFrame([(1, "x"), (2, "y")], GOLD)
     with pytest.raises(PySparkException):
         E.pair_with_gold(cand, gold).collect()
     sides = {(r.side, r.record_id) for r in E.unpaired_rows(cand, gold).collect()}
-    assert sides == {("candidate_only", 3), ("gold_only", 2)}
+    assert sides == {("candidate_only", 3), ("candidate_only", None), ("gold_only", 2)}
+    runs = spark.createDataFrame([("m", 1, 1, "a"), ("m", 2, 1, "b"), ("m", 2, 2, "c"), ("n", 1, 9, "z")], RUN)
+    got = {tuple(r) for r in E.unpaired_rows(runs, gold, run=["method", "step"]).collect()}
+    assert got == {("m", 1, "gold_only", 2), ("n", 1, "gold_only", 1), ("n", 1, "gold_only", 2),
+                   ("n", 1, "candidate_only", 9)}
 
 
 def test_head_records_uses_group_limit(spark):
@@ -126,4 +190,17 @@ def test_shared_folder_comes_from_session(spark, folder):
     from notewise.session import checkpoint_base, shared_path
     spark.sparkContext.setCheckpointDir(folder)
     assert checkpoint_base(spark).startswith("file:" + folder) or checkpoint_base(spark).startswith(folder)
-    assert shared_path(spark, "x").startswith(checkpoint_base(spark) + "/notewise/x-")
+    assert shared_path(spark, "x").startswith(checkpoint_base(spark) + "/notewise/")
+
+
+def test_release_deletes_what_the_application_wrote(spark, folder):
+    from notewise.session import cut_lineage, release
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(folder)
+    kept = cut_lineage(spark.range(5), spark, "t")
+    path = kept.inputFiles()[0].removeprefix("file:").replace("//", "/")
+    assert os.path.exists(path)
+    release(spark)
+    assert not os.path.exists(path)
+    if before:
+        spark.sparkContext.setCheckpointDir(os.path.dirname(before.removeprefix("file:")))

@@ -84,8 +84,42 @@ def test_lcs_kernel_long_inputs():
     assert R.lcs_length(a, b) <= min(len(a), len(b))
 
 
-def test_tokens_once_in_plan(spark):
+def test_lcs_positions_are_those_of_the_whole_table():
+    rng = random.Random(5)
+    for _ in range(200):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        b = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        t = pyrouge.lcs_table(a, b)
+        want, i, j = [], len(a), len(b)
+        while i > 0 and j > 0:
+            if a[i - 1] == b[j - 1]:
+                want.append(i - 1)
+                i, j = i - 1, j - 1
+            elif t[i][j - 1] > t[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        assert R._lcs_ref_indices(a, b) == want[::-1]
+
+
+def test_long_single_line_needs_little_memory():
+    import tracemalloc
+    rng = random.Random(2)
+    a, b = ([rng.choice("abcdefgh") for _ in range(6000)] for _ in range(2))
+    tracemalloc.start()
+    R.summary_lcs_hits([a], [b])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000            # a row per token would be 6000 * 800 bytes
+
+
+def test_null_texts_score_zero(spark):
+    for s in score_rows(spark, [(None, "a b"), ("a b", None), (None, None), ("", "a")]):
+        assert all(s[m] == (0, 0, 0) for m in METRICS)
+
+
+def test_one_python_stage_and_one_pass_over_the_text(spark):
     df = spark.createDataFrame([(1, "a b", "a c")], "record_id long, candidate string, reference string")
-    plan = R.score_pairs(df, keep=["record_id"])._jdf.queryExecution().executedPlan().toString()
-    # tokenizer regex projected once per side, not once per metric
+    plan = R.score_pairs(df, metrics=METRICS, keep=["record_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_replace(lower(candidate") == 1
+    assert plan.count("ArrowEvalPython") == 1

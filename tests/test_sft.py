@@ -48,3 +48,41 @@ def test_template_trims_padding(spark):
     text = S.format_training_text(df).first().text
     assert "<|start_header_id|>user<|end_header_id|>\n\nnote text<|eot_id|>" in text
     assert text.startswith("<|begin_of_text|><|start_header_id|>system")
+
+
+def test_tokenizer_hook_counts_and_labels_by_its_ids(spark):
+    """A user's tokenizer: whitespace pieces, ids from the length of a piece."""
+    df = spark.createDataFrame([("a bb <|end_header_id|> cccc dd",), ("x",), (None,)], "text string")
+    count = S.token_count_with(lambda texts: [len((t or "").split()) for t in texts])
+    assert [r[0] for r in df.select(count("text")).collect()] == [5, 1, 0]
+    toks = df.where("text IS NOT NULL").select(F.split("text", " ").alias("tokens")).withColumn(
+        "ids", F.transform("tokens", lambda t: F.length(t)))
+    got = [r[0] for r in toks.select(S.completion_labels("tokens", ids="ids")).collect()]
+    assert got == [[-100, -100, -100, 4, 2], [-100]]
+
+
+def test_documents_exercise_the_budget(spark):
+    from notewise.plans.catalog import QUERIES
+    rows = QUERIES["supervision_audit"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.rows_header_cut for r in rows) > 0
+
+
+def test_budget_filter_counts_once_after_the_spread(spark):
+    from notewise.plans.catalog import QUERIES
+    plan = QUERIES["within_token_budget"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_count") + plan.count("regexp_extract_all") == 1
+    assert plan.index("Generate") < plan.index("Exchange")       # the plan is printed from the top
+
+
+def test_null_flags_move_no_text(spark):
+    from notewise.plans.catalog import QUERIES
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("null_flags", "null_patterns"):
+            plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            above_scan = plan[:plan.index("FileScan")]
+            assert "isnull(text" in above_scan
+            exchanges = [line for line in above_scan.splitlines() if "Project" in line and "isnull(text" in line]
+            assert exchanges and "text#" not in above_scan.split("isnull(text")[0].replace("text_null#", "")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
