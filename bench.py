@@ -21,7 +21,7 @@ from notewise.plans.flagship import step_rouge_l  # noqa: E402
 from notewise.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "corpus_rouge", "rouge_lsum", "corpus_rouge_bootstrap", "generate_flow", "step_history",
+    "corpus_rouge", "rouge2", "rouge_lsum", "corpus_rouge_bootstrap", "generate_flow", "step_history",
     "length_report", "supervision_audit", "within_token_budget", "clean_text", "null_patterns",
     "read_records", "export_sft_dataset", "compare_steps", "parse_diagnosis_list",
 ]
@@ -60,7 +60,7 @@ def main() -> None:
         "clean_text_docs_per_sec": round(n_docs / times["clean_text"], 1),
         "corpus_rouge_pairs_per_sec": round(n_pairs / times["corpus_rouge"], 1),
         "generate_flow_record_steps_per_sec": round(5 * n_records / times["generate_flow"], 1),
-        "supervision_audit_records_per_sec": round(n_records / times["supervision_audit"], 1),
+        "supervision_audit_docs_per_sec": round(n_docs / times["supervision_audit"], 1),
     }
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "throughput": throughput, "sf": sf,

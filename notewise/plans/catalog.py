@@ -16,14 +16,14 @@ from pyspark.sql import types as T
 
 from notewise.functions import chat as C
 from notewise.functions import text as X
-from notewise.functions.tokens import count_tokens, ngrams, rouge_tokens
+from notewise.functions.tokens import ngrams, rouge_tokens
 from notewise.operators import evaluate as E
 from notewise.operators import generate as G
 from notewise.operators import rouge as R
 from notewise.operators import sft as S
 from notewise.plans import sqlparts as Q
 from notewise.plans.prompts import (EOT, FLOW_TURNS, HDR_END, HDR_START, INST_BOS, INST_CLOSE, INST_EOS, INST_OPEN,
-                                    RUN_CONFIG_ROWS, SHORT_PLAN, prompt_plan_rows, run_config, settings_for)
+                                    RUN_CONFIG_ROWS, SHORT_PLAN, run_config, settings_for)
 from notewise.plans.standin import WorkClock, extractive_responder
 from notewise.session import cut_lineage, shared_path, ship_package
 from notewise.sources import records as SR

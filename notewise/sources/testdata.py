@@ -12,7 +12,7 @@ conversation whole).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewise.operators.ordering import ordered_within
@@ -31,8 +31,9 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     instruction = first system text (or the default instruction),
     input = first user text, output = last assistant text.
-    record_id = conv_id. A plain hash aggregate: partial aggregation on the
-    map side, so a hot conversation never lands whole in one reducer.
+    record_id = conv_id. One aggregate with partial aggregation on the map
+    side (sort-based, as its buffers hold texts), so a hot conversation never
+    lands whole in one reducer.
     """
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     agg = conv.groupBy("conv_id").agg(
