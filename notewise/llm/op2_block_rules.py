@@ -5,8 +5,8 @@ its length, its share of stop words and its share of linked characters, and
 by the section it stands in (menus, footers, side bars, forms, adverts,
 notices, reader comments are named by tag, class, id or role). Short blocks
 and headings stay ambiguous. Pass two gives each of them the label of the
-nearest decided block before and after it, in its own section first; a
-heading follows the block after it. Where a page marks its article or main
+nearest decided block before and after it (inside an article, of its own
+section); a heading follows the block after it. Where a page marks its article or main
 part and text is found there, blocks outside it are left out.
 
 Character references are decoded, white space inside a block is one space,
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -190,19 +191,16 @@ def extract_text(page: str) -> tuple[str, int, int]:
     labels = [b.label for b in blocks]
 
     def near(i, among):
-        from bisect import bisect
         k = bisect(among, i)
         return (among[k - 1] if k else None), (among[k] if k < len(among) else None)
 
     for i, b in enumerate(blocks):
         if b.label is not OPEN:
             continue
-        before, after = near(i, of_section.get(b.section, []))
-        if before is None and after is None:
-            if b.inside:
-                labels[i] = GOOD
-                continue
-            before, after = near(i, decided)
+        before, after = near(i, of_section.get(b.section, []) if b.inside else decided)
+        if b.inside and before is None and after is None:
+            labels[i] = GOOD
+            continue
         if b.heading and after is not None:
             before = after
         found = [blocks[j].label for j in (before, after) if j is not None]
