@@ -63,13 +63,14 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY
     """Encode (doc_id, text) into flat files below ``folder``, one for each
     task; returns the manifest (file, ordinal, doc_id)."""
     C.ship_package(docs.sparkSession)
+    shared, below = _open(folder)
+    shared.create_dir(below, recursive=True)         # there even if no task writes
 
     def run(batches):
         enc = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, encoder(vocabulary))
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.tokens"
         target, path = _open(folder)
-        target.create_dir(path, recursive=True)
         done = 0
         with target.open_output_stream(f"{path}/{name}") as out:
             for b in batches:

@@ -115,6 +115,7 @@ def test_token_file_edge_rows(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"file": F.lit("f"), "ordinal": F.lit(1)})
     folder = str(tmp_path / "tokens")
     manifest = scan.write_token_files(df.repartition(2), folder).cache()
+    assert manifest.count() == len(rows)
     out = manifest.join(scan.scan(spark, folder, block_tokens=100), ["file", "ordinal"]).collect()
     manifest.unpersist()
     assert len(out) == len(rows) and all(r.closed for r in out)
@@ -123,6 +124,7 @@ def test_token_file_edge_rows(spark, tmp_path):
     assert len(os.listdir(folder)) <= 2 + 2                      # one file a task, and its checksum if any
     empty = str(tmp_path / "none")
     assert scan.write_token_files(df.limit(0), empty).count() == 0
+    assert scan.scan(spark, empty).count() == 0
 
 
 # ---------------------------------------------------------------- 7
