@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are blocks of ``BLOCK`` words. Their TF-IDF vectors, over the words
-that the benchmark uses, span a latent space found by a randomised SVD: each
+that the benchmark uses and that tell items apart, span a latent space found by a randomised SVD: each
 task multiplies its passages into a random sketch of the Gram matrix, Spark
 adds the sketches up, and the driver factors one (features x rank) matrix
 (Nystroem). The benchmark's own directions are added to the basis, so that
@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,23 +39,19 @@ from . import common as C
 
 BLOCK = 32
 FEATURES = 1 << 15
-_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
-_SIGNS = bytes(i for i in range(128) if not chr(i).isalnum())
+_FOLD = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 HIT = (StructType().add("item_id", LongType()).add("cosine", DoubleType()).add("lcs_share", DoubleType())
        .add("answer_found", BooleanType()).add("at_word", LongType()))
 
 
-def plain(word: bytes) -> str:
-    """A word in lower case without the signs around it."""
-    return _ENDS.sub("", word.decode("utf-8", "replace").lower())
+def words_of(text: bytes) -> list[bytes]:
+    """Words in lower case, cut at white space and ASCII signs."""
+    t = text.translate(_FOLD)
+    return (t if t.isascii() else t.decode("utf-8", "replace").lower().encode()).split()
 
 
-def words_of(text: str) -> list[str]:
-    return [p for w in text.encode().split() if (p := plain(w))]
-
-
-def lcs_length(masks: dict[str, int], size: int, words: list[str]) -> int:
+def lcs_length(masks: dict[bytes, int], size: int, words: list[bytes]) -> int:
     """Longest common subsequence of a pattern, given as a bit mask for each
     of its words, and a list of words: one addition a word."""
     full = (1 << size) - 1
@@ -66,8 +64,8 @@ def lcs_length(masks: dict[str, int], size: int, words: list[str]) -> int:
     return size - row.bit_count()
 
 
-def masks_of(words: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
+def masks_of(words: list[bytes]) -> dict[bytes, int]:
+    out: dict[bytes, int] = {}
     for i, w in enumerate(words):
         out[w] = out.get(w, 0) | 1 << i
     return out
@@ -79,38 +77,41 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, self.masks, self.answers, self.where = [], [], [], [], []
         for item_id, text in rows:
-            w = words_of(text or "")
+            w = words_of((text or "").encode())
             if not w:
                 continue
-            last = [words_of(s) for s in _SENTENCE.split(text)]
+            last = [words_of(s.encode()) for s in _SENTENCE.split(text)]
             answer = [s for s in last if s][-1]
             self.ids.append(item_id)
             self.words.append(w)
             self.masks.append(masks_of(w))
             self.answers.append((len(answer), masks_of(answer)))
-            places: dict[str, list[int]] = {}
+            places: dict[bytes, list[int]] = {}
             for i, x in enumerate(w):
                 places.setdefault(x, []).append(i)
             self.where.append(places)
         self.passages = [(i, w[at:at + 2 * BLOCK]) for i, w in enumerate(self.words)
                          for at in range(0, max(1, len(w) - BLOCK), BLOCK)]
-        self.feature = {w: zlib.crc32(w.encode()) % FEATURES for ws in self.words for w in ws}
+        # words of many items tell none of them, but items made of such words
+        seen = Counter(w for ws in self.words for w in set(ws))
+        self.feature: dict[bytes, int] = {}
+        for ws in self.words:
+            telling = [w for w in ws if seen[w] <= max(5, len(self.words) / 10)]
+            for w in telling if len(set(telling)) >= 3 else ws:
+                self.feature[w] = zlib.crc32(w) % FEATURES
 
+    def features_of(self, words: list[bytes]) -> np.ndarray:
+        return np.unique(np.array([self.feature[w] for w in words if w in self.feature], dtype=np.int64))
 
-def feature_of(feature: dict[str, int]) -> C.Memo:
-    """Raw word -> its feature, -1 if the benchmark has none."""
-    raw = {w.encode(): f for w, f in feature.items()}
-    return C.Memo(lambda w: raw.get(w.strip(_SIGNS).lower(), -1) if w.isascii() else feature.get(plain(w), -1))
 
-
-def block_features(texts: list[bytes], lookup: C.Memo):
+def block_features(texts: list[bytes], feature: dict[bytes, int]):
     """(words of each text, first block of each, block and feature of each
     distinct pair, by block). Blocks are numbered through; a free number
     between two texts keeps them apart."""
     words, first, at, ids, base = [], [], [], [], 0
     for t in texts:
-        w = t.split()
-        f = np.fromiter(map(lookup.__getitem__, w), dtype=np.int64, count=len(w))
+        w = words_of(t)
+        f = np.fromiter(map(feature.get, w, repeat(-1)), dtype=np.int64, count=len(w))
         hit = np.flatnonzero(f >= 0)
         words.append(w)
         first.append(base)
@@ -126,15 +127,15 @@ def _texts(batches, limit: int = 4 << 20):
         yield from C.by_bytes(b.column("_text").to_pylist(), len, limit)
 
 
-def document_frequency(texts: DataFrame, feature: dict[str, int]) -> tuple[np.ndarray, int]:
+def document_frequency(texts: DataFrame, feature: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """(passages that hold each feature, passages), over all texts."""
     shared = texts.sparkSession.sparkContext.broadcast(feature)
     schema = pa.schema([("f", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        df, lookup = np.zeros(FEATURES + 1, np.int64), feature_of(shared.value)
+        df = np.zeros(FEATURES + 1, np.int64)
         for part in _texts(batches):
-            words, _, _, f = block_features(part, lookup)
+            words, _, _, f = block_features(part, shared.value)
             df[:FEATURES] += np.bincount(f, minlength=FEATURES)
             df[FEATURES] += sum(-(-len(w) // BLOCK) for w in words)
         at = np.flatnonzero(df)
@@ -146,7 +147,7 @@ def document_frequency(texts: DataFrame, feature: dict[str, int]) -> tuple[np.nd
     return out[:FEATURES], int(out[FEATURES])
 
 
-def sketch(texts: DataFrame, feature: dict[str, int], weight: np.ndarray, rank: int, seed: int):
+def sketch(texts: DataFrame, feature: dict[bytes, int], weight: np.ndarray, rank: int, seed: int):
     """(G @ R, R) with G the Gram matrix of all normalised TF-IDF passages
     and R a random (features x rank) matrix that every task draws alike."""
     weighty = {w: f for w, f in feature.items() if weight[f] > 0}
@@ -159,10 +160,9 @@ def sketch(texts: DataFrame, feature: dict[str, int], weight: np.ndarray, rank:
 
     def run(batches):
         feature, weight = shared.value
-        lookup = feature_of(feature)
         omega, total = random(), np.zeros((FEATURES, rank))
         for part in _texts(batches):
-            _, _, b, f = block_features(part, lookup)
+            _, _, b, f = block_features(part, feature)
             if not len(f):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
@@ -193,13 +193,12 @@ class Space:
         self.row[used] = np.arange(len(used))
         self.weight = weight
         # windows with fewer features than half of any item's are far from all
-        self.least = max(1, min(len(self.vector_parts(np.array([items.feature[w] for w in p]))[0])
-                                for _, p in items.passages) // 2)
+        rows = [self.vector_parts(items.features_of(p)) for _, p in items.passages]
+        self.least = max(1, min(len(r) for r, _ in rows) // 2)
         gram, omega = gram[used], omega[used]
         u, s, _ = np.linalg.svd(omega.T @ gram)                      # Nystroem: G ~ S (R'S)^-1 S'
         ok = s > (s[0] if len(s) else 0) * 1e-6
         basis = np.linalg.svd(gram @ (u[:, ok] / np.sqrt(s[ok])), full_matrices=False)[0] if ok.any() else gram[:, :0]
-        rows = [self.vector_parts(np.array([items.feature[w] for w in p])) for _, p in items.passages]
         mixer = np.random.default_rng(seed + 1).normal(size=(len(rows), min(own_rank, max(1, len(rows)))))
         own = np.zeros((len(used), mixer.shape[1]))
         for g, (r, v) in zip(mixer, rows):
@@ -211,70 +210,70 @@ class Space:
 
     def vector_parts(self, features: np.ndarray):
         """(rows of the basis, weights) of a passage's distinct features."""
-        f = np.unique(features)
-        f = f[self.row[f] >= 0]
+        f = features[self.row[features] >= 0]
         return self.row[f], self.weight[f].astype(np.float32)
 
 
-def _read(item: int, items: Items, raw: list[bytes], window: int) -> tuple[float, bool, int]:
+def _read(item: int, items: Items, words: list[bytes], window: int) -> tuple[float, bool, int]:
     """LCS share and answer check of an item against the words it lines up
     with, around a window of a text's words."""
     n, lo, where = len(items.words[item]), window * BLOCK, items.where[item]
-    shifts = sorted(lo + j - i for j, w in enumerate(map(plain, raw[lo:lo + 2 * BLOCK]))
+    shifts = sorted(lo + j - i for j, w in enumerate(words[lo:lo + 2 * BLOCK])
                     for i in where.get(w, ()) if len(where[w]) <= 2)
     if not shifts:
         return 0.0, False, lo
     # half of the shifts lie around the true one; others are chance
     start = max(shifts, key=lambda x: sum(abs(x - y) <= 3 for y in shifts))
-    part = [plain(w) for w in raw[max(0, start - n // 4 - 2):max(0, start + n + n // 4 + 2)]]
+    part = words[max(0, start - n // 4 - 2):max(0, start + n + n // 4 + 2)]
     share = lcs_length(items.masks[item], n, part) / n
     size, masks = items.answers[item]
     return share, share > 0 and lcs_length(masks, size, part) >= 0.8 * size, max(0, start)
 
 
-def find_hits(texts: list[bytes], items: Items, space: Space, lookup: C.Memo, cosine: float, sure: float,
+def find_hits(texts: list[bytes], items: Items, space: Space, feature: dict[bytes, int], cosine: float, sure: float,
               maybe: float) -> list[list[dict]]:
     """Hits of each text: windows near an item in the latent space, then
     checked word by word; the best window for each item."""
-    words, base, b, f = block_features(texts, lookup)
+    words, base, b, f = block_features(texts, feature)
     out: list[list[dict]] = [[] for _ in texts]
-    # a window is a block and the next one
-    pairs = np.unique(np.concatenate([b * FEATURES + f, (b[b > 0] - 1) * FEATURES + f[b > 0]]))
-    window, f = pairs // FEATURES, pairs % FEATURES
-    at = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])) if len(window) else window
-    sizes = np.diff(np.append(at, len(window)))
-    keep = np.repeat(sizes >= space.least, sizes)
-    window, f, sizes = window[keep], f[keep], sizes[sizes >= space.least]
-    if not len(sizes):
+    if not len(b):
+        return out
+    # a window is a block and the next one; each block is projected once
+    at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+    names, sizes = b[at], np.diff(np.append(at, len(b)))
+    two = np.append(names[1:] == names[:-1] + 1, False)
+    after = np.minimum(np.arange(len(names)) + 1, len(names) - 1)
+    wanted = sizes + two * sizes[after] >= space.least
+    used = wanted.copy()
+    used[after[wanted & two]] = True
+    if not wanted.any():
         return out
-    ends = np.cumsum(sizes)
-    names = window[ends - 1]
+    pairs = np.repeat(used, sizes)
+    r, v = space.row[f[pairs]], space.weight[f[pairs]].astype(np.float32)
+    starts = np.cumsum(sizes[used]) - sizes[used]
+    z = np.add.reduceat(space.basis[r] * v[:, None], starts, axis=0)
+    norm = np.add.reduceat(v * v, starts)
+    place = np.cumsum(used) - 1
+    own, two, after = place[wanted], two[wanted], place[after[wanted]]
+    names = names[wanted]
+    near = ((z[own] + two[:, None] * z[after]) @ space.places.T) / np.sqrt(norm[own] + two * norm[after])[:, None]
     owner = np.searchsorted(base, names, side="right") - 1
-    early = np.append(base, np.iinfo(np.int64).max)[owner + 1] == names + 1     # the free block before a text
-    owner = owner + early
     best: dict = {}
-    for lo in range(0, len(names), 4096):
-        hi = min(len(names), lo + 4096)
-        first = ends[lo] - sizes[lo]
-        r, v = space.row[f[first:ends[hi - 1]]], space.weight[f[first:ends[hi - 1]]].astype(np.float32)
-        starts = ends[lo:hi] - sizes[lo:hi] - first
-        z = np.add.reduceat(space.basis[r] * v[:, None], starts, axis=0)
-        near = (z / np.sqrt(np.add.reduceat(v * v, starts))[:, None]) @ space.places.T
-        for k, p in zip(*np.nonzero(near >= cosine)):
-            item, text = items.passages[p][0], int(owner[lo + k])
-            share, answer, start = _read(item, items, words[text], max(0, int(names[lo + k] - base[text])))
-            if share >= sure or (share >= maybe and answer):
-                key = (text, item)
-                if key not in best or share > best[key]["lcs_share"]:
-                    best[key] = {"item_id": items.ids[item], "cosine": float(near[k, p]), "lcs_share": share,
-                                 "answer_found": bool(answer), "at_word": int(start)}
+    for k, p in zip(*np.nonzero(near >= cosine)):
+        item, text = items.passages[p][0], int(owner[k])
+        share, answer, start = _read(item, items, words[text], int(names[k] - base[text]))
+        if share >= sure or (share >= maybe and answer):
+            key = (text, item)
+            if key not in best or share > best[key]["lcs_share"]:
+                best[key] = {"item_id": items.ids[item], "cosine": min(1.0, float(near[k, p])), "lcs_share": share,
+                             "answer_found": bool(answer), "at_word": int(start)}
     for (text, item), hit in sorted(best.items()):
         out[text].append(hit)
     return out
 
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           keep: tuple[str, ...] = (), rank: int = 32, own_rank: int = 96, common: float = 0.02,
+           keep: tuple[str, ...] = (), rank: int = 32, own_rank: int = 224, common: float = 0.02,
            cosine: float = 0.3, sure: float = 0.75, maybe: float = 0.5, items_at_once: int = 2000,
            seed: int = 3) -> DataFrame:
     """(id, *keep, hits), a row per row of ``docs``; ``hits`` lists
@@ -292,12 +291,11 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         if not items.ids:
             continue
         df, n = document_frequency(texts, items.feature)
-        # the items are passages too; words that are frequent weigh nothing,
-        # but for items that have few others
+        # frequent words weigh nothing, but for items that have few others
         weight = np.log((n + 1) / (df + 1.0))
         weight[df > max(5, common * n)] = 0
         for w in items.words:
-            f = np.array([items.feature[x] for x in w])
+            f = items.features_of(w)
             if (weight[f] > 0).sum() < 3:
                 weight[f] = np.maximum(weight[f], 0.1)
         gram, omega = sketch(texts, items.feature, weight, rank, seed)
@@ -307,13 +305,12 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
                                ("answer_found", pa.bool_()), ("at_word", pa.int64())]))
 
     def run(batches):
-        lookups = [feature_of({w: f for w, f in items.feature.items() if space.row[f] >= 0})
-                   for items, space in shared.value]
+        features = [{w: f for w, f in items.feature.items() if space.row[f] >= 0} for items, space in shared.value]
         for b in batches:
             hits = []
             for part in C.by_bytes(b.column("_text").to_pylist(), len, 1 << 20):
-                found = [find_hits(part, items, space, lookup, cosine, sure, maybe)
-                         for (items, space), lookup in zip(shared.value, lookups)]
+                found = [find_hits(part, items, space, feature, cosine, sure, maybe)
+                         for (items, space), feature in zip(shared.value, features)]
                 hits += [sum(x, []) for x in zip(*found)] if found else [[] for _ in part]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in cols] + [pa.array(hits, kind)], names=[*cols, "hits"])
 
