@@ -13,7 +13,6 @@ duplicate and no leak; without a letter it has no language and goes.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from notewise.llm import common as C
 from notewise.llm import op5_fragment_join as join
@@ -23,32 +22,37 @@ from notewise.llm import op9_latent_decontaminate as leaks
 from notewise.llm import op10_kneser_ney_langid as langid
 
 
-def _others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c != "doc_id")
+def _rows_that(docs: DataFrame, judge, condition: str) -> DataFrame:
+    """Rows of ``docs`` for which an operator's verdict meets a condition.
+    Columns bear their places as names while the operator adds its own."""
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, own))
+    judged = judge(docs.toDF(*own), id_col=at["doc_id"], text_col=at["text"], keep=tuple(own))
+    return judged.where(condition).select(*own).toDF(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network scores 0.3 or more."""
     net = cnn.learn(docs, cnn.training_labels(C.table(spark, sf_dir, "labels")))
-    return cnn.classify(docs, net, keep=_others(docs)).where("score >= 0.3").select(docs.columns)
+    return _rows_that(docs, lambda d, **of: cnn.classify(d, net, **of), "score >= 0.3")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the models accept."""
     model = langid.learn(langid.training_rows(docs))
-    return langid.identify(docs, model, keep=_others(docs)).where("NOT rejected").select(docs.columns)
+    return _rows_that(docs, lambda d, **of: langid.identify(d, model, **of), "NOT rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at 80 percent:
     the one with the smallest id. Texts without a word all stay."""
-    return join.keep_one(docs, words=5, percent=80)
+    return join.keep_one(docs, words=5, percent=80, spare=20)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = leaks.search(docs, C.table(spark, sf_dir, "benchmark"), keep=_others(docs))
-    return found.where(F.size("hits") == 0).select(docs.columns)
+    items = C.table(spark, sf_dir, "benchmark")
+    return _rows_that(docs, lambda d, **of: leaks.search(d, items, **of), "size(hits) = 0")
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

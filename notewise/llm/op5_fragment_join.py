@@ -10,22 +10,26 @@ Candidates, none of which can be missed:
 
 1. Equal sets collapse into one representative.
 2. Of a set of n, all but ``need = ceil(percent * n / 100)`` elements, and
-   ``l = n / 10`` more, form its head in the global order. Linked sets share at
-   least ``min(l)`` elements of both heads. So a set whose head holds fewer
+   ``l = n / spare`` more, form its head in the global order. Linked sets share
+   at least ``min(l)`` elements of both heads. So a set whose head holds fewer
    elements known to any other head has no link and leaves.
 3. What stays is ordered by (documents with the element, hash), and indexed
    by its rarest head elements only, as many as the same count argument needs.
-4. Buckets of that index up to ``small`` members are paired. In a larger one
-   the member with the fewest elements of its own leads; each member is
-   compared with the leader alone. Let o be the overlap of x with leader L. If
-   x & y lies within L, it has at most o elements, so y can link to x only if
-   it is at most ``o * (100 + percent) / percent - n_x`` large: those y are paired
-   with x directly, unless both link to L, which joins them already. Any other
-   y that links to x shares an element with it outside L: members are indexed
-   anew by their elements outside L, and 4 repeats inside the group of L. After
-   ``rounds`` rounds the buckets that are left are paired.
-
-So a large group of near copies costs a comparison with its leader for each
+4. Buckets of that index up to ``small`` members are paired. The members of
+   larger ones form groups, and each group has a core V, the elements that
+   more than half of it hold. Each member x is compared with V alone: o(x) =
+   |x & V| and the difference D(x) = (x - V) + (V - x). For any two members
+
+       |x & y| = o(x) + o(y) - |V| + |D(x) & D(y)|,
+
+   so they link exactly when they share at least m(x, y) elements of their
+   differences, m being known from o and n. Where m <= 0 they link whatever
+   the differences: one edge to the member nearest to V stands for all those
+   pairs. The others are members with small differences and a known least
+   overlap of them: they are indexed by their rarest difference elements (3),
+   and 4 repeats on that index. After ``rounds`` rounds what is left is paired.
+
+So a large group of near copies costs a comparison with its core for each
 member, not one for each pair, and components come out exact.
 
 Edge cases: a text with fewer words than n is one n-gram, its whole word
@@ -118,50 +122,120 @@ def _likely(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def overlaps(pairs: DataFrame, fragments: DataFrame, rest_of_a: bool = False) -> DataFrame:
-    """(a, b, common[, rest]): overlaps of pairs of rids, counted in each
-    fragment and summed. ``rest``: the elements of a that b has not, in
-    order. ``fragments`` is (rid, fragment, hashes)."""
+def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(a, b, common): overlaps of pairs of rids, counted in each fragment
+    and summed. ``fragments`` is (rid, fragment, hashes)."""
     of_a = fragments.select(F.col("rid").alias("a"), "fragment", F.col("hashes").alias("ha"))
     of_b = fragments.select(F.col("rid").alias("b"), F.col("fragment").alias("fragment_b"), F.col("hashes").alias("hb"))
     parts = (pairs.select("a", "b").join(of_a, "a")
-             .join(of_b, (pairs["b"] == of_b["b"]) & (F.col("fragment") == F.col("fragment_b")), "left")
-             .select("a", pairs["b"], "fragment",
-                     F.coalesce(F.size(F.array_intersect("ha", "hb")), F.lit(0)).alias("common"),
-                     *([F.coalesce(F.array_except("ha", "hb"), "ha").alias("rest")] if rest_of_a else [])))
-    sums = [F.sum("common").cast("int").alias("common")]
-    if rest_of_a:       # as many entries as fragments
-        sums.append(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("fragment", "rest"))),
-                                          lambda x: x["rest"])).alias("rest"))
-    return parts.groupBy("a", "b").agg(*sums)
+             .join(of_b, (pairs["b"] == of_b["b"]) & (F.col("fragment") == F.col("fragment_b")))
+             .select("a", pairs["b"], F.size(F.array_intersect("ha", "hb")).alias("common")))
+    return parts.groupBy("a", "b").agg(F.sum("common").cast("int").alias("common"))
 
 
 def _linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def links(sets: DataFrame, of: DataFrame, percent: int, small: int = 32, rounds: int = 4,
-          broadcast_rows: int = 1_000_000) -> DataFrame:
+def groups_of(crowded: DataFrame) -> DataFrame:
+    """(grp, rid, n): members of large buckets (grp, e, rid, n) by group. A
+    bucket goes to its member that is in the most large buckets, so that the
+    buckets of one cluster mostly become one group."""
+    known = crowded.groupBy("rid").agg(F.count("*").alias("seen"))
+    rows = crowded.select("grp", "e", "rid", "n").join(known, "rid")
+    lead = rows.groupBy("grp", "e").agg(F.max(F.struct(F.col("seen"), (-F.col("rid")).alias("low"))).alias("lead"))
+    return (rows.join(lead, ["grp", "e"]).groupBy((-F.col("lead.low")).alias("grp"), "rid")
+            .agg(F.first("n").alias("n")))
+
+
+def cores(members: DataFrame, fragments: DataFrame, block: int = 64) -> DataFrame:
+    """(grp, fragment, core): in each fragment, the elements that more than
+    half of a group hold. ``members`` is (grp, rid, group_size). Members are
+    counted in blocks of about ``block``; an element that half of a block
+    doesn't hold counts as absent there, so that what moves on is a row for
+    each block and common element, and none for the many that few hold. (Any
+    core gives right links; a good one gives small differences.)"""
+    def run(batches):
+        held: dict = {}
+        for b in batches:
+            hashes = b.column("hashes")
+            for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in ("grp", "salt", "fragment", "group_size")))):
+                held.setdefault(key, []).append(hashes[i].values.to_numpy(zero_copy_only=False))
+                if len(held[key]) >= 8 * block:
+                    yield common(key, held.pop(key))
+        for key, sets in held.items():
+            yield common(key, sets)
+
+    def common(key, sets):
+        e, n = np.unique(np.concatenate(sets), return_counts=True)
+        e, n = e[2 * n > len(sets)], n[2 * n > len(sets)]
+        grp, _, fragment, size = key
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(e), grp), pa.int64()), pa.array(np.full(len(e), fragment), pa.int32()),
+             pa.array(np.full(len(e), size), pa.int64()), pa.array(e, pa.int64()), pa.array(n, pa.int64())],
+            names=["grp", "fragment", "group_size", "e", "n"])
+
+    salt = F.pmod(F.xxhash64("rid"), F.ceil(F.col("group_size") / block))
+    rows = (members.withColumn("salt", salt).join(fragments, "rid")
+            .select("grp", "salt", "fragment", "group_size", "hashes").repartition("grp", "salt", "fragment"))
+    counts = rows.mapInArrow(run, "grp bigint, fragment int, group_size bigint, e bigint, n bigint")
+    return (counts.groupBy("grp", "fragment", "group_size", "e").agg(F.sum("n").alias("n"))
+            .where("2 * n > group_size").groupBy("grp", "fragment")
+            .agg(F.sort_array(F.collect_list("e")).alias("core")))
+
+
+def differences(members: DataFrame, fragments: DataFrame, percent: int, name: str) -> DataFrame:
+    """(grp, rid, n, slack, diff): of each member, its difference to the
+    group's core and its slack, in units of 1 / (2 * (100 + percent))
+    elements: two members share enough without their differences if their
+    slacks add up to 0 or more, and lack that many shared elements if not."""
+    spark = members.sparkSession
+    core = C.cut_lineage(cores(members, fragments), spark, f"{name}-cores")
+    size = core.groupBy("grp").agg(F.sum(F.size("core")).alias("core_size"))
+    none = F.array().cast("array<bigint>")
+    q = 100 + percent
+    parts = (members.join(fragments, "rid").join(core, ["grp", "fragment"], "left")
+             .withColumn("core", F.coalesce("core", none))
+             .select("grp", "rid", "n", "fragment", F.size(F.array_intersect("hashes", "core")).alias("common"),
+                     F.array_except("hashes", "core").alias("more"),
+                     # what is lacking is told from what is there by its bits turned over
+                     F.transform(F.array_except("core", "hashes"), lambda x: F.bitwise_not(x)).alias("less")))
+    # as many entries as fragments
+    return (parts.groupBy("grp", "rid", "n").agg(
+        F.sum("common").alias("common"),
+        F.flatten(F.collect_list(F.concat("more", "less"))).alias("diff"))
+        .join(size, "grp", "left")
+        .select("grp", "rid", "n", "diff",
+                (2 * q * F.col("common") - 2 * percent * F.col("n") - q * F.coalesce("core_size", F.lit(0)))
+                .cast("long").alias("slack")))
+
+
+def links(sets: DataFrame, of: DataFrame, percent: int, small: int = 64, small_in_group: int = 512,
+          rounds: int = 4, spare: int = 10, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(a, b): links between distinct sets that give the same components as
     all links do. ``sets`` is (rid, n, f0..f3), ``of`` the rids to look at,
     one for each distinct set. Only heads are dealt out, no whole sets."""
     spark = sets.sparkSession
     names = [f"f{i}" for i in range(FRAGMENTS)]
     n = F.col("n")
-    more = F.greatest(F.lit(1), F.floor(n / 10))
-    least = F.greatest(F.lit(1), F.floor(_need(n, percent) / 10))
+    more = F.greatest(F.lit(1), F.floor(n / spare))
+    least = F.greatest(F.lit(1), F.floor(_need(n, percent) / spare))
     head = F.slice(F.concat(*names), 1, F.least(n, n - _need(n, percent) + more).cast("int"))
-    rows = (sets.select("rid", "n", head.alias("head")).join(of, "rid", "left_semi")
-            .select("rid", "n", F.explode("head").alias("e")))
+    # copies are few, or else heads are dealt out by rid to leave them out
+    copies = sets.where("n > 0").select("rid").join(of, "rid", "left_anti")
+    n_copies = sets.where("n > 0").count() - of.count()
+    heads = sets.where("n > 0").select("rid", "n", head.alias("head"))
+    heads = (heads.join(F.broadcast(copies), "rid", "left_anti") if n_copies <= broadcast_rows
+             else heads.join(of, "rid", "left_semi"))
+    rows = heads.select("rid", "n", F.explode("head").alias("e"))
     known = rows.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     of_set = Window.partitionBy("rid")
     index = (rows.join(known, "e")
              .withColumn("shared", F.count("*").over(of_set))
              .withColumn("rank", F.row_number().over(of_set.orderBy("df", "e")))
              .where((F.col("shared") >= least) & (F.col("rank") <= F.col("shared") - least + 1))
-             .select(F.lit(0).cast("long").alias("grp"), "e", "rid", "n",
-                     (F.least(n, n - _need(n, percent) + more) - F.col("shared")).cast("int").alias("own"),
-                     F.lit(True).alias("open")))
+             .select(F.lit(0).cast("long").alias("grp"), "e", "rid", "n", F.lit(True).alias("open"),
+                     F.lit(0).cast("long").alias("slack"), F.lit(0).cast("long").alias("shared")))
     index = C.cut_lineage(index, spark, "join-index")
     stay = index.select("rid").distinct()
     # few sets stay; beyond that size they are dealt out by rid instead
@@ -172,63 +246,64 @@ def links(sets: DataFrame, of: DataFrame, percent: int, small: int = 32, rounds:
 
     found = []
     for turn in range(rounds):
-        last = turn == rounds - 1
-        buckets = (index.groupBy("grp", "e")
-                   .agg(F.count("*").alias("size"), F.max("open").alias("any_open"),
-                        F.min(F.struct("own", "n", "rid")).alias("lead")).where("size > 1 AND any_open"))
+        most = small if turn == 0 else small_in_group
+        buckets = (index.groupBy("grp", "e").agg(F.count("*").alias("size"), F.max("open").alias("any_open"))
+                   .where("size > 1 AND any_open"))
+        crowded = (C.cut_lineage(groups_of(index.join(buckets.where(F.col("size") > most), ["grp", "e"])),
+                                 spark, "join-crowded") if turn < rounds - 1 else None)
+        last = crowded is None or crowded.isEmpty()
         if not last:
-            crowded = C.cut_lineage(index.join(buckets.where(F.col("size") > small), ["grp", "e"])
-                                    .select("grp", "e", "rid", "n", "own", F.col("lead.rid").alias("leader"),
-                                            F.col("lead.n").alias("leader_n")), spark, "join-crowded")
-            buckets = buckets.where(F.col("size") <= small)
+            buckets = buckets.where(F.col("size") <= most)
         some = index.join(buckets.select("grp", "e"), ["grp", "e"])
-        a = some.select("grp", "e", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("open").alias("oa"))
-        b = some.select(F.col("grp").alias("grp_b"), F.col("e").alias("e_b"), F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("open").alias("ob"))
-        pairs = (a.join(b, (F.col("grp") == F.col("grp_b")) & (F.col("e") == F.col("e_b")) & (F.col("a") < F.col("b"))
-                        & _likely(F.col("na"), F.col("nb"), percent) & (F.col("oa") | F.col("ob")))
-                 .select("a", "b", "na", "nb"))
-        if not last and crowded.isEmpty():
-            last = True
-        if not last:
-            # members against their leaders
-            star = (crowded.where("rid != leader")
-                    .groupBy(F.col("rid").alias("a"), F.col("leader").alias("b"))
-                    .agg(F.first("n").alias("na"), F.first("leader_n").alias("nb"), F.first("own").alias("own")))
-            star = C.cut_lineage(star, spark, "join-star")
-            led = C.cut_lineage(
-                overlaps(star, fragments, rest_of_a=True).join(star, ["a", "b"])
-                .withColumn("linked", _linked(F.col("common"), F.col("na"), F.col("nb"), percent))
-                .withColumn("reach", F.floor(F.col("common") * (100 + percent) / F.lit(percent)) - F.col("na"))
-                .withColumn("rest", F.slice("rest", 1, (F.col("na") - _need(F.col("na"), percent) + 1).cast("int"))),
-                spark, "join-led")
-            found.append(led.where("linked").select("a", "b"))
-            # x & y inside the leader: both within the other's reach
-            near = led.select("b", F.col("a").alias("rid"), "linked", "reach")
-            met = (crowded.where("rid != leader")
-                   .join(near, (crowded["rid"] == near["rid"]) & (crowded["leader"] == near["b"]))
-                   .select("grp", "e", crowded["rid"], "n", "linked", "reach", "leader_n"))
-            x = met.where("NOT linked").select("grp", "e", F.col("rid").alias("x"), F.col("n").alias("nx"),
-                                               F.col("reach").alias("rx"))
-            y = met.where("n < leader_n").select(
-                F.col("grp").alias("grp_y"), F.col("e").alias("e_y"), F.col("rid").alias("y"), F.col("n").alias("ny"),
-                F.col("reach").alias("ry"), F.col("linked").alias("ly"))
-            direct = (x.join(y, (x["grp"] == y["grp_y"]) & (x["e"] == y["e_y"]) & (F.col("ny") <= F.col("rx"))
-                             & (F.col("nx") <= F.col("ry")) & (F.col("x") != F.col("y"))
-                             & (F.col("ly") | (F.col("x") < F.col("y"))))
-                      .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-                              F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"),
-                              F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")))
-            pairs = pairs.unionByName(direct)
-        pairs = C.cut_lineage(pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")),
-                              spark, "join-pairs")
+        a = some.select("grp", "e", *[F.col(c).alias(f"{c}_a") for c in ("rid", "n", "open", "slack", "shared")])
+        b = some.select(*[F.col(c).alias(f"{c}_b") for c in ("grp", "e", "rid", "n", "open", "slack", "shared")])
+        pairs = (a.join(b, (F.col("grp") == F.col("grp_b")) & (F.col("e") == F.col("e_b"))
+                        & (F.col("rid_a") < F.col("rid_b")) & _likely(F.col("n_a"), F.col("n_b"), percent)
+                        & (F.col("open_a") | F.col("open_b"))
+                        # as many shared elements of the differences as they lack
+                        & (2 * (100 + percent) * F.least("shared_a", "shared_b") + F.col("slack_a") + F.col("slack_b") >= 0))
+                 .groupBy(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
+                 .agg(F.first("n_a").alias("na"), F.first("n_b").alias("nb")))
+        pairs = C.cut_lineage(pairs, spark, "join-pairs")
         found.append(overlaps(pairs, fragments).join(pairs, ["a", "b"])
                      .where(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
         if last:
             break
-        # anew inside each group, by the elements outside its leader
+        sizes = crowded.groupBy("grp").agg(F.count("*").alias("group_size"))
+        near = C.cut_lineage(differences(crowded.join(sizes, "grp"), fragments, percent, "join"), spark, "join-near")
+        best = near.groupBy("grp").agg(F.max(F.struct("slack", "rid")).alias("best"))
+        near = near.join(best, "grp").withColumn("open", F.col("slack") + F.col("best.slack") < 0)
+        closed = near.where((~F.col("open")) & (F.col("rid") != F.col("best.rid")))
+        found.append(closed.select(F.least("rid", "best.rid").alias("a"), F.greatest("rid", "best.rid").alias("b")))
+        # y can share as many elements with x as they lack only if its
+        # difference is that large; of those partners the nearest to the core
+        # says what x lacks at least. Partners of closed members are open.
+        unit = 2 * (100 + percent)
+        levels = (near.groupBy("grp", F.floor((F.size("diff") * unit + F.col("slack")) / unit).alias("level"), "open")
+                  .agg(F.max("slack").alias("slack"))
+                  .groupBy("grp").agg(F.collect_list(F.struct("level", "open", "slack")).alias("levels")))
+        partner = F.array_max(F.transform(
+            F.filter("levels", lambda y: (y["level"] >= F.floor(-F.col("slack") / unit)) & (F.col("open") | y["open"])),
+            lambda y: y["slack"]))
+        asked = (near.join(levels, "grp")
+                 .withColumn("lacks", F.ceil(-(F.col("slack") + partner) / F.lit(unit)).cast("int"))
+                 .where("size(diff) >= lacks"))
+        # heads of the differences, in the order of hashes, as in step 2
+        spared = asked.groupBy("grp").agg(F.least(F.min("lacks"), F.lit(4)).alias("spared"))
+        asked = (asked.join(spared, "grp")
+                 .select("grp", "rid", "n", "open", "slack", "lacks", "spared",
+                         F.explode(F.slice(F.array_sort("diff"), 1, F.size("diff") - F.col("lacks") + F.col("spared")))
+                         .alias("e")))
+        known = asked.groupBy("grp", "e").agg(F.count("*").alias("df")).where("df > 1")
+        of_set = Window.partitionBy("grp", "rid")
         index = C.cut_lineage(
-            led.select(F.col("b").alias("grp"), F.explode("rest").alias("e"), F.col("a").alias("rid"),
-                       F.col("na").alias("n"), "own", (~F.col("linked")).alias("open")), spark, "join-index")
+            asked.join(known, ["grp", "e"])
+            .withColumn("shared", F.count("*").over(of_set))
+            .withColumn("rank", F.row_number().over(of_set.orderBy("df", "e")))
+            .where("shared >= spared AND rank <= shared - spared + 1")
+            # at most: all elements behind the head may be shared
+            .select("grp", "e", "rid", "n", "open", "slack",
+                    (F.col("shared") + F.col("lacks") - F.col("spared")).alias("shared")), spark, "join-index")
     out = found[0]
     for more_links in found[1:]:
         out = out.unionByName(more_links)
