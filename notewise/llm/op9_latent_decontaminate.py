@@ -4,18 +4,23 @@ Passages are blocks of ``BLOCK`` words. Their TF-IDF vectors, over the words
 that the benchmark uses and that tell items apart, span a latent space found by a randomised SVD: each
 task multiplies its passages into a random sketch of the Gram matrix, Spark
 adds the sketches up, and the driver factors one (features x rank) matrix
-(Nystroem). The benchmark's own directions are added to the basis, so that
-rare items don't vanish behind frequent words.
-
-Every window of two neighbouring blocks, of every text, is compared by cosine
-with all items in that space. A candidate is then read word by word: the
+(Nystroem). For each ``own_rank`` passages of the benchmark there is one such
+space, with all of them added to its basis: each lies in it whole, however
+many items there are, and none vanishes behind frequent words.
+
+Every window of two neighbouring blocks, of every text, is compared with all
+passages: near are those by cosine, and those of which the window holds most
+(of a short passage ``HELD``, by squared weight; of one longer than a block
+half). A copy of a passage of up to ``BLOCK + 1`` words lies whole in some
+window, and one of two windows holds half of a longer one, so verbatim items
+always are candidates. A candidate is then read word by word: the
 longest common subsequence of the item and the part of the text it lines up
 with, as a share of the item's words. From ``sure`` on it is a leak; from
 ``maybe`` on it is one if the item's answer (its last line or sentence) is
 there too, which catches paraphrases.
 
-The benchmark is the query set: it is read in blocks of ``items_at_once``,
-each against all rows.
+The benchmark is the query set: it is read in blocks of ``items_at_once``
+passages, each against all rows.
 
 Edge cases: null or empty texts hold nothing; an item without a word matches
 nothing; repeated rows and repeated items are reported each; an empty
@@ -39,6 +44,7 @@ from . import common as C
 
 BLOCK = 32
 FEATURES = 1 << 15
+HELD = 0.7
 _FOLD = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 HIT = (StructType().add("item_id", LongType()).add("cosine", DoubleType()).add("lcs_share", DoubleType())
@@ -71,8 +77,13 @@ def masks_of(words: list[bytes]) -> dict[bytes, int]:
     return out
 
 
+def passage_starts(n: int) -> range:
+    """Where the passages, of two blocks, of an item of n words begin."""
+    return range(0, max(1, n - BLOCK), BLOCK)
+
+
 class Items:
-    """A block of benchmark items, cut into passages of two blocks."""
+    """A block of benchmark items, cut into passages."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, self.masks, self.answers, self.where = [], [], [], [], []
@@ -91,7 +102,7 @@ class Items:
                 places.setdefault(x, []).append(i)
             self.where.append(places)
         self.passages = [(i, w[at:at + 2 * BLOCK]) for i, w in enumerate(self.words)
-                         for at in range(0, max(1, len(w) - BLOCK), BLOCK)]
+                         for at in passage_starts(len(w))]
         # words of many items tell none of them, but items made of such words
         seen = Counter(w for ws in self.words for w in set(ws))
         self.feature: dict[bytes, int] = {}
@@ -183,30 +194,42 @@ def sketch(texts: DataFrame, feature: dict[bytes, int], weight: np.ndarray, rank
     return out, random().astype(float)
 
 
+def directions(used: np.ndarray, gram: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """Latent directions of the texts, a row for every feature."""
+    gram, omega = gram[used], omega[used]
+    u, s, _ = np.linalg.svd(omega.T @ gram)                          # Nystroem: G ~ S (R'S)^-1 S'
+    ok = s > (s[0] if len(s) else 0) * 1e-6
+    basis = np.linalg.svd(gram @ (u[:, ok] / np.sqrt(s[ok])), full_matrices=False)[0] if ok.any() else gram[:, :0]
+    out = np.zeros((FEATURES, basis.shape[1]))
+    out[used] = basis
+    return out
+
+
 class Space:
-    """Latent space over the features in use, and the items' places in it."""
+    """Latent space over the features of some passages, and their places in
+    it. The basis spans all of them, so products with them are exact."""
 
-    def __init__(self, items: Items, weight: np.ndarray, gram: np.ndarray, omega: np.ndarray, own_rank: int, seed: int):
-        used = np.unique(np.fromiter(items.feature.values(), int))
+    def __init__(self, items: Items, passages: list[tuple[int, list[bytes]]], weight: np.ndarray, latent: np.ndarray):
+        self.owners = [i for i, _ in passages]
+        features = [items.features_of(p) for _, p in passages]
+        used = np.unique(np.concatenate(features))
         used = used[weight[used] > 0]
         self.row = np.full(FEATURES, -1, np.int32)
         self.row[used] = np.arange(len(used))
         self.weight = weight
-        # windows with fewer features than half of any item's are far from all
-        rows = [self.vector_parts(items.features_of(p)) for _, p in items.passages]
-        self.least = max(1, min(len(r) for r, _ in rows) // 2)
-        gram, omega = gram[used], omega[used]
-        u, s, _ = np.linalg.svd(omega.T @ gram)                      # Nystroem: G ~ S (R'S)^-1 S'
-        ok = s > (s[0] if len(s) else 0) * 1e-6
-        basis = np.linalg.svd(gram @ (u[:, ok] / np.sqrt(s[ok])), full_matrices=False)[0] if ok.any() else gram[:, :0]
-        mixer = np.random.default_rng(seed + 1).normal(size=(len(rows), min(own_rank, max(1, len(rows)))))
-        own = np.zeros((len(used), mixer.shape[1]))
-        for g, (r, v) in zip(mixer, rows):
-            own[r] += v[:, None] * g
-        self.basis = np.linalg.qr(np.concatenate([basis, own], axis=1))[0].astype(np.float32)
+        rows = [self.vector_parts(f) for f in features]
+        own = np.zeros((len(used), len(rows)))
+        for k, (r, v) in enumerate(rows):
+            own[r, k] = v
+        self.basis = np.linalg.qr(np.concatenate([latent[used], own], axis=1))[0].astype(np.float32)
         self.places = np.stack([v @ self.basis[r] if len(r) else np.zeros(self.basis.shape[1]) for r, v in rows])
-        self.places /= np.maximum(np.linalg.norm(self.places, axis=1, keepdims=True), 1e-9)
-        self.places = self.places.astype(np.float32)
+        lengths = np.array([np.sqrt((v.astype(float) ** 2).sum()) for _, v in rows])
+        self.places = (self.places / np.maximum(lengths, 1e-9)[:, None]).astype(np.float32)
+        share = np.array([HELD if len(p) <= BLOCK + 1 else 0.499 for _, p in passages])
+        self.enough = np.where(lengths > 0, share * lengths, np.inf).astype(np.float32)
+        # windows with fewer features than half of any passage takes are far from all
+        halves = [np.cumsum(np.sort(v.astype(float) ** 2)[::-1]) for _, v in rows if len(v)]
+        self.least = max(1, min((int(np.searchsorted(h, 0.499 * h[-1])) + 1 for h in halves), default=1))
 
     def vector_parts(self, features: np.ndarray):
         """(rows of the basis, weights) of a passage's distinct features."""
@@ -230,14 +253,14 @@ def _read(item: int, items: Items, words: list[bytes], window: int) -> tuple[flo
     return share, share > 0 and lcs_length(masks, size, part) >= 0.8 * size, max(0, start)
 
 
-def find_hits(texts: list[bytes], items: Items, space: Space, feature: dict[bytes, int], cosine: float, sure: float,
-              maybe: float) -> list[list[dict]]:
-    """Hits of each text: windows near an item in the latent space, then
-    checked word by word; the best window for each item."""
-    words, base, b, f = block_features(texts, feature)
-    out: list[list[dict]] = [[] for _ in texts]
+def near_passages(space: Space, blocks: np.ndarray, squares: np.ndarray, b: np.ndarray, f: np.ndarray,
+                  cosine: float):
+    """(first block, passage, cosine) of each window near a passage of a
+    space; ``squares``: squared length of each of ``blocks``."""
+    mine = space.row[f] >= 0
+    b, f = b[mine], f[mine]
     if not len(b):
-        return out
+        return
     # a window is a block and the next one; each block is projected once
     at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     names, sizes = b[at], np.diff(np.append(at, len(b)))
@@ -247,26 +270,44 @@ def find_hits(texts: list[bytes], items: Items, space: Space, feature: dict[byte
     used = wanted.copy()
     used[after[wanted & two]] = True
     if not wanted.any():
-        return out
+        return
     pairs = np.repeat(used, sizes)
-    r, v = space.row[f[pairs]], space.weight[f[pairs]].astype(np.float32)
+    r, v = space.vector_parts(f[pairs])
     starts = np.cumsum(sizes[used]) - sizes[used]
     z = np.add.reduceat(space.basis[r] * v[:, None], starts, axis=0)
-    norm = np.add.reduceat(v * v, starts)
+    norm = squares[np.searchsorted(blocks, names[used])]
     place = np.cumsum(used) - 1
     own, two, after = place[wanted], two[wanted], place[after[wanted]]
     names = names[wanted]
-    near = ((z[own] + two[:, None] * z[after]) @ space.places.T) / np.sqrt(norm[own] + two * norm[after])[:, None]
-    owner = np.searchsorted(base, names, side="right") - 1
+    held = (z[own] + two[:, None] * z[after]) @ space.places.T
+    near = held / np.sqrt(norm[own] + two * norm[after])[:, None]
+    for k, p in zip(*np.nonzero((near >= cosine) | (held >= space.enough))):
+        yield int(names[k]), p, float(near[k, p])
+
+
+def find_hits(texts: list[bytes], items: Items, spaces: list[Space], feature: dict[bytes, int], cosine: float,
+              sure: float, maybe: float) -> list[list[dict]]:
+    """Hits of each text: windows near an item in the latent space, then
+    checked word by word; the best window for each item."""
+    words, base, b, f = block_features(texts, feature)
+    out: list[list[dict]] = [[] for _ in texts]
+    if not len(b):
+        return out
+    at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+    squares = np.add.reduceat(spaces[0].weight[f].astype(np.float32) ** 2, at)
     best: dict = {}
-    for k, p in zip(*np.nonzero(near >= cosine)):
-        item, text = items.passages[p][0], int(owner[k])
-        share, answer, start = _read(item, items, words[text], int(names[k] - base[text]))
-        if share >= sure or (share >= maybe and answer):
-            key = (text, item)
-            if key not in best or share > best[key]["lcs_share"]:
-                best[key] = {"item_id": items.ids[item], "cosine": min(1.0, float(near[k, p])), "lcs_share": share,
-                             "answer_found": bool(answer), "at_word": int(start)}
+    seen: dict = {}
+    for space in spaces:
+        for name, p, near in near_passages(space, b[at], squares, b, f, cosine):
+            item, text = space.owners[p], int(np.searchsorted(base, name, side="right")) - 1
+            if (name, item) not in seen:
+                seen[name, item] = _read(item, items, words[text], int(name - base[text]))
+            share, answer, start = seen[name, item]
+            if share >= sure or (share >= maybe and answer):
+                key = (text, item)
+                if key not in best or share > best[key]["lcs_share"]:
+                    best[key] = {"item_id": items.ids[item], "cosine": min(1.0, near), "lcs_share": share,
+                                 "answer_found": bool(answer), "at_word": int(start)}
     for (text, item), hit in sorted(best.items()):
         out[text].append(hit)
     return out
@@ -286,7 +327,8 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     models = []
     rows = benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
-    for part in C.by_bytes(((r.item_id, r.text) for r in rows), lambda _: 1, items_at_once):
+    for part in C.by_bytes(((r.item_id, r.text) for r in rows),
+                           lambda r: len(passage_starts(len(words_of((r[1] or "").encode())))), items_at_once):
         items = Items(part)
         if not items.ids:
             continue
@@ -299,18 +341,21 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
             if (weight[f] > 0).sum() < 3:
                 weight[f] = np.maximum(weight[f], 0.1)
         gram, omega = sketch(texts, items.feature, weight, rank, seed)
-        models.append((items, Space(items, weight, gram, omega, own_rank, seed)))
+        used = np.unique(np.fromiter(items.feature.values(), int))
+        latent = directions(used[weight[used] > 0], gram, omega)
+        spaces = [Space(items, items.passages[at:at + own_rank], weight, latent)
+                  for at in range(0, len(items.passages), own_rank)]
+        models.append((items, {w: f for w, f in items.feature.items() if weight[f] > 0}, spaces))
     shared = spark.sparkContext.broadcast(models)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()),
                                ("answer_found", pa.bool_()), ("at_word", pa.int64())]))
 
     def run(batches):
-        features = [{w: f for w, f in items.feature.items() if space.row[f] >= 0} for items, space in shared.value]
         for b in batches:
             hits = []
             for part in C.by_bytes(b.column("_text").to_pylist(), len, 1 << 20):
-                found = [find_hits(part, items, space, feature, cosine, sure, maybe)
-                         for (items, space), feature in zip(shared.value, features)]
+                found = [find_hits(part, items, spaces, feature, cosine, sure, maybe)
+                         for items, feature, spaces in shared.value]
                 hits += [sum(x, []) for x in zip(*found)] if found else [[] for _ in part]
             yield pa.RecordBatch.from_arrays([b.column(n) for n in cols] + [pa.array(hits, kind)], names=[*cols, "hits"])
 

@@ -149,6 +149,37 @@ def test_paraphrases_are_found(spark):
         assert len(planted & got) >= 0.95 * len(planted)
 
 
+def test_thousands_of_items_short_and_long(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(6000)]
+    odds = [1 / (i + 20) for i in range(6000)]
+    lengths = [rng.choice([6, 9, 14, 22, 33, 40, 64, 65, 150, 300]) for _ in range(2200)]
+    items = [rng.choices(vocabulary, odds, k=n) for n in lengths]
+    rows, whole, near = [], set(), set()
+    for d in range(500):
+        words = rng.choices(vocabulary, odds, k=rng.randrange(300))
+        for which in rng.sample(range(len(items)), 2):
+            own = list(items[which])
+            if rng.random() < 0.5 and len(own) >= 14:
+                for at in rng.sample(range(len(own)), len(own) // 7):
+                    own[at] = f"qz{rng.randrange(99)}"
+                near.add((d, which))
+            at = rng.choice([0, len(words)])
+            words[at:at] = own
+        rows.append((d, " ".join(words)))
+    packed = [f" {' '.join(w)} " for w in items]
+    whole = {(d, i) for d, t in rows for i, p in enumerate(packed) if p in f" {t} "}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, h.item_id) for r in leaks.search(df, bench).collect() for h in r.hits}
+    assert len(whole) > 500 and whole <= got
+    assert len(near & got) >= 0.95 * len(near)
+    texts = {d: t.encode().split() for d, t in rows}
+    for d, i in got - whole - near:                   # anything else shares most of an item
+        item = [w.encode() for w in items[i]]
+        assert leaks.lcs_length(leaks.masks_of(item), len(item), texts[d]) >= 0.5 * len(item)
+
+
 def test_leak_edge_rows(spark):
     item = "one of the very rare passages that a benchmark holds and nobody else would write"
     rows = [(1, None), (2, ""), (3, item), (3, item), (None, "x y z " * 4000 + item), (5, "clean words only here")]
