@@ -12,7 +12,9 @@ one blank.
 The language with the lowest cross-entropy per character wins. A held-back
 part of the training sample calibrates the score (softmax temperature) and
 the rejection limit of each language: mean + ``reject_sd`` deviations, wider
-for short texts.
+for short texts. Languages with fewer than ``FOLDS`` held-back texts are also
+scored by models of their own that leave a part of their texts out, and take
+the deviation of the others, less where the model tells less.
 
 Edge cases: null text, or one without a letter: ``und``, score 0, rejected;
 no labelled text at all: the same for every row; rows with a null lang teach
@@ -33,6 +35,7 @@ from . import common as C
 
 UND = "und"
 PAD = 1                       # stands before each text
+FOLDS = 5                     # every fifth text of the sample is held back
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -106,7 +109,7 @@ class Table:
 class Model:
     """Kneser-Ney models of some languages in one table."""
 
-    def __init__(self, texts: dict[str, list[str]], order: int = 4):
+    def __init__(self, texts: dict[str, list[str]], order: int = 4, n_chars: int | None = None):
         self.order, self.langs = order, sorted(texts)
         n_lang = len(self.langs)
         per = {}
@@ -119,7 +122,7 @@ class Model:
                 u, i, cnt = np.unique(h[n][at], return_index=True, return_counts=True)
                 i = at[i]
                 per[j][n] = (u, h[n - 1][i - 1] if n > 1 else None, h[n - 1][i] if n > 1 else None, cnt)
-        self.n_chars = max(1, len(np.unique(np.concatenate([per[j][1][0] for j in per]))) if per else 1) + 1
+        self.n_chars = n_chars or max(1, len(np.unique(np.concatenate([per[j][1][0] for j in per]))) if per else 1) + 1
         keys, logps, gammas = [], [], []
         lower_keys, lower_p = None, None
         ctx_gamma: dict[int, tuple] = {}
@@ -232,18 +235,53 @@ class Model:
         h *= _MIX
         return h ^ (h >> np.uint64(32))
 
-    def calibrate(self, texts: dict[str, list[str]]) -> None:
+    def _left_out(self, lang: str, texts: list[str]) -> np.ndarray:
+        """Cross-entropy of a language's texts, each by a model of the others;
+        a single text is cut in pieces."""
+        texts = [t for t in texts if _has_letter(t)]
+        if len(texts) == 1:
+            size = -(-len(texts[0]) // FOLDS)
+            texts = [t for t in (texts[0][at:at + size] for at in range(0, len(texts[0]), size)) if _has_letter(t)]
+        folds = [texts[k::FOLDS] for k in range(min(FOLDS, len(texts)))]
+        if len(folds) < 2:
+            return np.zeros(0)
+        return np.concatenate([
+            Model({lang: [t for other in folds if other is not fold for t in other]}, self.order, self.n_chars)
+            .cross_entropy(fold)[0][:, 0] for fold in folds])
+
+    def calibrate(self, texts: dict[str, list[str]], fitted: dict[str, list[str]] | None = None) -> None:
         """Temperature by likelihood, rejection limits by mean and deviation
-        of the cross-entropy of each language's held-back texts."""
-        true, ces = [], []
+        of the cross-entropy of each language's held-back texts, and where
+        these are few, of its ``fitted`` ones, left out in turn."""
+        true, ces, few, spread = [], [], [], []
+        self.mean[:], self.sd[:] = np.nan, np.nan
         for j, lang in enumerate(self.langs):
+            own = np.zeros(0)
             if texts.get(lang):
-                ce, n, _ = self.cross_entropy(texts[lang])
-                ce = ce[n > 0]
+                ce, _, letters = self.cross_entropy(texts[lang])
+                ce = ce[letters > 0]
                 own = ce[:, j]
+                if len(own):
+                    ces.append(ce)
+                    true += [j] * len(ce)
+            if len(own) < FOLDS:
+                few.append(j)
+                own = np.append(own, self._left_out(lang, (fitted or {}).get(lang, [])))
+            if len(own):
                 self.mean[j], self.sd[j] = own.mean(), max(own.std(), 0.02)
-                ces.append(ce)
-                true += [j] * len(ce)
+                spread += [own - own.mean()]
+        many = np.setdiff1d(np.arange(len(self.langs)), few)
+        if len(many):
+            # the nearer a model is to uniform, the less texts differ under it
+            uniform = np.log(self.n_chars)
+            told = (uniform - self.mean[few]) / max(uniform - self.mean[many].mean(), 1e-9)
+            self.mean[few] = np.minimum(self.mean[few], uniform)
+            self.sd[few] = np.median(self.sd[many]) * np.clip(np.nan_to_num(told, nan=1.0), 0, 1)
+        else:
+            self.sd[few] = max(np.concatenate(spread).std(), 0.02) if spread else 0.02
+        # a language without anything to leave out: as the others; alone, it accepts nothing
+        known = np.isfinite(self.mean)
+        self.mean[~known] = self.mean[known].mean() if known.any() else 0.0
         if ces:
             ce, true = np.concatenate(ces), np.array(true)
 
@@ -266,11 +304,24 @@ class Model:
         return np.where(none, -1, best), np.where(none, 0.0, score), rejected
 
 
+def _has_letter(text: str) -> bool:
+    return any(ch.isalpha() for ch in text)
+
+
+def evenly(text: str, limit: int, pieces: int = 20) -> str:
+    """A text, or pieces from all over it if it is longer than ``limit``."""
+    if len(text) <= limit:
+        return text
+    size = max(1, limit // pieces)
+    return "\n".join(text[at:at + size] for at in (k * (len(text) - size) // (pieces - 1) for k in range(pieces)))
+
+
 def learn(labelled: DataFrame, order: int = 4, sample_docs: int = 400, sample_bytes: int = 1_500_000) -> Model | None:
     """Fit on a bounded sample of (doc_id, text, lang): about ``sample_docs``
     rows a language, picked by a hash of the id over all rows, and no more
-    than ``sample_bytes`` (and the text that passes it) of each language.
-    Every fifth is held back for calibration."""
+    than ``sample_bytes`` (and the text that passes it) of each language, of
+    one text a fifth of that, from all over it. Every fifth text is held back
+    for calibration."""
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -280,14 +331,15 @@ def learn(labelled: DataFrame, order: int = 4, sample_docs: int = 400, sample_by
     fit, held, size, seen = {k: [] for k in counts}, {k: [] for k in counts}, dict.fromkeys(counts, 0), dict.fromkeys(counts, 0)
     for r in rows.toLocalIterator():
         if size[r.lang] < sample_bytes:
-            (held if seen[r.lang] % 5 == 4 else fit)[r.lang].append(r.text)
-            size[r.lang] += len(r.text)
+            text = evenly(r.text, sample_bytes // 5)
+            (held if seen[r.lang] % FOLDS == FOLDS - 1 else fit)[r.lang].append(text)
+            size[r.lang] += len(text)
             seen[r.lang] += 1
-    fit = {k: v for k, v in fit.items() if any(ch.isalpha() for t in v for ch in t)}
+    fit = {k: v for k, v in fit.items() if any(_has_letter(t) for t in v)}
     if not fit:
         return None
     model = Model(fit, order)
-    model.calibrate({k: [t for t in v if t] for k, v in held.items() if k in fit and any(v)})
+    model.calibrate({k: [t for t in v if t] for k, v in held.items() if k in fit and any(v)}, fit)
     return model
 
 

@@ -259,6 +259,32 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows) and sum(r.rejected for r in rows) <= 0.01 * len(rows)
 
 
+FOREIGN = [
+    "Вчера вечером мы долго гуляли по городу и говорили о том, что будет завтра с нашей страной. " * 3,
+    "昨天晚上我们在城里走了很久，谈论着明天会发生什么事情，大家都很高兴。" * 4,
+    "Wczoraj wieczorem długo spacerowaliśmy po mieście i rozmawialiśmy o tym, co się jutro wydarzy. " * 3,
+    "Eilen illalla kävelimme pitkään kaupungilla ja puhuimme siitä, mitä huomenna tapahtuu meille. " * 3,
+    "Dün akşam şehirde uzun süre yürüdük ve yarın ülkemizde neler olacağını konuştuk arkadaşlarla. " * 3,
+    "xq zvkj wpfh qqtz bnxr jjkw vzzp hqxw ktrq pzvb xkcd wqjh zzxv bqkp rtxz hjqw vkpz xxqj wzrk " * 3]
+
+
+@pytest.mark.parametrize("rare", [1, 2, 4])
+def test_foreign_text_is_rejected_beside_rare_languages_and_long_texts(spark, rare):
+    by: dict = {}
+    for r in spark.read.parquet(f"{SF01}/documents.parquet").where("lang IS NOT NULL").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(r.text)
+    few, long, *others = sorted(by, key=lambda k: len(by[k]))
+    text = " ".join(by[long][1::2])
+    rows = [(few, t) for t in by[few][:rare]] + [(long, text * (1 + 1_600_000 // len(text)))]
+    rows += [(k, t) for k in others for t in by[k]]
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = kn.learn(df)
+    assert model.predict(FOREIGN, 16.0)[2].all()
+    for lang, texts in ((few, by[few][rare:]), (long, by[long][::2])):
+        best, _, rejected = model.predict(texts, 16.0)
+        assert (best == model.langs.index(lang)).mean() >= 0.9 and rejected.mean() <= 0.1
+
+
 def test_language_edge_rows(spark):
     rows = ROWS + [(8, "123 !!! 456"), (9, "THE DAY AND THE NIGHT")]
     model = kn.Model(TEXTS, order=3)
