@@ -9,6 +9,11 @@ nearest decided block before and after it (inside an article, of its own
 section); a heading follows the block after it. Where a page marks its article or main
 part and text is found there, blocks outside it are left out.
 
+Names count by whole words of a class, id or role, and not where the word only
+describes the page (``comments-open``, ``content-sidebar-wrap``). They don't
+drop an article or main part; where one stands in a named holder and holds
+more than the rest, or where names leave no text at all, names give way.
+
 Character references are decoded, white space inside a block is one space,
 blocks are trimmed and joined by two newlines in page order. Markup that is
 cut off or never closed is read as far as it goes.
@@ -43,7 +48,7 @@ al como con del el ella en entre era es esta este fue ha la las lo los más mi m
 su sus también un una y ya yo
 """.split())
 
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|button|title|canvas|audio|video"
+RAW = "noscript|template|textarea|iframe|svg|math|object|select|button|title|canvas|audio|video"
 DROPPED = frozenset("nav footer aside form menu dialog head".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td
@@ -51,22 +56,34 @@ tfoot th thead tr ul""".split())
 HOLDERS = frozenset("""article aside blockquote body details dialog div dl fieldset figure footer form head header html
 li main menu nav ol section table td th tr ul""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_NAMED = re.compile(
-    r"(?<![a-z])(?:ads?|adbox|nav|navbar|menu|promos?|reply|replies|side|share|sharing|social|login|signup|pager|skip|tags"
-    r"|legal|toc|crumbs?|hidden|disclaimer|copyright)(?![a-z])"
-    r"|advert|sponsor|banner|sidebar|comment|cookie|consent|notice|popup|modal|overlay|newsletter|subscri|related"
-    r"|recommend|breadcrumb|pagination|masthead|footer|navigation|toolbar|widget|teaser|respond|alert")
+NAMES = frozenset("""ad ads adbox adsbygoogle advert adverts advertisement advertisements advertising alert alerts banner
+banners breadcrumb breadcrumbs comment commentlist comments consent cookie cookies copyright crumb crumbs disclaimer footer
+hidden legal login masthead menu modal nav navbar navigation newsletter newsletters notice notices overlay pager pagination
+popup promo promos recommend recommendation recommendations recommended related replies reply respond share sharing side
+sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription tags teaser teasers toc toolbar widget
+widgets""".split())
+#: Beside these words a name describes the page or the post, not a section.
+_ABOUT = frozenset("""by category closed disabled enabled format has have layout no not off on open opened status tag topic
+type with without""".split())
+#: Between others, a name beside these is one part of a holder of several.
+_PARTS = frozenset("article body content entry main post story text".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"\shidden(?=[\s/>=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(" + RAW + r")\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(script|style)\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z)|\Z)"
+    # others end at their end tag; without one before the next of their kind, at the next block tag
+    r"|<(" + RAW + r")\b[^>]*+(?:(?<=/)>|>(?:[^<]*+(?:<(?!/?\2\b)[^<]*+)*+</\2\s*>"
+    r"|[^<]*+(?:<(?!/?(?:" + "|".join(sorted(BLOCKS)) + r")\b)[^<]*+)*+)|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
 _SPACE = re.compile(r"\s+")
 
 GOOD, BAD, OPEN = 1, 0, None
+#: What drops a section: the name of a holder of its article, a name, its tag or being hidden.
+HOLDER_NAMED, NAMED, AWAY = 1, 2, 3
 
 
 class Block:
@@ -78,15 +95,25 @@ class Block:
         self.label, self.text = OPEN, ""
 
 
-def _named_away(tag: str, attrs: str, inside: bool) -> bool:
+def _is_name(token: str) -> bool:
+    """Does one class, id or role name a section that isn't main text?"""
+    words = [w.lower() for w in _WORD.findall(token)]
+    if NAMES.isdisjoint(words) or not _ABOUT.isdisjoint(words):
+        return False
+    return words[0] in NAMES or words[-1] in NAMES or _PARTS.isdisjoint(words)
+
+
+def _dropped_by(tag: str, attrs: str, inside: bool) -> int:
     """Does a section's tag, class, id or role say that it isn't main text?"""
     if tag in DROPPED or (tag == "header" and not inside):
-        return True
+        return AWAY
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return 0
     if _HIDDEN.search(attrs):
-        return True
-    return any(_NAMED.search((a or b or c).lower()) for _, a, b, c in _ATTR.findall(attrs))
+        return AWAY
+    if tag == "article" and not inside:
+        return 0
+    return NAMED if any(_is_name(t) for _, a, b, c in _ATTR.findall(attrs) for t in (a or b or c).split()) else 0
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -110,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            _, section, dropped, inside = held[-1] if held else ("", 0, False, False)
+            _, section, dropped, inside = held[-1] if held else ("", 0, 0, False)
             now = Block(section, dropped, inside, state.get("heading", False))
         now.parts.append(text)
         if state["links"] > 0:
@@ -123,11 +150,11 @@ def blocks_of(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at:m.start()])
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[4] or m[7]
         if not tag:
             continue
-        tag, closing = tag.lower(), bool(m[2] or m[5])
-        attrs = m[4] or m[7] or ""
+        tag, closing = tag.lower(), bool(m[3] or m[6])
+        attrs = m[5] or m[8] or ""
         if tag == "a":
             state["links"] = 0 if closing else 1
         elif tag == "br":
@@ -147,9 +174,11 @@ def blocks_of(page: str) -> list[Block]:
                             del held[i:]
                             break
                 elif not attrs.endswith("/"):
-                    _, _, dropped, inside = held[-1] if held else ("", 0, False, False)
+                    _, _, dropped, inside = held[-1] if held else ("", 0, 0, False)
                     sections += 1
-                    held.append((tag, sections, dropped or _named_away(tag, attrs, inside),
+                    if dropped == NAMED and not inside and tag in ("article", "main"):
+                        dropped = HOLDER_NAMED
+                    held.append((tag, sections, max(dropped, _dropped_by(tag, attrs, inside)),
                                  inside or tag in ("article", "main")))
     if at < len(page):
         add(page[at:])
@@ -157,10 +186,10 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _decide(b: Block) -> int | None:
+def _decide(b: Block, allowed: int) -> int | None:
     """Pass one: by section, links, length and stop words."""
     n = len(b.text)
-    if b.dropped or b.linked >= 0.5 * n:
+    if b.dropped > allowed or b.linked >= 0.5 * n:
         return BAD
     if b.heading:
         return OPEN
@@ -180,8 +209,19 @@ def _decide(b: Block) -> int | None:
 def extract_text(page: str) -> tuple[str, int, int]:
     """(main text, blocks, blocks kept) of one page."""
     blocks = blocks_of(page)
-    for b in blocks:
-        b.label = _decide(b)
+
+    def decide(allowed):
+        """Labels by pass one; (characters found in marked parts, anywhere)."""
+        for b in blocks:
+            b.label = _decide(b, allowed)
+        good = [b for b in blocks if b.label == GOOD]
+        return sum(len(b.text) for b in good if b.inside), sum(len(b.text) for b in good)
+
+    marked, found = decide(0)
+    if not marked and any(b.dropped == HOLDER_NAMED for b in blocks) and decide(HOLDER_NAMED)[0] <= found:
+        decide(0)
+    if not found and not any(b.label == GOOD for b in blocks) and any(b.dropped == NAMED for b in blocks):
+        decide(NAMED)
     # pass two: the nearest decided blocks on both sides, own section first
     decided = [i for i, b in enumerate(blocks) if b.label is not OPEN]
     marked = any(b.inside and b.label == GOOD for b in blocks)

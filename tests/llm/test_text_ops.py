@@ -58,6 +58,20 @@ def test_pages_match_their_articles(spark):
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+@pytest.mark.parametrize("page", [
+    "<article class='post comments-open tag-social'>{}</article>",
+    "<div class='content-sidebar-wrap'><article>{}</article></div>",
+    "<main><div class='content-sidebar-wrap'>{}</div><div class='related-posts'><p>" + LONG + "</p></div></main>",
+    "<div class='sidebar'><article>{}<div class='comment-list'><p>" + LONG + "</p></div></article></div>",
+    "<div id='correspondence'>{}</div>", "<article><div class='unrelated'>{}</div></article>", "<div class='widget'>{}</div>",
+    "<article><svg viewBox='0 0 1 1'/>{}<svg><text>x</text></svg></article>", "<article><iframe src='x'/>{}</article>",
+    "<article><button class=a>Press{}<button>b</button></article>", "<article><select><option>One{}</article>",
+    "<article>{}<button><div>Press</div></button><video><p>" + LONG + "</p></video></article>"])
+def test_names_and_open_elements_do_not_swallow_main_text(page):
+    text, _, _ = rules.extract_text("<body>" + page.format(f"<p>{LONG}</p><p>{LONG}</p>") + "</body>")
+    assert text == f"{LONG}\n\n{LONG}"
+
+
 def test_extraction_edge_rows(spark):
     cut = "<article><p>" + LONG + "</p><p>cut &am"
     rows = [(1, "u", None), (2, "u", ""), (3, None, "<p"), (4, "u", "plain &lt;text&gt;"), (5, "u", cut), (5, "u", cut),
