@@ -241,12 +241,15 @@ def _read(item: int, items: Items, words: list[bytes], window: int) -> tuple[flo
     """LCS share and answer check of an item against the words it lines up
     with, around a window of a text's words."""
     n, lo, where = len(items.words[item]), window * BLOCK, items.where[item]
-    shifts = sorted(lo + j - i for j, w in enumerate(words[lo:lo + 2 * BLOCK])
-                    for i in where.get(w, ()) if len(where[w]) <= 2)
-    if not shifts:
+    met = [(lo + j, where[w]) for j, w in enumerate(words[lo:lo + 2 * BLOCK]) if w in where]
+    # by words that occur once or twice in the item; by all where none of these is there
+    shifts = np.sort(np.array([j - i for j, places in met if len(places) <= 2 for i in places]
+                              or [j - i for j, places in met for i in places], dtype=np.int64))
+    if not len(shifts):
         return 0.0, False, lo
     # half of the shifts lie around the true one; others are chance
-    start = max(shifts, key=lambda x: sum(abs(x - y) <= 3 for y in shifts))
+    around = np.searchsorted(shifts, shifts + 3, side="right") - np.searchsorted(shifts, shifts - 3)
+    start = int(shifts[around.argmax()])
     part = words[max(0, start - n // 4 - 2):max(0, start + n + n // 4 + 2)]
     share = lcs_length(items.masks[item], n, part) / n
     size, masks = items.answers[item]

@@ -180,6 +180,20 @@ def test_thousands_of_items_short_and_long(spark):
         assert leaks.lcs_length(leaks.masks_of(item), len(item), texts[d]) >= 0.5 * len(item)
 
 
+def test_items_made_of_repeated_words_are_found(spark):
+    rng = random.Random(9)
+    refrain = "row your boat gently down the silver stream".split()
+    table = [str(k) for k in range(100, 112)] * 4
+    rng.shuffle(table)
+    items = [" ".join(refrain * 3), " ".join(refrain * 20), " ".join(table)]
+    rows = [(k, " ".join([f"w{rng.randrange(900)}" for _ in range(40 + 11 * k)] + [items[k % 3]] * (k < 30)
+                         + [f"w{rng.randrange(900)}" for _ in range(50)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: {h.item_id: h.lcs_share for h in r.hits} for r in leaks.search(df, bench, common=1.0).collect()}
+    assert all(got[k].get(k % 3) == 1.0 for k in range(30)) and not any(got[k] for k in range(30, 60))
+
+
 def test_leak_edge_rows(spark):
     item = "one of the very rare passages that a benchmark holds and nobody else would write"
     rows = [(1, None), (2, ""), (3, item), (3, item), (None, "x y z " * 4000 + item), (5, "clean words only here")]
