@@ -1,17 +1,20 @@
 """Source divergence audit: how far apart the sources of each language write.
 
-Terms carry their language, so one ``CountVectorizer`` (``minDF`` documents, no
-limit on the vocabulary but the largest integer) counts documents within each
-language and turns every text into an exact sparse vector. Vectors are summed
-per (language, source) the way ``Summarizer`` sums, but as integers over the
-entries that occur, with partial sums in every task: no task or driver holds a
-dense row, and a source with most of the documents costs its tasks one partial
-sum a term.
-
-The vocabulary of a ``CountVectorizer`` passes through the driver. Its size is
-therefore counted first, exactly and in Spark, and terms are dealt by hash into
-blocks of about ``terms_at_once``; each block is fitted, counted and written by
-itself.
+Terms carry their language, so that one vocabulary holds those of all
+languages, each with its own count of documents. Texts are cut into terms in
+Arrow batches, as bytes. The ``minDF`` count is a Spark aggregate over the
+distinct terms of every text; ``CountVectorizer`` (no limit
+on the vocabulary but the largest integer) is fitted on the terms that reach it
+and turns every text into an exact sparse vector. Vectors are summed per
+(language, source) the way ``Summarizer`` sums, but as integers over the entries
+that occur, with partial sums in every task: no task or driver holds a dense
+row, and a source with most of the documents costs its tasks one partial sum a
+term.
+
+Why ``minDF`` is counted before the fit: the vocabulary of a ``CountVectorizer``
+passes through the driver. Counted first, it is dealt by hash into blocks of
+about ``terms_at_once`` terms; each block is fitted, summed and written by
+itself, so the driver's share is bounded whatever the corpus holds.
 
 Probabilities are integers: p = 1 + floor(10^9 * (count + 5) / (N + 5 V)), for
 terms that a group lacks too. The distance of two sources,
@@ -28,35 +31,73 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: what separates terms: everything in ASCII that is no letter
-NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A-Z in lower case; everything else in ASCII that is no letter separates terms
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MAX_INT = 2147483647
 SCALE, PRIOR = 1_000_000_000, 5
-MARK = "\0"             # between language and term; no term holds it
+TEXTS_AT_ONCE = 4 << 20     # bytes
 
 
-def term_lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, terms): each text's terms in order, with their language."""
-    def read(c):
-        return F.coalesce(F.col(c), F.lit(""))
-    words = F.filter(F.split(F.translate(read(text_col), UPPER, LOWER), NO_TERM), lambda w: w != "")
-    lang = read(lang_col)
-    return docs.select(lang.alias("lang"), read(source_col).alias("source"),
-                       F.transform(words, lambda w: F.concat(lang, F.lit(MARK), w)).alias("terms"))
+def _read(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
+
+
+def _marked(batches):
+    """(lang, source, terms) of texts, block by block: terms are the hex of
+    the language, ':' and the term, as bytes."""
+    for block in C.by_bytes(C.rows_of(batches, "lang", "source", "text"), lambda r: len(r[2]), TEXTS_AT_ONCE):
+        yield [(lang, source, list(map((lang.encode().hex() + ":").encode().__add__, text.translate(FOLD).split())))
+               for lang, source, text in block]
 
 
-def kept_terms(lists: DataFrame, min_docs: int) -> int:
-    """How many terms the vocabularies of all languages hold together."""
-    per_doc = lists.select(F.explode(F.array_distinct("terms")).alias("key"))
-    return per_doc.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).count()
+def _texts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    C.ship_package(docs.sparkSession)
+    return docs.select(_read(lang_col).alias("lang"), _read(source_col).alias("source"),
+                       _read(text_col).cast("binary").alias("text"))
+
+
+def term_lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(lang, source, terms): each text's terms in order, with their language."""
+    def run(batches):
+        for block in _marked(batches):
+            langs, sources, lists = zip(*block)
+            flat = pa.array([t for ts in lists for t in ts], pa.binary()).view(pa.string())
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sources), pa.ListArray.from_arrays(ends, flat)],
+                                             names=["lang", "source", "terms"])
+    return _texts(docs, text_col, lang_col, source_col).mapInArrow(run, "lang string, source string, terms array<string>")
+
+
+def kept_terms(docs: DataFrame, min_docs: int, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+               held: int = 300_000) -> DataFrame:
+    """(key): the terms of all languages that occur in enough texts. A task
+    adds up its texts, up to ``held`` terms at a time."""
+    def run(batches):
+        counts: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).view(pa.string()),
+                                               pa.array(counts.values(), pa.int64())], names=["key", "docs"])
+        for block in _marked(batches):
+            for _, _, terms in block:
+                counts.update(set(terms))
+                if len(counts) > held:
+                    yield out()
+                    counts.clear()
+        yield out()
+    return (_texts(docs, text_col, lang_col, source_col).mapInArrow(run, "key string, docs bigint")
+            .groupBy("key").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("key"))
 
 
 def group_sums(docs: DataFrame, min_docs: int = 30, terms_at_once: int = 1_000_000, text_col: str = "text",
@@ -64,20 +105,18 @@ def group_sums(docs: DataFrame, min_docs: int = 30, terms_at_once: int = 1_000_0
     """(lang, source, term, count): occurrences of kept terms, where above 0."""
     spark = docs.sparkSession
     lists = term_lists(docs, text_col, lang_col, source_col)
-    blocks = -(-kept_terms(lists, min_docs) // terms_at_once)
+    kept = C.cut_lineage(kept_terms(docs, min_docs, text_col, lang_col, source_col), spark, "kept-terms")
+    blocks = -(-kept.count() // terms_at_once)
     out = None
     for b in range(blocks):
-        of_block = lists if blocks == 1 else lists.withColumn("terms", F.filter(
-            "terms", lambda w: F.pmod(F.xxhash64(w), F.lit(blocks)) == b))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs),
-                                vocabSize=MAX_INT).fit(of_block)
+        block = kept.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).select(F.array("key").alias("terms"))
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=1.0, vocabSize=MAX_INT).fit(block)
         v = F.unwrap_udt("vector")
-        entries = model.transform(of_block).select("lang", "source", F.explode(
-            F.arrays_zip(v["indices"].alias("i"), v["values"].alias("n"))).alias("e"))
-        sums = entries.groupBy("lang", "source", F.col("e.i").alias("i")).agg(
-            F.sum(F.col("e.n").cast("bigint")).alias("count"))
-        names = spark.createDataFrame(pd.DataFrame({"term": [w.rpartition(MARK)[2] for w in model.vocabulary]}).reset_index(names="i"),
-                                      "i bigint, term string")
+        entries = model.transform(lists).select("lang", "source", F.inline(F.arrays_zip(
+            v["indices"].alias("i"), v["values"].alias("n"))))
+        sums = entries.groupBy("lang", "source", "i").agg(F.sum(F.col("n").cast("bigint")).alias("count"))
+        names = spark.createDataFrame(pd.DataFrame({"term": [w.partition(":")[2] for w in model.vocabulary]})
+                                      .reset_index(names="i"), "i bigint, term string")
         part = C.cut_lineage(sums.join(names, "i").select("lang", "source", "term", "count"), spark, "group-sums")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "lang string, source string, term string, count bigint")
@@ -94,15 +133,13 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, terms_at_once: int
           lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): the distances of every two
     sources of a language, and each source's ``top`` terms above its language."""
-    def read(c):
-        return F.coalesce(F.col(c), F.lit(""))
     counts = group_sums(docs, min_docs, terms_at_once, text_col, lang_col, source_col)
     in_lang = counts.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"))
     sizes = in_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_count").alias("lang_n"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     zero = F.lit(0).cast("bigint")
     # one row a source and language: sizes, and p of a term that does not occur
-    groups = (docs.select(read(lang_col).alias("lang"), read(source_col).alias("source")).distinct()
+    groups = (docs.select(_read(lang_col).alias("lang"), _read(source_col).alias("source")).distinct()
               .join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
               .select("lang", "source", F.coalesce("terms", zero).alias("terms"),
                       (F.coalesce("n", zero) + PRIOR * F.coalesce("terms", zero)).alias("total"),
