@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,28 @@ def by_bytes(rows: Iterable, size, limit: int) -> Iterator[list]:
         yield out
 
 
+def with_text(docs: DataFrame, text_col: str, cols: list[str]) -> tuple[DataFrame, str]:
+    """``docs`` cut to ``cols`` and the text, and the text's name there: a text
+    that is one of ``cols`` is sent once."""
+    if text_col in cols:
+        return docs.select(*cols), text_col
+    return docs.select(*cols, F.col(text_col).alias("_text")), "_text"
+
+
+def text_blocks(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Consecutive slices of a batch with about ``limit`` bytes of text each
+    (one text may exceed that), and their texts; null is empty. Only one
+    slice's texts are Python objects at a time."""
+    texts = batch.column(name).cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        done = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(at, end - at), [t or b"" for t in texts.slice(at, end - at).to_pylist()]
+        at = end
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values."""
     for b in batches:

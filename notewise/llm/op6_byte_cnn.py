@@ -8,7 +8,9 @@ chunk's feature. The mean and the maximum of the features over all chunks of
 the text give one probability through a logistic unit.
 
 The network is fitted by Adam on a bounded sample of labelled rows (the
-bounds are parameters of ``learn``); scoring runs over whole texts, a small
+bounds are parameters of ``learn``), and its logits are calibrated on rows
+that a network of the other half did not see, so that a score is a probability
+whatever the size of the sample; scoring runs over whole texts, a small
 block of chunks at a time, so a text of any length needs the same memory.
 
 Edge cases: a null or empty text is one chunk of padding and gets the score
@@ -116,7 +118,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 3
     to the window that gave it. Classes weigh the same in the loss, and the
     share of each is put back into the bias at the end."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    share = labels.mean() if len(labels) else 0.5
+    share = labels.mean() if len(labels) else 0.0
     if not 0 < share < 1:
         net.out[:] = 0
         net.out[-1] = 0 if not len(labels) else (6 if share else -6)
@@ -163,13 +165,48 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 3
     return net
 
 
+def calibration(logits: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """(slope, shift) of a logistic unit over logits of texts that their
+    network was not fitted on; ``ridge`` draws the slope towards 1."""
+    a, b = 1.0, 0.0
+    for _ in range(30):             # Newton
+        p = 1 / (1 + np.exp(-np.clip(a * logits + b, -30, 30)))
+        h = p * (1 - p)
+        step = np.linalg.solve([[(h * logits ** 2).sum() + ridge, (h * logits).sum()], [(h * logits).sum(), h.sum() + 1e-6]],
+                               [((p - labels) * logits).sum() + ridge * (a - 1), (p - labels).sum()])
+        a, b = a - step[0], b - step[1]
+    return float(max(a, 0.1)), float(b)
+
+
+def fit_calibrated(texts: list[bytes], labels: np.ndarray, epochs: int, folds: int = 2, seed: int = 5) -> Network:
+    """A network fitted on all rows, its logits calibrated on those that each
+    fold's rows get from a network fitted on the others."""
+    net = fit(texts, labels, epochs, seed=seed)
+    fold = np.zeros(len(labels), int)
+    for kind in (0, 1):
+        own = np.flatnonzero(labels == kind)
+        if len(own) < 2 * folds:
+            return net
+        fold[own] = np.arange(len(own)) % folds
+    logits = np.zeros(len(labels))
+    for k in range(folds):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        other = fit([texts[i] for i in rest], labels[rest], epochs, seed=seed)
+        logits[own] = other.logit(other.pooled([texts[i] for i in own]))
+    slope, shift = calibration(logits, labels)
+    net.out[:-1] *= slope
+    net.out[-1] = net.out[-1] * slope + shift
+    return net
+
+
 def learn(documents: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_bytes: int = 12_000_000,
-          epochs: int = 12) -> Network:
+          epochs: int | None = None) -> Network:
     """Fit on texts of ``documents`` (doc_id, text) by ``labels`` (doc_id,
     label): about ``sample_docs`` labels, up to half of each kind, picked by
     a hash of the id over all of them, and no more than ``sample_bytes``
     (and the text that passes it) of each. The picked ids, at most twice
-    ``sample_docs``, are broadcast; no text is shuffled."""
+    ``sample_docs``, are broadcast; no text is shuffled. ``epochs``: by
+    default 12, and up to 30 where the sample is small."""
     counts = {int(r.label): r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], np.zeros(0))
@@ -184,7 +221,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample_docs: int = 3000, samp
             texts.append(bytes(r.text))
             kinds.append(int(r.label))
             size[r.label] += len(r.text)
-    net = fit(texts, np.array(kinds, np.float32), epochs)
+    net = fit_calibrated(texts, np.array(kinds, np.float32), epochs or int(np.clip(10_000 // max(1, len(texts)), 12, 30)))
     # back from the sample's shares to those of all labelled rows
     drawn = {k: kinds.count(k) for k in counts}
     if len(counts) == 2 and all(drawn.values()):
@@ -198,16 +235,15 @@ def classify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     C.ship_package(spark)
     cols = list(dict.fromkeys((id_col, *keep)))
-    src = docs.select(*cols, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    src, text = C.with_text(docs, text_col, cols)
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches):
         net = shared.value
         for b in batches:
-            scores = [net.score(part) for part in C.by_bytes(b.column("_text").to_pylist(), len, 1 << 20)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(n) for n in cols] + [pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                names=[*cols, "score"])
+            for part, texts in C.text_blocks(b, text):
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in cols), pa.array(net.score(texts), pa.float64())],
+                                                 names=[*cols, "score"])
 
     return src.mapInArrow(run, src.select(*cols).schema.add("score", "double"))
 
