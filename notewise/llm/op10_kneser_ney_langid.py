@@ -349,27 +349,23 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     C.ship_package(spark)
     cols = list(dict.fromkeys((id_col, *keep)))
-    src = docs.select(*cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    src, text = C.with_text(docs, text_col, cols)
     added = [("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
     shared = spark.sparkContext.broadcast(model)
 
     def predict(batches):
         model = shared.value
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            best, score, rejected = [], [], []
-            for part in C.by_bytes(texts, len, 1 << 20):
+            for part, texts in C.text_blocks(b, text):
                 if model is None:
-                    p = np.full(len(part), -1), np.zeros(len(part)), np.ones(len(part), bool)
+                    best, score, rejected = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts), bool)
                 else:
-                    p = model.predict(part, reject_sd)
-                best += p[0].tolist()
-                score += p[1].tolist()
-                rejected += p[2].tolist()
-            names = [UND if j < 0 else model.langs[j] for j in best]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(n) for n in cols] + [pa.array(v, t) for v, (_, t) in zip((names, score, rejected), added)],
-                names=cols + [n for n, _ in added])
+                    best, score, rejected = model.predict([t.decode("utf-8", "replace") for t in texts], reject_sd)
+                names = [UND if j < 0 else model.langs[j] for j in best.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(n) for n in cols), *(pa.array(v, t) for v, (_, t) in
+                                                        zip((names, score, rejected), added))],
+                    names=cols + [n for n, _ in added])
 
     schema = src.select(*cols).schema
     for n, t in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):
