@@ -133,36 +133,51 @@ def block_features(texts: list[bytes], feature: dict[bytes, int]):
     return words, np.array(first), pairs // FEATURES, pairs % FEATURES
 
 
-def _texts(batches, limit: int = 4 << 20):
-    for b in batches:
-        yield from C.by_bytes(b.column("_text").to_pylist(), len, limit)
+def feature_table(texts: DataFrame, feature: dict[bytes, int]) -> DataFrame:
+    """(blocks, features, passages) of runs of texts, written to the shared
+    folder: texts are folded and looked up once for all that is counted over
+    passages. The first two are the numbers of ``block_features`` as bytes."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(feature)
+
+    def run(batches):
+        for batch in batches:
+            for _, part in C.text_blocks(batch, "_text", 4 << 20):
+                words, _, b, f = block_features(part, shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.astype("<i4").tobytes()], pa.binary()), pa.array([f.astype("<u2").tobytes()], pa.binary()),
+                     pa.array([sum(-(-len(w) // BLOCK) for w in words)], pa.int64())],
+                    names=["blocks", "features", "passages"])
+    return C.cut_lineage(texts.mapInArrow(run, "blocks binary, features binary, passages bigint"), spark, "passage-features")
+
+
+def _runs(batches):
+    for blocks, features, passages in C.rows_of(batches, "blocks", "features", "passages"):
+        yield np.frombuffer(blocks, "<i4").astype(np.int64), np.frombuffer(features, "<u2").astype(np.int64), passages
 
 
-def document_frequency(texts: DataFrame, feature: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def document_frequency(table: DataFrame) -> tuple[np.ndarray, int]:
     """(passages that hold each feature, passages), over all texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(feature)
     schema = pa.schema([("f", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
         df = np.zeros(FEATURES + 1, np.int64)
-        for part in _texts(batches):
-            words, _, _, f = block_features(part, shared.value)
+        for _, f, passages in _runs(batches):
             df[:FEATURES] += np.bincount(f, minlength=FEATURES)
-            df[FEATURES] += sum(-(-len(w) // BLOCK) for w in words)
+            df[FEATURES] += passages
         at = np.flatnonzero(df)
         yield C.record(schema, at.astype(np.int32), df[at])
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for r in texts.mapInArrow(run, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    for r in table.mapInArrow(run, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():
         out[r.f] = r.n
     return out[:FEATURES], int(out[FEATURES])
 
 
-def sketch(texts: DataFrame, feature: dict[bytes, int], weight: np.ndarray, rank: int, seed: int):
+def sketch(table: DataFrame, weight: np.ndarray, rank: int, seed: int):
     """(G @ R, R) with G the Gram matrix of all normalised TF-IDF passages
     and R a random (features x rank) matrix that every task draws alike."""
-    weighty = {w: f for w, f in feature.items() if weight[f] > 0}
-    shared = texts.sparkSession.sparkContext.broadcast((weighty, weight))
+    shared = table.sparkSession.sparkContext.broadcast(weight)
     names = [f"c{i}" for i in range(rank)]
     schema = pa.schema([("f", pa.int32())] + [(n, pa.float64()) for n in names])
 
@@ -170,10 +185,11 @@ def sketch(texts: DataFrame, feature: dict[bytes, int], weight: np.ndarray, rank
         return np.random.default_rng(seed).normal(size=(FEATURES, rank)).astype(np.float32)
 
     def run(batches):
-        feature, weight = shared.value
+        weight = shared.value
         omega, total = random(), np.zeros((FEATURES, rank))
-        for part in _texts(batches):
-            _, _, b, f = block_features(part, feature)
+        for b, f, _ in _runs(batches):
+            telling = weight[f] > 0
+            b, f = b[telling], f[telling]
             if not len(f):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
@@ -187,7 +203,7 @@ def sketch(texts: DataFrame, feature: dict[bytes, int], weight: np.ndarray, rank
         at = np.flatnonzero(total.any(1))
         yield C.record(schema, at.astype(np.int32), *total[at].T)
 
-    rows = (texts.mapInArrow(run, "f int, " + ", ".join(f"{n} double" for n in names))
+    rows = (table.mapInArrow(run, "f int, " + ", ".join(f"{n} double" for n in names))
             .groupBy("f").agg(*[F.sum(n).alias(n) for n in names]).toPandas())
     out = np.zeros((FEATURES, rank))
     out[rows["f"].to_numpy(int)] = rows[names].to_numpy()
@@ -327,7 +343,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     C.ship_package(spark)
     cols = list(dict.fromkeys((id_col, *keep)))
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    texts = docs.select(F.col(text_col).alias("_text"))
     models = []
     rows = benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator()
     for part in C.by_bytes(((r.item_id, r.text) for r in rows),
@@ -335,7 +351,8 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         items = Items(part)
         if not items.ids:
             continue
-        df, n = document_frequency(texts, items.feature)
+        table = feature_table(texts, items.feature)
+        df, n = document_frequency(table)
         # frequent words weigh nothing, but for items that have few others
         weight = np.log((n + 1) / (df + 1.0))
         weight[df > max(5, common * n)] = 0
@@ -343,7 +360,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
             f = items.features_of(w)
             if (weight[f] > 0).sum() < 3:
                 weight[f] = np.maximum(weight[f], 0.1)
-        gram, omega = sketch(texts, items.feature, weight, rank, seed)
+        gram, omega = sketch(table, weight, rank, seed)
         used = np.unique(np.fromiter(items.feature.values(), int))
         latent = directions(used[weight[used] > 0], gram, omega)
         spaces = [Space(items, items.passages[at:at + own_rank], weight, latent)
@@ -355,14 +372,14 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     def run(batches):
         for b in batches:
-            hits = []
-            for part in C.by_bytes(b.column("_text").to_pylist(), len, 1 << 20):
-                found = [find_hits(part, items, spaces, feature, cosine, sure, maybe)
+            for part, some in C.text_blocks(b, text):
+                found = [find_hits(some, items, spaces, feature, cosine, sure, maybe)
                          for items, feature, spaces in shared.value]
-                hits += [sum(x, []) for x in zip(*found)] if found else [[] for _ in part]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in cols] + [pa.array(hits, kind)], names=[*cols, "hits"])
+                hits = [sum(x, []) for x in zip(*found)] if found else [[] for _ in some]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in cols), pa.array(hits, kind)],
+                                                 names=[*cols, "hits"])
 
-    src = docs.select(*cols, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    src, text = C.with_text(docs, text_col, cols)
     return src.mapInArrow(run, src.select(*cols).schema.add("hits", ArrayType(HIT)))
 
 
