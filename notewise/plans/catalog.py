@@ -417,7 +417,7 @@ def q_step_gain(spark, sf):
 
 
 @query("run_timing", with_views(
-    "SELECT 'single_prompt' AS method, 1 AS step, count(*) AS n, round(count(*) * 0.25, 6) AS total_sec, "
+    "SELECT 'single_prompt' AS method, 1 AS step, count(*) AS n, CAST(round(count(*) * 0.25, 6) AS DOUBLE) AS total_sec, "
     "true AS calls_add_up FROM records", "records"))
 def q_run_timing(spark, sf):
     """A8 on a clock that moves a quarter of a second per chat."""
