@@ -1,9 +1,10 @@
 """Instruction-record sources and sinks.
 
 The native input is a JSON *array* file of objects with the keys
-``instruction``, ``input``, ``output`` (extra keys allowed). Such a file
-cannot be split, so each file is one task: write many bounded files
-(``write_record_arrays``) or JSON lines for large corpora. Records are
+``instruction``, ``input``, ``output`` (extra keys allowed). The plain reader
+takes each file whole in one task: right for many bounded files
+(``write_record_arrays``). ``array_blocks`` reads large files in blocks by many
+tasks. Records are
 parsed as Variant, which keeps "key missing" apart from "key is JSON null"
 (the typed JSON reader reads both as NULL).
 """
@@ -76,18 +77,20 @@ def validate_records(parsed: DataFrame, clean_scope=("instruction", "input"),
     if mode == "fail":
         out = out.withColumn("reason", F.when(F.col("reason").isNotNull(), F.raise_error(
             F.concat(F.lit("invalid record: "), F.col("reason")))).otherwise(F.col("reason")))
+    text = F.col("text") if "text" in parsed.columns else F.lit(None).cast("string")
     return out.select(
         "record_id", "source_file", "pos", "reason",
         *[_vget(rec, k).alias(k) for k in REQUIRED],
-        F.when(F.col("rec").isNotNull(), F.to_json(rec)).alias("raw"))
+        F.when(F.col("rec").isNotNull(), F.to_json(rec)).otherwise(text).alias("raw"))
 
 
 def read_records(spark: SparkSession, path, id_key: str | None = None,
-                 clean_scope=("instruction", "input"), mode: str = "fail") -> DataFrame:
+                 clean_scope=("instruction", "input"), mode: str = "fail", parse=parse_record_files) -> DataFrame:
     """Valid records (record_id, instruction, input, output), the
-    fields of ``clean_scope`` cleaned (P1/P2) as part of loading."""
+    fields of ``clean_scope`` cleaned (P1/P2) as part of loading. ``parse``:
+    ``array_blocks.parse_record_blocks`` reads large files by many tasks."""
     from notewise.functions.text import clean_scope as _clean
-    v = validate_records(parse_record_files(spark, path, id_key), clean_scope, mode)
+    v = validate_records(parse(spark, path, id_key), clean_scope, mode)
     return _clean(v.where(F.col("reason").isNull()).select("record_id", *REQUIRED), clean_scope)
 
 
@@ -107,9 +110,9 @@ def read_record_lines(spark: SparkSession, path, id_key: str = "id",
 
 
 def rejects(spark: SparkSession, path, id_key: str | None = None,
-            clean_scope=("instruction", "input")) -> DataFrame:
+            clean_scope=("instruction", "input"), parse=parse_record_files) -> DataFrame:
     """S2/S3 quarantine: (record_id, raw, reason) of every rejected element."""
-    v = validate_records(parse_record_files(spark, path, id_key), clean_scope, "quarantine")
+    v = validate_records(parse(spark, path, id_key), clean_scope, "quarantine")
     return v.where(F.col("reason").isNotNull()).select("record_id", "raw", "reason")
 
 
@@ -189,8 +192,16 @@ def head_records(df: DataFrame, n: int = 5, by: str = "split", order: str = "rec
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def save_outputs(responses: DataFrame, gold: DataFrame, path: str, key: str = "record_id") -> None:
+def save_outputs(responses: DataFrame, gold: DataFrame, path: str, key: str = "record_id", replace: bool = False) -> None:
     """Store answers next to their gold text, one folder per method and
-    step. Every answer is stored; one without gold has a NULL gold text."""
-    (responses.join(gold.select(key, "output"), key, "left")
-     .write.mode("errorifexists").partitionBy("method", "step").parquet(path))
+    step. Every answer is stored; one without gold has a NULL gold text.
+
+    ``replace``: the runs (method, step) of ``responses`` take the place of
+    what the folder holds of them, and other runs stay as they are, file by
+    file. Spark writes the new runs beside the old ones and swaps each folder
+    at the end of the job, so a job that fails leaves every run as it was."""
+    writer = (responses.join(gold.select(key, "output"), key, "left").write.partitionBy("method", "step"))
+    if replace:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("errorifexists").parquet(path)
