@@ -48,6 +48,21 @@ def token_count_with(tokenize: Callable[[list[str]], list[int]]):
     return _count
 
 
+def token_ids_with(tokenize: Callable[[list[str]], list[list[int]]]):
+    """T2/T4 with a user tokenizer: an Arrow UDF over batches of texts that
+    returns each text's token ids. ``tokenize`` maps a list of texts to lists
+    of ids; a NULL text has no ids."""
+    @pandas_udf(T.ArrayType(T.IntegerType()))
+    def _ids(texts: pd.Series) -> pd.Series:
+        there = texts.notna()
+        found = iter(tokenize(texts[there].tolist()))
+        out = [[int(i) for i in next(found)] if ok else None for ok in there]
+        if next(found, None) is not None:
+            raise ValueError("the tokenizer returned more lists than texts")
+        return pd.Series(out, dtype=object)
+    return _ids
+
+
 def within_budget(df: DataFrame, budget: int = TOKEN_BUDGET, col: str = "token_count") -> DataFrame:
     """rows strictly under the budget."""
     return df.where(F.col(col) < budget)
@@ -89,6 +104,34 @@ def completion_labels(tokens="tokens", ids=None, marker: str = HDR_END) -> Colum
     return let(_c(tokens), body)
 
 
+def last_run_end(ids, marker: list[int]) -> Column:
+    """1-based position of the last id of the last place where ``marker``, a
+    run of one or more ids, stands whole in the array; 0 if nowhere. Only
+    places that hold the marker's first id are compared with all of it."""
+    run = F.lit([int(i) for i in marker]).cast("array<int>")
+    m = len(marker)
+
+    def body(t):
+        places = F.transform(t, lambda x, i: F.when((x == marker[0]) & (i + m <= F.size(t)), i + 1))
+        whole = F.filter(places, lambda i: i.isNotNull() & (F.slice(t, F.coalesce(i, F.lit(1)), m) == run))
+        return F.coalesce(F.array_max(whole) + (m - 1), F.lit(0))
+    return let(_c(ids), body)
+
+
+def completion_labels_of_ids(ids="ids", marker: list[int] = ()) -> Column:
+    """T4 over real token ids: -100 up to and including the last whole run of
+    the marker's ids (a response header is several tokens in most vocabularies),
+    the id itself after it. A marker that is absent, or cut off by truncation,
+    leaves every label -100. Overlapping runs count: the last one ends it."""
+    if not marker:
+        raise ValueError("a marker of at least one id is needed")
+
+    def body(t):
+        return let(last_run_end(t, list(marker)), lambda last: F.transform(
+            t, lambda x, i: F.when((last == 0) | (i < last), F.lit(LABEL_IGNORE)).otherwise(x)))
+    return let(_c(ids), body)
+
+
 def label_frame(df: DataFrame, text: str = "text", budget: int = TOKEN_BUDGET) -> DataFrame:
     """Tokens, truncation and labels for every row (T3 + T4), plus the
     positions the audit needs."""

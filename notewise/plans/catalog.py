@@ -24,8 +24,9 @@ from notewise.operators import sft as S
 from notewise.plans import sqlparts as Q
 from notewise.plans.prompts import (EOT, FLOW_TURNS, HDR_END, HDR_START, INST_BOS, INST_CLOSE, INST_EOS, INST_OPEN,
                                     RUN_CONFIG_ROWS, SHORT_PLAN, run_config, settings_for)
-from notewise.plans.standin import WorkClock, extractive_responder
+from notewise.plans.standin import AGAIN, WorkClock, correcting_responder, extractive_responder, regex_ids
 from notewise.session import cut_lineage, shared_path, ship_package
+from notewise.sources import array_blocks as AB
 from notewise.sources import records as SR
 from notewise.sources import testdata as td
 from notewise.sources.testdata import with_views
@@ -561,6 +562,55 @@ def q_generate_single(spark, sf):
     return cut_lineage(out, spark, "single").select("record_id", "candidate")
 
 
+@query("generate_within_budget", with_views(
+    f"SELECT record_id, {SINGLE_ANSWER} AS candidate, true AS within FROM records", "records"))
+def q_generate_within_budget(spark, sf):
+    """G1 in calls of at most 16,384 tokens, padding counted."""
+    budget = 16_384
+    recs = td.records(spark, sf)
+    msgs = recs.select("record_id", C.messages_system_user(X.clean_text("input")).alias("messages"))
+    out = G.generate(msgs, extractive_responder, settings=settings_for("single_prompt"), keep=["record_id"],
+                     call_tokens=budget, count=lambda chat: sum(len(m["content"].split()) + 4 for m in chat))
+    return cut_lineage(out, spark, "budgeted").select(
+        "record_id", "candidate", ((F.col("call_padded") <= budget) & (F.col("call_tokens") <= F.col("call_padded"))).alias("within"))
+
+
+@query("generate_resumed", with_views(
+    f"SELECT record_id, {SINGLE_ANSWER} AS candidate, record_id % 3 = 0 AS kept FROM records", "records"))
+def q_generate_resumed(spark, sf):
+    """G1 on a folder that already holds the answers of every third record:
+    those keep their calls, the rest is asked."""
+    recs = td.records(spark, sf)
+    msgs = recs.select("record_id", C.messages_system_user(X.clean_text("input")).alias("messages"))
+    path = shared_path(spark, "resumed")
+    third = F.pmod("record_id", F.lit(3)) == 0
+    before = cut_lineage(G.generate_resumable(msgs.where(third), extractive_responder, path), spark, "before")
+    after = G.generate_resumable(msgs, extractive_responder, path)
+    calls = before.select("record_id", F.col("call_id").alias("_first"))
+    return after.join(calls, "record_id", "left").select(
+        "record_id", "candidate", F.coalesce(F.col("_first") == F.col("call_id"), F.lit(False)).alias("kept"))
+
+
+@query("generate_validated", with_views(f"""
+SELECT record_id, CAST(CASE WHEN ok1 THEN 1 WHEN ok2 THEN 2 ELSE 3 END AS INTEGER) AS try_no,
+       CASE WHEN ok1 THEN c1 WHEN ok2 THEN c2 ELSE c3 END AS candidate,
+       CASE WHEN ok1 OR ok2 OR ok3 THEN 'valid' ELSE 'rejected' END AS status
+FROM (SELECT *, strpos(c1, ';') > 0 AND length(c1) < 400 AS ok1, strpos(c2, ';') > 0 AND length(c2) >= 12 AS ok2,
+             strpos(c3, ';') > 0 AND length(c3) >= 12 AS ok3
+      FROM (SELECT record_id, {SINGLE_ANSWER} AS c1, array_to_string(string_split(note, ' ')[1:2], '; ') AS c2,
+                   array_to_string(string_split(note, ' ')[1:3], '; ') AS c3
+            FROM (SELECT record_id, input, {Q.clean('input')} AS note FROM records)))""", "records"))
+def q_generate_validated(spark, sf):
+    """F3 into G2: a list of fewer than 400 characters is asked for; after a
+    rejected answer, one of at least 12."""
+    recs = td.records(spark, sf).select("record_id", X.clean_text("input").alias("note"))
+    msgs = recs.select("record_id", F.array(C.message("user", F.col("note"))).alias("messages"))
+    listed = F.col("candidate").contains(";")
+    first = F.col("candidate").contains("; ") & (F.size("messages") == 1) & (F.length("candidate") < 400)
+    later = (F.size("messages") > 1) & (F.length("candidate") >= 12)
+    return G.generate_validated(spark, msgs, correcting_responder, listed & (first | later), AGAIN, tries=3)
+
+
 @query("generate_flow", with_views(
     f"SELECT 'flow' AS method, CAST(k AS INTEGER) AS step, record_id, "
     f"array_to_string(items[1:greatest(len(items) - (k - 1), 1)], '; ') AS candidate "
@@ -856,6 +906,37 @@ def q_completion_labels(spark, sf):
     return lf.select("split", "record_id", F.to_json("labels").alias("labels"))
 
 
+#: the response header, a marker of three tokens
+RESPONSE = HDR_START + "assistant" + HDR_END
+_ID_SQL = "len(x) * 65536 + unicode(x) % 65536"
+IDS_SQL = {
+    "id_text": f"SELECT split, record_id, CASE WHEN record_id % 7 = 0 THEN text || {Q.lit(RESPONSE)} || ' again' "
+               f"WHEN record_id % 7 = 1 THEN replace(text, {Q.lit(HDR_START + 'assistant')}, '') ELSE text END AS text FROM sft_text",
+    "id_lists": f"SELECT split, record_id, list_transform(regexp_extract_all(text, {Q.COUNT_PATTERN}), "
+                f"lambda x: {_ID_SQL})[1:512] AS ids FROM id_text",
+    "id_marker": f"SELECT list_transform(regexp_extract_all({Q.lit(RESPONSE)}, {Q.COUNT_PATTERN}), lambda x: {_ID_SQL}) AS m",
+    "id_end": "SELECT split, record_id, ids, coalesce(list_max(list_filter(range(1, len(ids) - 1), "
+              "lambda i: ids[i:i + 2] = m)) + 2, 0) AS hk FROM id_lists, id_marker",
+}
+
+
+@query("completion_labels_ids", _sft_sql(
+    "SELECT split, record_id, CAST(len(ids) AS INTEGER) AS n_ids, CAST(to_json(list_transform(range(0, len(ids)), lambda i: "
+    "CASE WHEN hk = 0 OR i < hk THEN -100 ELSE ids[i + 1] END)) AS VARCHAR) AS labels FROM id_end", False, "doc_records",
+    IDS_SQL))
+def q_completion_labels_ids(spark, sf):
+    """T4 over token ids from a batch tokenizer, the response header being a
+    marker of three ids: present, written twice, absent, or cut off."""
+    rid = F.pmod("record_id", F.lit(7))
+    t = S.format_training_text(_sft_docs(spark, sf))
+    text = (F.when(rid == 0, F.concat("text", F.lit(RESPONSE + " again")))
+            .when(rid == 1, F.replace("text", F.lit(HDR_START + "assistant"), F.lit(""))).otherwise(F.col("text")))
+    ids = S.truncate(S.token_ids_with(regex_ids)("text"), 512)
+    rows = t.withColumn("text", text).select("split", "record_id", ids.alias("ids"))
+    return rows.select("split", "record_id", F.size("ids").alias("n_ids"),
+                       F.to_json(S.completion_labels_of_ids("ids", regex_ids([RESPONSE])[0])).alias("labels"))
+
+
 @query("supervision_audit", _sft_sql(
     "SELECT split, count(*) AS n_rows, "
     "round(avg(len(list_filter(labels, lambda x: x <> -100))), 6) AS avg_supervised, "
@@ -914,6 +995,26 @@ def q_read_records(spark, sf):
     return SR.read_records(spark, path, id_key="id")
 
 
+@query("read_array_blocks", with_views(
+    f"SELECT record_id, CASE WHEN record_id % 13 = 4 THEN 'malformed' END AS reason, "
+    f"CASE WHEN record_id % 13 <> 4 THEN {Q.clean('input')} END AS input, "
+    f"CASE WHEN record_id % 13 <> 4 THEN output END AS output FROM records", "records"))
+def q_read_array_blocks(spark, sf):
+    """S1 from one array file, read in blocks of 64 KB; every thirteenth
+    element is broken and rejected alone."""
+    recs = td.records(spark, sf)
+    line = F.to_json(F.struct(F.col("record_id").alias("id"), "instruction", "input", "output"))
+    broken = F.pmod("record_id", F.lit(13)) == 4
+    obj = F.when(broken, F.concat(F.lit('{"bad": tru, '), F.substring(line, 2, 1 << 30))).otherwise(line)
+    path = _write_arrays(spark, recs.withColumn("obj", obj).coalesce(1), "records-one", chunk=1 << 40, chunk_bytes=1 << 50,
+                         obj_col="obj")
+    v = SR.validate_records(AB.parse_record_blocks(spark, path, id_key="id", block_bytes=1 << 16))
+    rid = F.coalesce("record_id", F.regexp_extract("raw", r'"id":(\d+)', 1).try_cast("bigint"))
+    note = F.when(F.col("reason").isNull(), X.clean_text("input"))
+    return v.select(rid.alias("record_id"), "reason", note.alias("input"),
+                    F.when(F.col("reason").isNull(), F.col("output")).alias("output"))
+
+
 def _with_edge_rows(recs: DataFrame) -> F.Column:
     """Objects with a missing ``output`` key (id % 7 = 3) or a JSON null
     ``input`` (id % 11 = 5), derived from real records by rule."""
@@ -1005,7 +1106,9 @@ def q_save_outputs(spark, sf):
     """S8; a fifth of the records have lost their gold text."""
     path = shared_path(spark, "outputs")
     resp = td.scored_answers(spark, sf).select(*KEYS, "candidate")
-    SR.save_outputs(resp, td.records(spark, sf).where("record_id % 5 <> 0"), path)
+    gold = td.records(spark, sf).where("record_id % 5 <> 0")
+    SR.save_outputs(resp, gold, path)
+    SR.save_outputs(resp.where("method = 'to_next' AND step = 1"), gold, path, replace=True)     # one run again
     back = spark.read.parquet(path)
     return back.select("method", F.col("step").cast("int").alias("step"), "record_id",
                        "candidate", "output")

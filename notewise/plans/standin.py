@@ -4,6 +4,10 @@ they are no model."""
 
 from __future__ import annotations
 
+import re
+
+from notewise.functions.tokens import COUNT_TOKEN_PATTERN
+
 
 def extractive_responder(chats: list, settings: dict) -> list:
     """First answer: the note's sentences as a semicolon list. Every later
@@ -20,6 +24,29 @@ def extractive_responder(chats: list, settings: dict) -> list:
     return out
 
 
+#: the request after a rejected answer
+AGAIN = "List the points, separated by semicolons."
+
+
+def correcting_responder(chats: list, settings: dict) -> list:
+    """As ``extractive_responder``; after the request ``AGAIN`` the note's first
+    words as a list, one word more each time."""
+    out = []
+    for chat in chats:
+        asked = sum(m["role"] == "user" and m["content"] == AGAIN for m in chat)
+        note = next((m["content"] for m in chat if m["role"] == "user"), "") or ""
+        out.append("; ".join(note.split(" ")[:asked + 1]) if asked else note.replace(". ", "; "))
+    return out
+
+
+def regex_ids(texts: list) -> list:
+    """Token ids of the default counter's tokens: a token's length and first
+    code point in one number. Stands in for a tokenizer in the registered
+    queries."""
+    pattern = re.compile(COUNT_TOKEN_PATTERN)
+    return [[len(t) * 65_536 + ord(t[0]) % 65_536 for t in pattern.findall(x)] for x in texts]
+
+
 class WorkClock:
     """A clock that a responder moves: ``sec_per_chat`` for each chat that it
     answers, so that timings can be checked to the digit."""
