@@ -10,6 +10,7 @@ whatever they are called, neither disturb it nor come back.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -76,6 +77,16 @@ def text_blocks(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Itera
         at = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Spark keeps a Python worker after
+    its task; what it holds then is missing to the executor's other work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # not glibc
+        pass
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values."""
     for b in batches:

@@ -356,7 +356,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def predict(batches):
         model = shared.value
         for b in batches:
-            for part, texts in C.text_blocks(b, text):
+            for part, texts in C.text_blocks(b, text, 1 << 18):
                 if model is None:
                     best, score, rejected = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts), bool)
                 else:
@@ -366,6 +366,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                     [*(part.column(n) for n in cols), *(pa.array(v, t) for v, (_, t) in
                                                         zip((names, score, rejected), added))],
                     names=cols + [n for n, _ in added])
+        C.give_back()
 
     schema = src.select(*cols).schema
     for n, t in (("lang_pred", "string"), ("score", "double"), ("rejected", "boolean")):

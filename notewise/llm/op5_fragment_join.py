@@ -89,11 +89,10 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        memo = C.Memo(xxhash.xxh64_intdigest)
+        memo = C.Memo(xxhash.xxh64_intdigest, 150_000)
         for b in batches:
-            at = 0
-            for part in C.by_bytes(b.column("text").to_pylist(), len, 8 << 20):
-                sets = [hash_set(t, words, memo.__getitem__) for t in part]
+            for part, texts in C.text_blocks(b, "text", 2 << 20):
+                sets = [hash_set(t, words, memo.__getitem__) for t in texts]
                 cuts = np.array([np.concatenate([[0], np.searchsorted(s, PIVOTS), [len(s)]]) for s in sets])
                 cols = []
                 for i in range(FRAGMENTS):
@@ -103,9 +102,10 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                         pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64())))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).slice(at, len(part)) for c in keep), pa.array([len(s) for s in sets], pa.int32()),
+                    [*(part.column(c) for c in keep), pa.array([len(s) for s in sets], pa.int32()),
                      pa.array(keys, pa.binary()), *cols], names=[*keep, "n", "key", *names])
-                at += len(part)
+        memo.clear()
+        C.give_back()
 
     schema = docs.select(*keep).schema.add("n", "integer").add("key", "binary")
     for name in names:

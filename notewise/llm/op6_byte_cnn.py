@@ -244,6 +244,7 @@ def classify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
             for part, texts in C.text_blocks(b, text):
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in cols), pa.array(net.score(texts), pa.float64())],
                                                  names=[*cols, "score"])
+        C.give_back()
 
     return src.mapInArrow(run, src.select(*cols).schema.add("score", "double"))
 

@@ -142,12 +142,14 @@ def feature_table(texts: DataFrame, feature: dict[bytes, int]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, part in C.text_blocks(batch, "_text", 4 << 20):
+            for _, part in C.text_blocks(batch, "_text", 1 << 20):
                 words, _, b, f = block_features(part, shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b.astype("<i4").tobytes()], pa.binary()), pa.array([f.astype("<u2").tobytes()], pa.binary()),
                      pa.array([sum(-(-len(w) // BLOCK) for w in words)], pa.int64())],
                     names=["blocks", "features", "passages"])
+        C.give_back()
+
     return C.cut_lineage(texts.mapInArrow(run, "blocks binary, features binary, passages bigint"), spark, "passage-features")
 
 
@@ -378,6 +380,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
                 hits = [sum(x, []) for x in zip(*found)] if found else [[] for _ in some]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in cols), pa.array(hits, kind)],
                                                  names=[*cols, "hits"])
+        C.give_back()
 
     src, text = C.with_text(docs, text_col, cols)
     return src.mapInArrow(run, src.select(*cols).schema.add("hits", ArrayType(HIT)))
