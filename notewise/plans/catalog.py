@@ -366,7 +366,7 @@ def _sft_records(spark, sf) -> DataFrame:
 
 def _sft_docs(spark, sf) -> DataFrame:
     """The same over documents, many of which exceed the token budget."""
-    return X.clean_scope(td.doc_records(spark, sf), ("instruction", "input", "output"))
+    return X.clean_scope(td.doc_records(spark, sf, spread=SPREAD), ("instruction", "input", "output"))
 
 
 @query("length_report", _sft_sql(

@@ -113,10 +113,10 @@ def docs(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFra
     return d.withColumn("split", split_of(F.col("doc_id")))
 
 
-def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_records(spark: SparkSession, sf_dir: str, spread: int | None = None) -> DataFrame:
     """Documents as fine-tuning records: the text is the note, its first line
-    the answer. Many are longer than the token budget."""
-    return docs(spark, sf_dir).select(
+    the answer. Many are longer than the token budget. ``spread`` as in ``docs``."""
+    return docs(spark, sf_dir, spread).select(
         F.col("doc_id").alias("record_id"), "split", F.lit(DEFAULT_INSTRUCTION).alias("instruction"),
         F.col("text").alias("input"), F.substring_index("text", "\n", 1).alias("output"))
 
