@@ -125,11 +125,12 @@ def _likely(a, b, percent: int):
 def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """(a, b, common): overlaps of pairs of rids, counted in each fragment
     and summed. ``fragments`` is (rid, fragment, hashes)."""
+    # both joins on (rid, fragment): the fragments are dealt out once for both
     of_a = fragments.select(F.col("rid").alias("a"), "fragment", F.col("hashes").alias("ha"))
-    of_b = fragments.select(F.col("rid").alias("b"), F.col("fragment").alias("fragment_b"), F.col("hashes").alias("hb"))
-    parts = (pairs.select("a", "b").join(of_a, "a")
-             .join(of_b, (pairs["b"] == of_b["b"]) & (F.col("fragment") == F.col("fragment_b")))
-             .select("a", pairs["b"], F.size(F.array_intersect("ha", "hb")).alias("common")))
+    of_b = fragments.select(F.col("rid").alias("b"), "fragment", F.col("hashes").alias("hb"))
+    parts = (pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+             .join(of_a, ["a", "fragment"]).join(of_b, ["b", "fragment"])
+             .select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("common")))
     return parts.groupBy("a", "b").agg(F.sum("common").cast("int").alias("common"))
 
 
