@@ -55,6 +55,8 @@ from . import common as C
 FRAGMENTS = 4
 #: where the global order is cut: equal ranges of signed 64-bit hashes
 PIVOTS = np.array([-(1 << 62), 0, 1 << 62], dtype=np.int64)
+#: members of a large group that one task compares with the group's own row
+SHARE = 1024
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _ADD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -138,6 +140,17 @@ def _linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
+def with_group(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join members (grp, rid, group_size, ...) with a table of one row for
+    each value of ``keys``, which begin with grp and its group_size. The members
+    of a group are salted into shares of about ``SHARE`` and its row is repeated
+    once for each share, so that no task gets a large group whole."""
+    shares = F.ceil(F.col("group_size") / SHARE).cast("int")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), shares).cast("int"))
+    repeated = one.withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1)))
+    return salted.join(repeated, [*keys, "salt"], how).drop("salt")
+
+
 def groups_of(crowded: DataFrame) -> DataFrame:
     """(grp, rid, n): members of large buckets (grp, e, rid, n) by group. A
     bucket goes to its member that is in the most large buckets, so that the
@@ -150,7 +163,7 @@ def groups_of(crowded: DataFrame) -> DataFrame:
 
 
 def cores(members: DataFrame, fragments: DataFrame, block: int = 64) -> DataFrame:
-    """(grp, fragment, core): in each fragment, the elements that more than
+    """(grp, group_size, fragment, core): in each fragment, the elements that more than
     half of a group hold. ``members`` is (grp, rid, group_size). Members are
     counted in blocks of about ``block``; an element that half of a block
     doesn't hold counts as absent there, so that what moves on is a row for
@@ -181,32 +194,32 @@ def cores(members: DataFrame, fragments: DataFrame, block: int = 64) -> DataFram
             .select("grp", "salt", "fragment", "group_size", "hashes").repartition("grp", "salt", "fragment"))
     counts = rows.mapInArrow(run, "grp bigint, fragment int, group_size bigint, e bigint, n bigint")
     return (counts.groupBy("grp", "fragment", "group_size", "e").agg(F.sum("n").alias("n"))
-            .where("2 * n > group_size").groupBy("grp", "fragment")
+            .where("2 * n > group_size").groupBy("grp", "group_size", "fragment")
             .agg(F.sort_array(F.collect_list("e")).alias("core")))
 
 
 def differences(members: DataFrame, fragments: DataFrame, percent: int, name: str) -> DataFrame:
-    """(grp, rid, n, slack, diff): of each member, its difference to the
-    group's core and its slack, in units of 1 / (2 * (100 + percent))
+    """(grp, group_size, rid, n, slack, diff): of each member, its difference to
+    the group's core and its slack, in units of 1 / (2 * (100 + percent))
     elements: two members share enough without their differences if their
     slacks add up to 0 or more, and lack that many shared elements if not."""
     spark = members.sparkSession
     core = C.cut_lineage(cores(members, fragments), spark, f"{name}-cores")
     size = core.groupBy("grp").agg(F.sum(F.size("core")).alias("core_size"))
+    core = core.join(size, "grp")
     none = F.array().cast("array<bigint>")
     q = 100 + percent
-    parts = (members.join(fragments, "rid").join(core, ["grp", "fragment"], "left")
+    parts = (with_group(members.join(fragments, "rid"), core, ["grp", "group_size", "fragment"], "left")
              .withColumn("core", F.coalesce("core", none))
-             .select("grp", "rid", "n", "fragment", F.size(F.array_intersect("hashes", "core")).alias("common"),
+             .select("grp", "group_size", "rid", "n", "core_size", F.size(F.array_intersect("hashes", "core")).alias("common"),
                      F.array_except("hashes", "core").alias("more"),
                      # what is lacking is told from what is there by its bits turned over
                      F.transform(F.array_except("core", "hashes"), lambda x: F.bitwise_not(x)).alias("less")))
     # as many entries as fragments
-    return (parts.groupBy("grp", "rid", "n").agg(
-        F.sum("common").alias("common"),
+    return (parts.groupBy("grp", "group_size", "rid", "n").agg(
+        F.sum("common").alias("common"), F.max("core_size").alias("core_size"),
         F.flatten(F.collect_list(F.concat("more", "less"))).alias("diff"))
-        .join(size, "grp", "left")
-        .select("grp", "rid", "n", "diff",
+        .select("grp", "group_size", "rid", "n", "diff",
                 (2 * q * F.col("common") - 2 * percent * F.col("n") - q * F.coalesce("core_size", F.lit(0)))
                 .cast("long").alias("slack")))
 
@@ -272,26 +285,27 @@ def links(sets: DataFrame, of: DataFrame, percent: int, small: int = 64, small_i
             break
         sizes = crowded.groupBy("grp").agg(F.count("*").alias("group_size"))
         near = C.cut_lineage(differences(crowded.join(sizes, "grp"), fragments, percent, "join"), spark, "join-near")
-        best = near.groupBy("grp").agg(F.max(F.struct("slack", "rid")).alias("best"))
-        near = near.join(best, "grp").withColumn("open", F.col("slack") + F.col("best.slack") < 0)
+        of_group = ["grp", "group_size"]
+        best = near.groupBy(of_group).agg(F.max(F.struct("slack", "rid")).alias("best"))
+        near = with_group(near, best, of_group).withColumn("open", F.col("slack") + F.col("best.slack") < 0)
         closed = near.where((~F.col("open")) & (F.col("rid") != F.col("best.rid")))
         found.append(closed.select(F.least("rid", "best.rid").alias("a"), F.greatest("rid", "best.rid").alias("b")))
         # y can share as many elements with x as they lack only if its
         # difference is that large; of those partners the nearest to the core
         # says what x lacks at least. Partners of closed members are open.
         unit = 2 * (100 + percent)
-        levels = (near.groupBy("grp", F.floor((F.size("diff") * unit + F.col("slack")) / unit).alias("level"), "open")
+        levels = (near.groupBy(*of_group, F.floor((F.size("diff") * unit + F.col("slack")) / unit).alias("level"), "open")
                   .agg(F.max("slack").alias("slack"))
-                  .groupBy("grp").agg(F.collect_list(F.struct("level", "open", "slack")).alias("levels")))
+                  .groupBy(of_group).agg(F.collect_list(F.struct("level", "open", "slack")).alias("levels")))
         partner = F.array_max(F.transform(
             F.filter("levels", lambda y: (y["level"] >= F.floor(-F.col("slack") / unit)) & (F.col("open") | y["open"])),
             lambda y: y["slack"]))
-        asked = (near.join(levels, "grp")
+        asked = (with_group(near, levels, of_group)
                  .withColumn("lacks", F.ceil(-(F.col("slack") + partner) / F.lit(unit)).cast("int"))
                  .where("size(diff) >= lacks"))
         # heads of the differences, in the order of hashes, as in step 2
-        spared = asked.groupBy("grp").agg(F.least(F.min("lacks"), F.lit(4)).alias("spared"))
-        asked = (asked.join(spared, "grp")
+        spared = asked.groupBy(of_group).agg(F.least(F.min("lacks"), F.lit(4)).alias("spared"))
+        asked = (with_group(asked, spared, of_group)
                  .select("grp", "rid", "n", "open", "slack", "lacks", "spared",
                          F.explode(F.slice(F.array_sort("diff"), 1, F.size("diff") - F.col("lacks") + F.col("spared")))
                          .alias("e")))

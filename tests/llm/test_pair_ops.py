@@ -76,6 +76,14 @@ def test_groups_equal_brute_force(spark, k, percent, options):
     assert sorted(map(str, got)) == sorted(map(str, brute_groups(rows, k, percent)))
 
 
+def test_groups_in_many_shares_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(join, "SHARE", 5)
+    rows = near_copies(31)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in join.linked_groups(C.id_and_bytes(df), 3, 90, small=4, small_in_group=8).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_groups(rows, 3, 90)))
+
+
 def test_join_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in QUERIES["op5_fragment_join"](spark, SF).collect()]
