@@ -13,7 +13,8 @@ each bin; the global cut is found in the same way by bins of finish time.
 Text is read once, to count words; the rest moves (id, source, size).
 
 Edge cases: null text has size 0; a null source is a source, the last;
-repeated rows queue each; documents of size 0 take 0; when all sizes are 0
+repeated rows queue each; rows of one id (or without one) queue by size, so
+that what is taken doesn't hang on how the table is split; documents of size 0 take 0; when all sizes are 0
 all targets are 0; other columns are ignored.
 """
 
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, rows_per_bin: int = 20_000, **shares) -> DataFrame:
     # the first 8 hex digits of the dice order a source: a bin is a range of them
     place = F.conv(F.substring("dice", 1, 8), 16, 10).cast("long")
     once = _with_sum_before(docs.withColumn("bin", F.floor(place * bins / F.lit(1 << 32))), ["source"],
-                            ["dice", "doc_id", "row"], "bin", "size", "before")
+                            ["dice", "doc_id", "size", "row"], "bin", "size", "before")
     queue = (once.join(goal_of, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "bin")
              .where("size > 0 AND target > 0")
              .withColumn("round", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, rows_per_bin: int = 20_000, **shares) -> DataFrame:
     budget = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     # a finish time is at most 2 * size / target: the bins reach beyond all of them
     queue = queue.withColumn("one", F.lit(1)).withColumn("slot", F.floor(F.col("finish") * bins))
-    ahead = _with_sum_before(queue, ["one"], ["finish", F.col("source").isNull(), "source", "dice", "doc_id", "row"],
+    ahead = _with_sum_before(queue, ["one"], ["finish", F.col("source").isNull(), "source", "dice", "doc_id", "size", "row"],
                              "slot", "size", "ahead")
     taken = (ahead.where(F.col("ahead") < F.lit(budget)).groupBy("row").agg(F.sum("size").alias("taken")))
     return (docs.join(taken, "row", "left")
