@@ -122,7 +122,15 @@ def _pick(value, path: str) -> str:
 
 def canonical(record: str | None, known: dict) -> list[tuple[str, str]]:
     """(role, text) turns of a JSON record; ``known`` keeps the layout of
-    each set of paths met."""
+    each set of paths met. A record that is no JSON, or nested deeper than the
+    JSON reader goes, is one turn of role ``unknown``."""
+    try:
+        return _canonical(record, known)
+    except RecursionError:
+        return [("unknown", record)]
+
+
+def _canonical(record: str | None, known: dict) -> list[tuple[str, str]]:
     try:
         value = json.loads(record) if record is not None else None
     except ValueError:
@@ -143,7 +151,18 @@ def canonical(record: str | None, known: dict) -> list[tuple[str, str]]:
         return [(role, text) for role, text in held if text or role != "system"]
     items = value[layout["each"]] if "each" in layout else [value]
     names = SPEAKERS if layout["role"] == "from" else {}
-    return [(names.get(r := _pick(x, layout["role"]), r), _pick(x, layout["text"])) for x in items]
+    return [(names.get(r := _pick(x, of["role"]), r), _pick(x, of["text"]))
+            for x, of in zip(items, _item_layouts(items, layout, found))]
+
+
+def _item_layouts(items: list, layout: dict, found: frozenset) -> list[dict]:
+    """The layout of each turn of a list: the record's own, unless the record
+    holds the paths of several, as lists of texts and of parts do when mixed;
+    then the one whose paths the turn itself holds."""
+    held = [x for x in LAYOUTS if "each" in x and x["each"] == layout.get("each") and set(x["paths"]) <= found]
+    if len(held) < 2:
+        return [layout] * len(items)
+    return [next((x for x in held if set(x["paths"]) <= paths(item, f"{layout['each']}[]")), layout) for item in items]
 
 
 def escape(text: str) -> str:

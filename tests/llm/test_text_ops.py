@@ -195,6 +195,17 @@ def test_oracles(spark, name):
     assert sorted(repr(tuple(r[c] for c in cols)) for r in QUERIES[name](spark, SF01).collect()) == want
 
 
+def test_deep_and_mixed_records():
+    for deep in ('{"a":' * 3000 + "1" + "}" * 3000, "[" * 100_000 + "]" * 100_000,
+                 '{"messages": [{"role": "user", "content": ' + "[" * 990 + "]" * 990 + "}]}"):
+        assert [r for r, _ in chat.canonical(deep, {})] in (["unknown"], ["user"])
+    mixed = {"messages": [{"role": "system", "content": "be kind"},
+                          {"role": "user", "content": [{"type": "text", "text": "one"}, {"type": "text", "text": "two"}]},
+                          {"role": "assistant", "content": "three"}, {"role": "user"}]}
+    assert chat.canonical(json.dumps(mixed), {}) == [
+        ("system", "be kind"), ("user", "one\ntwo"), ("assistant", "three"), ("user", "")]
+
+
 def test_chat_edge_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "no role"), (1, 1, "assistant", "tie"), (1, None, "assistant", "last"),
             (2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (None, 0, "user", "no id"),
@@ -271,6 +282,15 @@ def test_mix_takes_what_a_sorted_queue_takes(spark, rows_per_bin):
     assert all(r.taken <= 2 * r.size for r in got.values())
 
 
+def test_mix_of_repeated_ids_does_not_follow_the_split(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 1, 2]), rng.choice(["a", "b"]), rng.randrange(1, 8)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    one, other = (sorted(map(repr, (tuple(r) for r in queue.mix(df.repartition(n), rows_per_bin=20).collect())))
+                  for n in (2, 5))
+    assert one == other
+
+
 def test_mix_edge_rows(spark):
     rows = [(1, None, "a b"), (1, None, "a b"), (2, "s", None), (3, "s", ""), (None, "t", "x " * 5000), (5, "t", " \t")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns(
