@@ -1,5 +1,6 @@
-"""Summarise the physical plan of every registered query (shuffles, joins,
-Python stages, scan pruning) into docs/PLANS.md.
+"""Summarise the physical plan of every query of the catalog (shuffles, joins,
+Python stages, scan pruning) into docs/PLANS.md. The training-data queries are
+left out: they run jobs while they are planned, and read written tables.
 
     python tools/plan_summary.py [sf_dir]
 """
@@ -11,7 +12,7 @@ import sys
 
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
-import __spark_entry__ as entry  # noqa: E402
+from notewise.plans import catalog  # noqa: E402
 from notewise.session import local_session  # noqa: E402
 
 
@@ -21,7 +22,7 @@ def summarise(plan: str) -> dict:
         "shuffles": sum(1 for l in lines if re.search(r"[+-] Exchange (?!.*Broadcast)", l)),
         "broadcasts": sum(1 for l in lines if "BroadcastExchange" in l),
         "joins": sorted({m.group(1) for l in lines for m in [re.search(r"(\w+Join)\b", l)] if m}),
-        "python": sorted({m.group(1) for l in lines for m in [re.search(r"(ArrowEvalPython|MapInPandas|BatchEvalPython)", l)] if m}),
+        "python": sorted({m.group(1) for l in lines for m in [re.search(r"(ArrowEvalPython|MapInArrow|MapInPandas|BatchEvalPython)", l)] if m}),
         "windows": sum(1 for l in lines if re.search(r"[+-] Window \[", l)),
         "group_limit": any("WindowGroupLimit" in l for l in lines),
         "scans": [re.sub(r"#\d+L?", "", re.sub(r".*FileScan (\w+) \[([^\]]*)\].*", r"\1(\2)", l)).strip()
@@ -37,7 +38,7 @@ def main():
            "`shuffles` counts Exchange nodes, `broadcasts` BroadcastExchange nodes).", "",
            "| query | shuffles | broadcasts | joins | python stages | windows | scans (columns read) |",
            "| --- | --- | --- | --- | --- | --- | --- |"]
-    for name, q in entry.queries().items():
+    for name, q in catalog.QUERIES.items():
         df = q(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         s = summarise(plan)
