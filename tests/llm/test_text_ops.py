@@ -182,7 +182,7 @@ def test_fingerprint_ignores_order_and_positions():
 
 def duck(sf):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
