@@ -1,8 +1,9 @@
 """LM scoring by a hidden Markov language model.
 
-States emit word *classes*: each of the ``own`` most frequent training words
-is a class of its own, every other word falls into one of ``buckets`` hashed
-classes. Inside a hashed class a word has the add-one probability
+States emit word *classes*: each training word with a count above
+sqrt(N) / ``own_share`` is a class of its own (fewer than ``own_share`` x
+sqrt(N) words: they grow with the corpus), every other word falls into a hashed
+class. Inside a hashed class a word has the add-one probability
 ``(c + 1) / (N_b + V_b + 1)``, so the model gives every text, unseen words
 included, a proper probability:
 
@@ -10,11 +11,14 @@ included, a proper probability:
 
 1. Word counts of all training texts (per-task counters, then one sum per
    word). The vocabulary stays a distributed table: it grows with the corpus.
-2. Baum-Welch. Each round every task runs scaled forward-backward over its
-   training sequences (runs of at most ``run_words`` words, nothing left out)
-   and emits expected counts by class; Spark adds them up. What reaches the
-   driver is the model: classes x states numbers, whatever the corpus.
-   A bounded sample gives only the starting point.
+2. Baum-Welch, over whole texts, from seeded noise. The training texts are
+   written once as class ids, dealt by hash into ``parts``; a round runs scaled
+   forward-backward over one part, every task emits expected counts by class
+   and Spark adds them up. A round's model comes from the counts of the latest
+   half of the rounds, so after ``passes`` = 2 passes the final one rests on
+   each training text exactly once. What reaches the driver is the model:
+   classes x states numbers a round. A text longer than ``block_words`` is
+   taken in blocks, with the exact state vectors at their boundaries.
 3. Scoring: the scaled forward recursion over each whole text, exact. Words
    with a count above N / ``wide`` (fewer than ``wide`` of them, always) are
    broadcast; the others are joined to the vocabulary table.
@@ -33,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 
@@ -65,6 +70,7 @@ class Classes:
     def __init__(self, own: list[bytes], buckets: int):
         self.own = {w: i for i, w in enumerate(own)}
         self.n_own, self.buckets = len(own), buckets
+        self.dtype = np.dtype(np.uint16 if len(self) <= 1 << 16 else np.int32)
 
     def __len__(self):
         return self.n_own + self.buckets
@@ -119,12 +125,17 @@ def _forward(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     return back
 
 
-def _expected(model: Model, seqs: list[np.ndarray], acc: dict) -> None:
+def _expected(model: Model, seqs: list[np.ndarray], acc: dict, enter=None, leave=None) -> np.ndarray:
     """Add the expected start, transition and emission counts of the
-    sequences to ``acc`` (scaled forward-backward)."""
+    sequences to ``acc`` (scaled forward-backward). A sequence that goes on
+    from an earlier block has ``enter``, its first states' distribution before
+    the first emission; one that a later block continues has ``leave``, the
+    backward vector of its last step. Returns the scaled emissions times the
+    backward vectors of the first steps."""
     _, obs, begin, active = _layout(seqs)
     k = len(model.start)
-    start, trans = model.start.astype(np.float32), model.trans.astype(np.float32)
+    start = (model.start if enter is None else enter).astype(np.float32)
+    trans = model.trans.astype(np.float32)
     emit = model.emit.astype(np.float32).take(obs, axis=0)       # becomes emit / scale
     alpha = np.empty_like(emit)
     ones = np.ones(k, np.float32)
@@ -138,6 +149,8 @@ def _expected(model: Model, seqs: list[np.ndarray], acc: dict) -> None:
     back = trans.T.copy()
     xi = np.zeros((k, k))
     beta = np.ones((active[-1], k), np.float32)
+    if leave is not None:
+        beta *= leave.astype(np.float32)
     for t in range(len(active) - 1, 0, -1):
         at, m, before = begin[t], active[t], begin[t - 1]
         ahead = emit[at:at + m]
@@ -148,44 +161,87 @@ def _expected(model: Model, seqs: list[np.ndarray], acc: dict) -> None:
         np.matmul(ahead, back, out=beta[:m])
     alpha[:active[0]] *= beta
     acc["trans"] += xi * model.trans
-    acc["start"] += alpha[:active[0]].sum(0)
+    if enter is None:
+        acc["start"] += alpha[:active[0]].sum(0)
     for j in range(k):
         acc["emit"][:, j] += np.bincount(obs, weights=alpha[:, j], minlength=len(acc["emit"]))
+    return emit[:active[0]] * beta
+
+
+def _expected_in_blocks(model: Model, seq: np.ndarray, acc: dict, block_words: int) -> None:
+    """``_expected`` of one long sequence in memory for one block: a forward
+    sweep keeps the states at block ends, a backward sweep visits the blocks
+    with the exact vectors at both ends."""
+    blocks = [seq[i:i + block_words] for i in range(0, len(seq), block_words)]
+    ends, before = [], model.start
+    for block in blocks:
+        for o in block:
+            a = before * model.emit[o]
+            a /= a.sum()
+            before = a @ model.trans
+        ends.append(a)
+    leave = None
+    for i in range(len(blocks) - 1, -1, -1):
+        enter = ends[i - 1] @ model.trans if i else None
+        ahead = _expected(model, [blocks[i]], acc, enter, leave)[0]
+        if i:
+            acc["trans"] += np.outer(ends[i - 1], ahead) * model.trans
+            leave = model.trans @ ahead
 
 
 def _empty(classes: int, k: int) -> dict:
     return {"emit": np.zeros((classes, k)), "trans": np.zeros((k, k)), "start": np.zeros(k)}
 
 
-def _class_runs(texts, to_class, run_words: int):
-    for text in texts:
-        w = text.lower().split()
-        w.append(END)
-        ids = np.fromiter(map(to_class.__getitem__, w), dtype=np.int32, count=len(w))
-        for i in range(0, len(ids), run_words):
-            yield ids[i:i + run_words]
+def _expected_of_all(model: Model, seqs, acc: dict, block_words: int, ahead_words: int) -> None:
+    """``_expected`` of a stream of sequences, whole: those of like length
+    step together."""
+    for some in C.by_bytes(seqs, len, ahead_words):
+        some.sort(key=len)
+        for group in C.by_bytes(some, len, block_words):
+            if len(group[0]) > block_words:
+                _expected_in_blocks(model, group[0], acc, block_words)
+            else:
+                _expected(model, group, acc)
+
+
+def class_ids(train: DataFrame, classes_b, parts: int) -> DataFrame:
+    """(part, ids): every training text as class ids, dealt into parts by hash."""
+    schema = pa.schema([("part", pa.int32()), ("ids", pa.binary())])
+
+    def encode(batches):
+        classes = classes_b.value
+        to_class = classes.memo()
+        for rows in C.by_bytes(C.rows_of(batches, "part", "text"), lambda r: len(r[1]), 4 << 20):
+            out = []
+            for _, text in rows:
+                w = text.lower().split()
+                w.append(END)
+                out.append(np.fromiter(map(to_class.__getitem__, w), dtype=classes.dtype, count=len(w)).tobytes())
+            yield C.record(schema, [p for p, _ in rows], out)
+        C.give_back()
 
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    return train.select(part.alias("part"), "text").mapInArrow(encode, "part int, ids binary")
 
-def baum_welch_round(docs: DataFrame, model_b, classes_b, k: int, run_words: int,
-                     batch_words: int = 120_000) -> dict:
+
+def baum_welch_round(encoded: DataFrame, model_b, classes_b, k: int, block_words: int, ahead_words: int) -> dict:
     """One round: expected counts of all tasks, added up by Spark."""
     names = [f"s{j}" for j in range(k)]
     schema = pa.schema([("row", pa.int32())] + [(n, pa.float64()) for n in names])
 
     def counts(batches):
         model, classes = model_b.value, classes_b.value
-        to_class, acc, some = classes.memo(), _empty(len(classes), k), False
-        runs = _class_runs((t for (t,) in C.rows_of(batches, "text")), to_class, run_words)
-        for part in C.by_bytes(runs, len, batch_words):
-            _expected(model, part, acc)
-            some = True
-        if some:
-            # rows 0..: classes, then the transition rows, then the start
-            every = np.concatenate([acc["emit"], acc["trans"], acc["start"][None]])
-            keep = np.flatnonzero(every.sum(1))
-            yield C.record(schema, keep.astype(np.int32), *every[keep].T)
-
-    total = (docs.select("text")
+        acc = _empty(len(classes), k)
+        seqs = (np.frombuffer(ids, classes.dtype) for (ids,) in C.rows_of(batches, "ids"))
+        _expected_of_all(model, seqs, acc, block_words, ahead_words)
+        # rows 0..: classes, then the transition rows, then the start
+        every = np.concatenate([acc["emit"], acc["trans"], acc["start"][None]])
+        keep = np.flatnonzero(every.sum(1))
+        yield C.record(schema, keep.astype(np.int32), *every[keep].T)
+        C.give_back()
+
+    total = (encoded.select("ids")
              .mapInArrow(counts, "row int, " + ", ".join(f"{n} double" for n in names))
              .groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toPandas())
     m = len(classes_b.value)
@@ -194,31 +250,42 @@ def baum_welch_round(docs: DataFrame, model_b, classes_b, k: int, run_words: int
     return {"emit": every[:m], "trans": every[m:m + k], "start": every[m + k]}
 
 
-def start_model(texts: list[bytes], classes: Classes, unigram, k: int, run_words: int,
-                rounds: int, seed: int) -> Model:
-    """Starting point: Baum-Welch on a bounded sample from seeded noise."""
+def start_model(classes: Classes, unigram, k: int, seed: int) -> Model:
+    """Starting point: the corpus's class counts under seeded noise."""
     rng = np.random.default_rng(seed)
     emit = unigram[:, None] * rng.uniform(0.5, 1.5, (len(classes), k))
     trans = np.full((k, k), 0.05 / max(1, k - 1))
     np.fill_diagonal(trans, 0.95)
-    model = Model.from_counts(np.ones(k), trans * 1000, emit, unigram)
-    runs = list(_class_runs(texts, classes.memo(), run_words))
-    for _ in range(rounds if runs else 0):
-        acc = _empty(len(classes), k)
-        _expected(model, runs, acc)
-        model = Model.from_counts(acc["start"], acc["trans"], acc["emit"], unigram)
+    return Model.from_counts(np.ones(k), trans * 1000, emit, unigram)
+
+
+def train_model(train: DataFrame, classes_b, unigram, k: int, parts: int, passes: int, block_words: int,
+                ahead_words: int, seed: int) -> Model:
+    """Baum-Welch rounds over the parts in turn, ``passes`` times; a round's
+    model comes from the latest half of the rounds' counts."""
+    spark = train.sparkSession
+    path = C.shared_path(spark, "lm-classes")
+    class_ids(train, classes_b, parts).write.partitionBy("part").parquet(path)
+    encoded = spark.read.schema("ids binary, part int").parquet(path)
+    model, latest = start_model(classes_b.value, unigram, k, seed), []
+    for r in range(passes * parts):
+        model_b = spark.sparkContext.broadcast(model)
+        latest.append(baum_welch_round(encoded.where(F.col("part") == r % parts), model_b, classes_b, k,
+                                       block_words, ahead_words))
+        model_b.unpersist()
+        latest = latest[-max(1, min(parts, len(latest) // 2)):]
+        model = Model.from_counts(*(sum(c[n] for c in latest) for n in ("start", "trans", "emit")), unigram)
     return model
 
 
-def score(docs: DataFrame, train: DataFrame, states: int = 8, own: int = 4096, buckets: int = 1024,
-          rounds: int = 2, run_words: int = 256, wide: int = 1 << 20, start_docs: int = 800,
-          start_words: int = 1000, start_rounds: int = 15, seed: int = 7) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, states: int = 8, own_share: int = 32, buckets: int = 1024,
+          parts: int = 8, passes: int = 2, block_words: int = 1 << 20, ahead_words: int = 4 << 20,
+          wide: int = 1 << 20, seed: int = 7) -> DataFrame:
     """Score ``docs`` (doc_id, text bytes) by a model learnt from ``train``.
 
     (doc_id, n_tokens, n_known, train_tokens, base_score, score), a row per
-    row of ``docs``; scores are log10 probabilities. ``start_docs`` texts of
-    at most ``start_words`` words bound the sample that Baum-Welch starts
-    from; the rounds after it run over all training texts.
+    row of ``docs``; scores are log10 probabilities. There are ``buckets``
+    hashed classes, or a quarter of the own classes if that is more.
     """
     spark = docs.sparkSession
     C.ship_package(spark)
@@ -228,7 +295,9 @@ def score(docs: DataFrame, train: DataFrame, states: int = 8, own: int = 4096, b
     # fewer than `wide` words can have more than n_all / wide tokens each
     top = vocab.where(F.col("n") * wide > n_all).toArrow()
     freq = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
-    own_words = [w for w, _ in sorted(freq.items(), key=lambda x: (-x[1], x[0]))[:own]]
+    least = n_all ** 0.5 / own_share
+    own_words = sorted((w for w, n in freq.items() if n > least), key=lambda w: (-freq[w], w))
+    buckets = max(buckets, len(own_words) // 4)
     classes = Classes(own_words, buckets)
     own_table = spark.createDataFrame([(bytearray(w),) for w in own_words], "word binary")
     of_bucket = {r.b: (r.n, r.v) for r in
@@ -239,22 +308,16 @@ def score(docs: DataFrame, train: DataFrame, states: int = 8, own: int = 4096, b
     bucket_v = np.array([of_bucket.get(b, (0, 0))[1] for b in range(buckets)], float)
     unigram = np.concatenate([[freq[w] for w in own_words], bucket_n]) + 1.0
 
-    n_train = freq.get(END, 0)
-    one_in = max(1, n_train // start_docs)
-    sample = [bytes(r.text) for r in train.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
-              .limit(start_docs).select("text").toLocalIterator()]
-    model = start_model([b" ".join(t.split(None, start_words)[:start_words]) for t in sample],
-                        classes, unigram, states, run_words, start_rounds, seed)
     sc = spark.sparkContext
     classes_b = sc.broadcast(classes)
-    for _ in range(rounds):
-        got = baum_welch_round(train, sc.broadcast(model), classes_b, states, run_words)
-        model = Model.from_counts(got["start"], got["trans"], got["emit"], unigram)
-
+    model = train_model(train, classes_b, unigram, states, parts, passes, block_words, ahead_words, seed)
     model_b = sc.broadcast(model)
     freq_b = sc.broadcast(freq)
     bucket_log = np.log10(bucket_n + bucket_v + 1)
     base_log = float(np.log10(n_all + n_kinds + 1))
+    id_type = docs.schema["doc_id"].dataType
+    id_arrow = to_arrow_type(id_type)
+
     def scan(batches):
         model, classes, freq = model_b.value, classes_b.value, freq_b.value
         to_class, n_own = classes.memo(), classes.n_own
@@ -284,15 +347,14 @@ def score(docs: DataFrame, train: DataFrame, states: int = 8, own: int = 4096, b
             doc_ids, n_tokens, known, base, inside = zip(*rows)
             words = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_n, pa.int32())], ["word", "n"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()),
+                [pa.array(doc_ids, id_arrow), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()),
                  pa.array(base, pa.float64()), pa.array(np.array(inside) + _forward(model, seqs) / LOG10),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)],
                 names=["doc_id", "n_tokens", "n_known", "base", "hmm", "rare"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     scanned = C.cut_lineage(
-        docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(
-            scan, "doc_id bigint, n_tokens bigint, n_known bigint, base double, hmm double, "
+        docs.select("doc_id", "text").mapInArrow(
+            scan, f"doc_id {id_type.simpleString()}, n_tokens bigint, n_known bigint, base double, hmm double, "
                   "rare array<struct<word:binary,n:int>>")
         .withColumn("row", F.monotonically_increasing_id()), spark, "lm-scan")
     seen = (scanned.select("row", F.inline("rare"))
@@ -301,7 +363,7 @@ def score(docs: DataFrame, train: DataFrame, states: int = 8, own: int = 4096, b
                                 F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more")))
     more = F.coalesce("more", F.lit(0.0))
     return (scanned.drop("rare").join(seen, "row", "left")
-            .select(F.col("doc_id").cast(id_type), "n_tokens",
+            .select("doc_id", "n_tokens",
                     (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
                     F.lit(int(n_all)).cast("bigint").alias("train_tokens"),
                     (F.col("base") + more).alias("base_score"), (F.col("hmm") + more).alias("score")))

@@ -63,7 +63,7 @@ def test_model_beats_the_base_on_held_out_text(spark):
 
 def test_rare_words_joined_and_broadcast_agree(spark):
     docs = C.id_and_bytes(spark.read.parquet(f"{SF}/documents.parquet"))
-    a, b = ({r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs, docs, wide=w, rounds=1).collect()}
+    a, b = ({r.doc_id: (r.n_known, round(r.base_score, 6)) for r in lm.score(docs, docs, wide=w, passes=1, parts=2).collect()}
             for w in (1 << 20, 50))
     assert a == b
 
@@ -92,15 +92,35 @@ def test_forward_is_the_sum_over_all_paths_and_counts_match(spark):
     assert math.isclose(acc["trans"].sum(), sum(len(s) - 1 for s in seqs), rel_tol=1e-4)
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 50, 1000])
+def test_texts_in_blocks_give_the_counts_of_whole_texts(block):
+    rng = np.random.default_rng(block)
+    k, m = 4, 9
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    model = lm.Model(norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, m))).T)
+    seqs = [rng.integers(0, m, size=n) for n in (1, 2, 40, 3, 129, 7, 50, 1)]
+    whole, cut = lm._empty(m, k), lm._empty(m, k)
+    lm._expected(model, seqs, whole)
+    lm._expected_of_all(model, iter(seqs), cut, block, 60)
+    for name in whole:
+        assert np.allclose(whole[name], cut[name], rtol=1e-4, atol=1e-5)
+
+
+def test_lm_takes_any_id_type(spark):
+    docs = C.id_and_bytes(frame(spark).select(F.concat(F.lit("id-"), "doc_id").alias("doc_id"), "text"))
+    out = lm.score(docs, docs, passes=1, parts=2).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted("None" if i is None else f"id-{i}" for i, _ in ROWS)
+
+
 def test_lm_edge_rows(spark):
     docs = C.id_and_bytes(frame(spark))
-    out = lm.score(docs, docs, rounds=1).collect()
+    out = lm.score(docs, docs, passes=1, parts=2).collect()
     assert len(out) == len(ROWS)
     assert sorted(r.n_tokens for r in out if r.doc_id in (2, 3, 4)) == [1, 1, 1]
     assert len({(r.base_score, round(r.score, 6)) for r in out if r.doc_id == 5}) == 1
     assert next(r for r in out if r.doc_id == 7).n_tokens == 4      # three words and the end
-    assert lm.score(docs.limit(0), docs, rounds=1).count() == 0
-    empty = lm.score(docs, docs.limit(0), rounds=1).collect()
+    assert lm.score(docs.limit(0), docs, passes=1, parts=2).count() == 0
+    empty = lm.score(docs, docs.limit(0), passes=1, parts=2).collect()
     assert len(empty) == len(ROWS) and all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in empty)
 
 
