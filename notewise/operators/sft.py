@@ -9,13 +9,15 @@ Arrow UDF through ``token_count_with``.
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from notewise.functions.chat import messages_generation, messages_training, render_llama3
 from notewise.functions.tokens import budget_tokens, count_tokens, let
@@ -39,28 +41,43 @@ def token_count(text="text", extra_bos: bool = True) -> Column:
     return (n + 1 if extra_bos else n).cast("int")
 
 
+def _over_blocks(values: Callable[[list], list], kind: pa.DataType, block_bytes: int = 1 << 20):
+    """Body of an Arrow UDF over texts: ``values`` maps the texts of a block of
+    about ``block_bytes`` (one text may exceed that) to as many values. Only
+    one block's texts and values are Python objects at a time."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(texts):
+                done = int(ends[at - 1]) if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, done + block_bytes, side="right")))
+                out = values(texts.slice(at, end - at).to_pylist())
+                if len(out) != end - at:
+                    raise ValueError(f"the tokenizer returned {len(out)} values for {end - at} texts")
+                yield pa.array(out, kind)
+                at = end
+    return run
+
+
 def token_count_with(tokenize: Callable[[list[str]], list[int]]):
-    """T2 with a user tokenizer: an Arrow UDF over batches of texts.
+    """T2 with a user tokenizer: an Arrow UDF over blocks of texts.
     ``tokenize`` maps a list of texts to their token counts."""
-    @pandas_udf(T.IntegerType())
-    def _count(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(tokenize(texts.tolist())), dtype="int32")
-    return _count
+    return arrow_udf(_over_blocks(lambda texts: [int(n) for n in tokenize(texts)], pa.int32()), T.IntegerType())
 
 
 def token_ids_with(tokenize: Callable[[list[str]], list[list[int]]]):
-    """T2/T4 with a user tokenizer: an Arrow UDF over batches of texts that
+    """T2/T4 with a user tokenizer: an Arrow UDF over blocks of texts that
     returns each text's token ids. ``tokenize`` maps a list of texts to lists
     of ids; a NULL text has no ids."""
-    @pandas_udf(T.ArrayType(T.IntegerType()))
-    def _ids(texts: pd.Series) -> pd.Series:
-        there = texts.notna()
-        found = iter(tokenize(texts[there].tolist()))
-        out = [[int(i) for i in next(found)] if ok else None for ok in there]
-        if next(found, None) is not None:
-            raise ValueError("the tokenizer returned more lists than texts")
-        return pd.Series(out, dtype=object)
-    return _ids
+    def ids(texts: list) -> list:
+        there = [t for t in texts if t is not None]
+        found = list(tokenize(there)) if there else []
+        if len(found) != len(there):
+            raise ValueError(f"the tokenizer returned {len(found)} lists for {len(there)} texts")
+        found = iter(found)
+        return [None if t is None else [int(i) for i in next(found)] for t in texts]
+    return arrow_udf(_over_blocks(ids, pa.list_(pa.int32())), T.ArrayType(T.IntegerType()))
 
 
 def within_budget(df: DataFrame, budget: int = TOKEN_BUDGET, col: str = "token_count") -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from notewise.functions.tokens import COUNT_TOKEN_PATTERN
@@ -86,3 +87,31 @@ def test_null_flags_move_no_text(spark):
             assert exchanges and "text#" not in above_scan.split("isnull(text")[0].replace("text_null#", "")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_tokenizer_gets_blocks_of_bounded_bytes(spark):
+    def small_blocks(texts):
+        if sum(len(t or "") for t in texts) > 2 << 20:
+            raise ValueError("too much text at once")
+        return texts
+
+    def lengths(texts):
+        return [len(t or "") for t in small_blocks(texts)]
+
+    def ids(texts):
+        return [[len(t), ord(t[0])] for t in small_blocks(texts)]
+
+    rows = [(i, None if i % 5 == 0 else chr(97 + i % 26) * (300_000 + i)) for i in range(23)] + [(23, "é" * 800_000)]
+    df = spark.createDataFrame(rows, "k long, text string").coalesce(1)
+    got = df.select("k", S.token_count_with(lengths)("text").alias("n")).collect()
+    assert {r.k: r.n for r in got} == {k: len(t or "") for k, t in rows}
+    got = df.select("k", S.token_ids_with(ids)("text").alias("ids")).collect()
+    assert {r.k: r.ids for r in got} == {k: None if t is None else [len(t), ord(t[0])] for k, t in rows}
+
+
+def test_a_tokenizer_that_loses_a_text_is_an_error(spark):
+    df = spark.createDataFrame([("a b",), (None,), ("c",)], "text string").coalesce(1)
+    for udf in (S.token_count_with(lambda texts: [1] * (len(texts) - 1)), S.token_ids_with(lambda texts: [[1]]),
+                S.token_ids_with(lambda texts: [[1]] * 3)):
+        with pytest.raises(Exception, match="the tokenizer returned"):
+            df.select(udf("text").alias("x")).collect()
