@@ -10,6 +10,7 @@ whatever they are called, neither disturb it nor come back.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 from collections.abc import Iterable, Iterator
 
@@ -77,6 +78,20 @@ def text_blocks(batch: pa.RecordBatch, name: str, limit: int = 1 << 20) -> Itera
         at = end
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, limit: str = "4m") -> Iterator[None]:
+    """Inside, Spark hands Python tasks Arrow batches of about ``limit``
+    instead of up to 64 MB. Both sides hold a batch whole, besides what the
+    executor still has from earlier stages. For jobs that run inside only."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Return freed memory to the system. Spark keeps a Python worker after
     its task; what it holds then is missing to the executor's other work."""

@@ -93,7 +93,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         memo = C.Memo(xxhash.xxh64_intdigest, 150_000)
         for b in batches:
-            for part, texts in C.text_blocks(b, "text", 2 << 20):
+            for part, texts in C.text_blocks(b, "text", 1 << 20):
                 sets = [hash_set(t, words, memo.__getitem__) for t in texts]
                 cuts = np.array([np.concatenate([[0], np.searchsorted(s, PIVOTS), [len(s)]]) for s in sets])
                 cols = []
@@ -348,7 +348,8 @@ def groups(docs: DataFrame, words: int, percent: int, **options) -> tuple[DataFr
     """(rows, sets): the rows of ``docs`` (doc_id, text bytes, others) with
     the key of their set, and of each key its component c."""
     spark = docs.sparkSession
-    rows = C.cut_lineage(shingle_sets(docs, words).withColumn("rid", F.monotonically_increasing_id()), spark, "join-sets")
+    with C.small_batches(spark):
+        rows = C.cut_lineage(shingle_sets(docs, words).withColumn("rid", F.monotonically_increasing_id()), spark, "join-sets")
     same = C.cut_lineage(rows.where("key IS NOT NULL").groupBy("key")
                          .agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc")), spark, "join-same")
     names = [f"f{i}" for i in range(FRAGMENTS)]

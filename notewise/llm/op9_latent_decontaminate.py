@@ -45,6 +45,9 @@ from . import common as C
 BLOCK = 32
 FEATURES = 1 << 15
 HELD = 0.7
+#: text that a task compares with the passages at once: each of its pairs of
+#: block and feature takes a row of a space's basis
+SCAN_BYTES = 1 << 18
 _FOLD = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 HIT = (StructType().add("item_id", LongType()).add("cosine", DoubleType()).add("lcs_share", DoubleType())
@@ -150,12 +153,16 @@ def feature_table(texts: DataFrame, feature: dict[bytes, int]) -> DataFrame:
                     names=["blocks", "features", "passages"])
         C.give_back()
 
-    return C.cut_lineage(texts.mapInArrow(run, "blocks binary, features binary, passages bigint"), spark, "passage-features")
+    with C.small_batches(spark):
+        return C.cut_lineage(texts.mapInArrow(run, "blocks binary, features binary, passages bigint"), spark, "passage-features")
 
 
 def _runs(batches):
-    for blocks, features, passages in C.rows_of(batches, "blocks", "features", "passages"):
-        yield np.frombuffer(blocks, "<i4").astype(np.int64), np.frombuffer(features, "<u2").astype(np.int64), passages
+    """The runs of a feature table one by one, read where they lie in their batch."""
+    for batch in batches:
+        for blocks, features, passages in zip(*(batch.column(n) for n in ("blocks", "features", "passages"))):
+            yield (np.frombuffer(blocks.as_buffer(), "<i4").astype(np.int64),
+                   np.frombuffer(features.as_buffer(), "<u2").astype(np.int64), passages.as_py())
 
 
 def document_frequency(table: DataFrame) -> tuple[np.ndarray, int]:
@@ -169,16 +176,31 @@ def document_frequency(table: DataFrame) -> tuple[np.ndarray, int]:
             df[FEATURES] += passages
         at = np.flatnonzero(df)
         yield C.record(schema, at.astype(np.int32), df[at])
+        C.give_back()
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for r in table.mapInArrow(run, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    with C.small_batches(table.sparkSession):
+        rows = table.mapInArrow(run, "f int, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    for r in rows:
         out[r.f] = r.n
     return out[:FEATURES], int(out[FEATURES])
 
 
-def sketch(table: DataFrame, weight: np.ndarray, rank: int, seed: int):
+def passage_cuts(b: np.ndarray, limit: int) -> list[int]:
+    """Where to cut pairs in the order of their blocks into pieces of about
+    ``limit``, from 0 to the end; no block is cut."""
+    cuts = [0]
+    while cuts[-1] < len(b):
+        last = b[min(cuts[-1] + limit, len(b)) - 1]
+        cuts.append(int(np.searchsorted(b, last, side="right")))
+    return cuts
+
+
+def sketch(table: DataFrame, weight: np.ndarray, rank: int, seed: int, pairs_at_once: int = 1 << 13):
     """(G @ R, R) with G the Gram matrix of all normalised TF-IDF passages
-    and R a random (features x rank) matrix that every task draws alike."""
+    and R a random (features x rank) matrix that every task draws alike. A
+    task multiplies about ``pairs_at_once`` pairs of passage and feature at a
+    time."""
     shared = table.sparkSession.sparkContext.broadcast(weight)
     names = [f"c{i}" for i in range(rank)]
     schema = pa.schema([("f", pa.int32())] + [(n, pa.float64()) for n in names])
@@ -186,27 +208,33 @@ def sketch(table: DataFrame, weight: np.ndarray, rank: int, seed: int):
     def random():
         return np.random.default_rng(seed).normal(size=(FEATURES, rank)).astype(np.float32)
 
+    def add(total, omega, weight, b, f):
+        starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        sizes = np.diff(np.append(starts, len(b)))
+        v = weight[f]
+        v = (v / np.repeat(np.sqrt(np.add.reduceat(v * v, starts)), sizes)).astype(np.float32)[:, None]
+        y = np.repeat(np.add.reduceat(omega[f] * v, starts, axis=0), sizes, axis=0) * v
+        order = np.argsort(f, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], np.diff(f[order]) > 0]))
+        total[f[order][at]] += np.add.reduceat(y[order], at, axis=0)
+
     def run(batches):
         weight = shared.value
         omega, total = random(), np.zeros((FEATURES, rank))
         for b, f, _ in _runs(batches):
             telling = weight[f] > 0
             b, f = b[telling], f[telling]
-            if not len(f):
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            sizes = np.diff(np.append(starts, len(b)))
-            v = weight[f]
-            v = (v / np.repeat(np.sqrt(np.add.reduceat(v * v, starts)), sizes)).astype(np.float32)[:, None]
-            y = np.repeat(np.add.reduceat(omega[f] * v, starts, axis=0), sizes, axis=0) * v
-            order = np.argsort(f, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], np.diff(f[order]) > 0]))
-            total[f[order][at]] += np.add.reduceat(y[order], at, axis=0)
+            cuts = passage_cuts(b, pairs_at_once)
+            for lo, hi in zip(cuts, cuts[1:]):
+                add(total, omega, weight, b[lo:hi], f[lo:hi])
         at = np.flatnonzero(total.any(1))
         yield C.record(schema, at.astype(np.int32), *total[at].T)
+        del omega, total
+        C.give_back()
 
-    rows = (table.mapInArrow(run, "f int, " + ", ".join(f"{n} double" for n in names))
-            .groupBy("f").agg(*[F.sum(n).alias(n) for n in names]).toPandas())
+    with C.small_batches(table.sparkSession):
+        rows = (table.mapInArrow(run, "f int, " + ", ".join(f"{n} double" for n in names))
+                .groupBy("f").agg(*[F.sum(n).alias(n) for n in names]).toPandas())
     out = np.zeros((FEATURES, rank))
     out[rows["f"].to_numpy(int)] = rows[names].to_numpy()
     return out, random().astype(float)
@@ -374,7 +402,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     def run(batches):
         for b in batches:
-            for part, some in C.text_blocks(b, text):
+            for part, some in C.text_blocks(b, text, SCAN_BYTES):
                 found = [find_hits(some, items, spaces, feature, cosine, sure, maybe)
                          for items, feature, spaces in shared.value]
                 hits = [sum(x, []) for x in zip(*found)] if found else [[] for _ in some]

@@ -2,6 +2,8 @@
 leaks, stages on small tables."""
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +256,40 @@ def test_stages_on_odd_rows(spark):
             assert out.count() <= n
             if name != "source_mixture":
                 assert out.columns == docs.columns
+
+
+def test_jobs_inside_get_small_arrow_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, cut = spark.conf.get(name), C.cut_lineage
+
+    def heard(df, session, what, **options):
+        seen.append((what, spark.conf.get(name)))
+        return cut(df, session, what, **options)
+
+    monkeypatch.setattr(C, "cut_lineage", heard)
+    docs = spark.createDataFrame([(i, f"w{i} " * 2000) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    leaks.feature_table(docs.select(F.col("text").alias("_text")), {b"w1": 1})
+    join.groups(C.id_and_bytes(docs), words=3, percent=90)
+    assert {"passage-features": "4m", "join-sets": "4m"}.items() <= dict(seen).items()
+    assert spark.conf.get(name) == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    with C.small_batches(spark):
+        got = [r.n for r in docs.mapInArrow(sizes, "n bigint").collect()]
+    assert len(got) > 1 and max(got) < 5 << 20 and sum(got) > 8 << 20
+
+
+def test_sketch_is_the_same_in_pieces(spark):
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(400)) for i in range(1, 30)]
+    df = spark.createDataFrame([(t,) for t in texts], "_text string").coalesce(1)
+    table = leaks.feature_table(df, {b"w%d" % i: i for i in range(97)})
+    weight = np.where(np.arange(leaks.FEATURES) < 90, 1.0 + np.arange(leaks.FEATURES) % 7, 0.0)
+    whole, omega = leaks.sketch(table, weight, 4, 3, pairs_at_once=1 << 30)
+    for n in (1, 100):
+        some, same = leaks.sketch(table, weight, 4, 3, pairs_at_once=n)
+        assert np.array_equal(omega, same) and np.allclose(some, whole, rtol=1e-5, atol=1e-4)
+    assert leaks.passage_cuts(np.array([0, 0, 1, 3, 3, 3]), 1) == [0, 2, 3, 6]
+    assert leaks.passage_cuts(np.zeros(0, np.int64), 1) == [0]
