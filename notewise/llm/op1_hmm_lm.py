@@ -30,6 +30,7 @@ counts are 0 and the model is uniform; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -75,9 +76,46 @@ class Classes:
     def __len__(self):
         return self.n_own + self.buckets
 
+    def class_of(self, word: bytes) -> int:
+        own = self.own.get(word)
+        return self.n_own + zlib.crc32(word) % self.buckets if own is None else own
+
     def memo(self) -> C.Memo:
-        return C.Memo(lambda w: self.own.get(w, -1) if w in self.own
-                      else self.n_own + zlib.crc32(w) % self.buckets)
+        return C.Memo(self.class_of)
+
+
+class KnownWords:
+    """Class, and log10(count + 1) or -1 if it has no count here, of each
+    word of a list. Words are numbered as they come, and all forgotten when
+    there are ``bound`` of them; rows of a table hold what belongs to each."""
+
+    def __init__(self, classes: Classes, freq: dict[bytes, int], bound: int = 400_000):
+        self.classes, self.freq, self.bound = classes, freq, bound
+        self.to_class = classes.class_of
+        self.ids, self.logs = np.zeros(bound, np.int32), np.zeros(bound)
+        self.number = self._Numbers(self)
+
+    class _Numbers(dict):
+        def __init__(self, of):
+            super().__init__()
+            self.of = of
+
+        def __missing__(self, word):
+            at = len(self)
+            if at == len(self.of.ids):                      # more distinct words than planned in one list
+                self.of.ids = np.append(self.of.ids, np.zeros_like(self.of.ids))
+                self.of.logs = np.append(self.of.logs, np.zeros_like(self.of.logs))
+            n = self.of.freq.get(word)
+            self.of.ids[at] = self.of.to_class(word)
+            self.of.logs[at] = -1.0 if n is None else np.log10(n + 1)
+            self[word] = at
+            return at
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.number) >= self.bound:
+            self.number.clear()
+        at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.ids[at], self.logs[at]
 
 
 class Model:
@@ -105,7 +143,10 @@ def _layout(seqs: list[np.ndarray]):
     flat = np.concatenate([seqs[i] for i in order])
     step = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
     active = len(lens) - np.searchsorted(lens[::-1], np.arange(lens[0]), side="right")
-    return order, flat[np.argsort(step, kind="stable")], np.cumsum(active) - active, active
+    begin = np.cumsum(active) - active
+    by_step = np.empty_like(flat)
+    by_step[begin[step] + np.repeat(np.arange(len(lens)), lens)] = flat      # the active ones are a prefix
+    return order, by_step, begin, active
 
 
 def _forward(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
@@ -113,12 +154,13 @@ def _forward(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     steps over all sequences at once (the active ones are a prefix)."""
     order, obs, begin, active = _layout(seqs)
     out = np.zeros(len(order))
+    ones = np.ones(len(model.start))
     a = model.start[None]
     for t, (at, m) in enumerate(zip(begin, active)):
-        e = model.emit[obs[at:at + m]]
-        a = e * a if t == 0 else (a[:m] @ model.trans) * e
-        s = a.sum(1)
-        a /= s[:, None]
+        e = model.emit.take(obs[at:at + m], axis=0)
+        e *= a if t == 0 else a[:m] @ model.trans
+        s = e @ ones
+        a = np.divide(e, s[:, None], out=e)
         out[:m] += np.log(s)
     back = np.empty_like(out)
     back[order] = out
@@ -320,30 +362,25 @@ def score(docs: DataFrame, train: DataFrame, states: int = 8, own_share: int = 3
 
     def scan(batches):
         model, classes, freq = model_b.value, classes_b.value, freq_b.value
-        to_class, n_own = classes.memo(), classes.n_own
-        log_of = {w: float(np.log10(c + 1)) for w, c in freq.items()}
+        known_words = KnownWords(classes, freq)
         for part in C.by_bytes(C.rows_of(batches, "doc_id", "text"), lambda r: len(r[1]), 12 << 20):
             seqs, rows, rare, rare_n, ends = [], [], [], [], [0]
             for doc_id, text in part:
                 w = text.lower().split()
                 w.append(END)
-                ids = np.fromiter(map(to_class.__getitem__, w), dtype=np.int32, count=len(w))
-                known, base, inside = 0, 0.0, 0.0
-                for word, n in Counter(w).items():
-                    lg = log_of.get(word)
-                    if lg is None:
-                        rare.append(word)
-                        rare_n.append(n)
-                        continue
-                    known += n
-                    base += n * lg
-                    if word not in classes.own:
-                        inside += n * lg
-                hashed = ids[ids >= n_own] - n_own
-                inside -= float(bucket_log[hashed].sum())
+                ids, logs = known_words.look_up(w)
+                there = logs >= 0
+                known = int(np.count_nonzero(there))
+                if known < len(w):
+                    few = Counter(itertools.compress(w, ~there))
+                    rare.extend(few)
+                    rare_n.extend(few.values())
+                    logs = np.where(there, logs, 0.0)
+                hashed = ids >= classes.n_own
+                inside = float(logs[hashed].sum()) - float(bucket_log[ids[hashed] - classes.n_own].sum())
                 seqs.append(ids)
                 ends.append(len(rare))
-                rows.append((doc_id, len(w), known, base - len(w) * base_log, inside))
+                rows.append((doc_id, len(w), known, float(logs.sum()) - len(w) * base_log, inside))
             doc_ids, n_tokens, known, base, inside = zip(*rows)
             words = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(rare_n, pa.int32())], ["word", "n"])
             yield pa.RecordBatch.from_arrays(

@@ -323,3 +323,21 @@ def test_language_edge_rows(spark):
 def test_one_row_per_document(spark, name):
     got = QUERIES[name](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_words_are_looked_up_once_whatever_the_bound():
+    classes, freq = lm.Classes([b"a", b"b"], 7), {b"a": 9, b"b": 5, b"rare1": 1}
+    texts = [[b"a", b"rare1", b"a", b"new"], [b"b"], [b"w%d" % i for i in range(20)] + [b"a"], [b"new", b"b"]]
+    for bound in (1, 3, 100):
+        known = lm.KnownWords(classes, freq, bound)
+        for w in texts:
+            ids, logs = known.look_up(w)
+            assert ids.tolist() == [classes.class_of(x) for x in w]
+            assert logs.tolist() == [np.log10(freq[x] + 1) if x in freq else -1.0 for x in w]
+
+
+def test_layout_is_step_by_step():
+    seqs = [np.array(s) for s in ([1, 2], [3], [4, 5, 6], [7, 8, 9])]
+    order, by_step, begin, active = lm._layout(seqs)
+    assert order.tolist() == [2, 3, 0, 1] and begin.tolist() == [0, 4, 7] and active.tolist() == [4, 3, 2]
+    assert by_step.tolist() == [4, 7, 1, 3, 5, 8, 2, 6, 9]
