@@ -4,7 +4,12 @@ Every text becomes its set of word n-grams (64-bit hashes). The hash order is
 the global order; it is cut at fixed pivots into ``FRAGMENTS`` fragments, and
 a set is stored as its piece in each of them. Two sets link when
 ``100 * |x & y| >= percent * |x | y|``. The overlap of a candidate pair is
-counted fragment by fragment (each a small join of its own) and summed.
+counted fragment by fragment (each a small join of its own) and summed; a pair
+that lacks more in its first fragments than whole sets may goes no further.
+
+Texts are read twice. The first pass keeps the head of each set (step 2), the
+second the whole sets of those that stay after it: whole sets of all texts
+would take more room than the texts.
 
 Candidates, none of which can be missed:
 
@@ -41,6 +46,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -82,12 +88,23 @@ def hash_set(text: bytes, n: int, word_hash) -> np.ndarray:
     return np.unique(_join_hashes(ids, min(n, len(words))).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+def _head_size(n: int, percent: int, spare: int) -> int:
+    """Elements in the head of a set of n."""
+    return min(n, n - -(-n * percent // 100) + max(1, n // spare))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
+
+
+def shingle_sets(docs: DataFrame, words: int, head: tuple[int, int] | None = None) -> DataFrame:
     """The columns of ``docs`` but ``text`` (bytes), and n, key, f0..f3: the
     set of each row in its fragments; ``key`` is a digest of the whole set,
-    null if empty."""
+    null if empty. With ``head`` (percent, spare) the column head, the head
+    of the set, instead of the fragments."""
     C.ship_package(docs.sparkSession)
-    names = [f"f{i}" for i in range(FRAGMENTS)]
+    names = ["head"] if head else [f"f{i}" for i in range(FRAGMENTS)]
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):
@@ -95,13 +112,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
         for b in batches:
             for part, texts in C.text_blocks(b, "text", 1 << 20):
                 sets = [hash_set(t, words, memo.__getitem__) for t in texts]
-                cuts = np.array([np.concatenate([[0], np.searchsorted(s, PIVOTS), [len(s)]]) for s in sets])
-                cols = []
-                for i in range(FRAGMENTS):
-                    sizes = cuts[:, i + 1] - cuts[:, i]
-                    values = np.concatenate([s[a:z] for s, a, z in zip(sets, cuts[:, i], cuts[:, i + 1])])
-                    cols.append(pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64())))
+                if head:
+                    cols = [_lists([s[:_head_size(len(s), *head)] for s in sets])]
+                else:
+                    cuts = [[0, *np.searchsorted(s, PIVOTS), len(s)] for s in sets]
+                    cols = [_lists([s[c[i]:c[i + 1]] for s, c in zip(sets, cuts)]) for i in range(FRAGMENTS)]
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array([len(s) for s in sets], pa.int32()),
@@ -124,27 +139,37 @@ def _likely(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(a, b, common): overlaps of pairs of rids, counted in each fragment
-    and summed. ``fragments`` is (rid, fragment, hashes)."""
-    # both joins on (rid, fragment): the fragments are dealt out once for both
-    of_a = fragments.select(F.col("rid").alias("a"), "fragment", F.col("hashes").alias("ha"))
-    of_b = fragments.select(F.col("rid").alias("b"), "fragment", F.col("hashes").alias("hb"))
-    parts = (pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-             .join(of_a, ["a", "fragment"]).join(of_b, ["b", "fragment"])
-             .select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("common")))
-    return parts.groupBy("a", "b").agg(F.sum("common").cast("int").alias("common"))
+def overlaps(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, common): overlaps of pairs (a, b, na, nb) of rids, counted
+    in each fragment and summed. ``fragments`` is (rid, fragment, hashes). A pair
+    goes on to the next fragment only while it can still link."""
+    # linked sets share that much, so of each no more than the rest is missing
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    so_far = pairs.select("a", "b", "na", "nb", *[F.lit(0).alias(c) for c in ("common", "only_a", "only_b")])
+    for i in range(FRAGMENTS):
+        piece = fragments.where(F.col("fragment") == i)
+        so_far = (so_far.join(piece.select(F.col("rid").alias("a"), F.col("hashes").alias("ha")), "a")
+                  .join(piece.select(F.col("rid").alias("b"), F.col("hashes").alias("hb")), "b")
+                  .withColumn("here", F.size(F.array_intersect("ha", "hb")))
+                  .select("a", "b", "na", "nb", (F.col("common") + F.col("here")).alias("common"),
+                          (F.col("only_a") + F.size("ha") - F.col("here")).alias("only_a"),
+                          (F.col("only_b") + F.size("hb") - F.col("here")).alias("only_b"))
+                  .where((F.col("only_a") <= F.col("na") - least) & (F.col("only_b") <= F.col("nb") - least)))
+    return so_far.drop("only_a", "only_b")
 
 
 def _linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def with_group(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def with_group(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", few: bool = False) -> DataFrame:
     """Join members (grp, rid, group_size, ...) with a table of one row for
-    each value of ``keys``, which begin with grp and its group_size. The members
-    of a group are salted into shares of about ``SHARE`` and its row is repeated
-    once for each share, so that no task gets a large group whole."""
+    each value of ``keys``, which begin with grp and its group_size. A table of
+    ``few`` rows is broadcast. Else the members of a group are salted into
+    shares of about ``SHARE`` and its row is repeated once for each share, so
+    that no task gets a large group whole."""
+    if few:
+        return rows.join(F.broadcast(one), keys, how)
     shares = F.ceil(F.col("group_size") / SHARE).cast("int")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), shares).cast("int"))
     repeated = one.withColumn("salt", F.explode(F.sequence(F.lit(0), shares - 1)))
@@ -155,8 +180,9 @@ def groups_of(crowded: DataFrame) -> DataFrame:
     """(grp, rid, n): members of large buckets (grp, e, rid, n) by group. A
     bucket goes to its member that is in the most large buckets, so that the
     buckets of one cluster mostly become one group."""
-    known = crowded.groupBy("rid").agg(F.count("*").alias("seen"))
-    rows = crowded.select("grp", "e", "rid", "n").join(known, "rid")
+    # a set's buckets are fewer than its elements: a list, not a join
+    rows = (crowded.groupBy("rid").agg(F.first("n").alias("n"), F.collect_list(F.struct("grp", "e")).alias("at"))
+            .select("rid", "n", F.size("at").alias("seen"), F.inline("at")))
     lead = rows.groupBy("grp", "e").agg(F.max(F.struct(F.col("seen"), (-F.col("rid")).alias("low"))).alias("lead"))
     return (rows.join(lead, ["grp", "e"]).groupBy((-F.col("lead.low")).alias("grp"), "rid")
             .agg(F.first("n").alias("n")))
@@ -198,18 +224,19 @@ def cores(members: DataFrame, fragments: DataFrame, block: int = 64) -> DataFram
             .agg(F.sort_array(F.collect_list("e")).alias("core")))
 
 
-def differences(members: DataFrame, fragments: DataFrame, percent: int, name: str) -> DataFrame:
+def differences(members: DataFrame, fragments: DataFrame, percent: int, name: str, broadcast_rows: int) -> DataFrame:
     """(grp, group_size, rid, n, slack, diff): of each member, its difference to
     the group's core and its slack, in units of 1 / (2 * (100 + percent))
     elements: two members share enough without their differences if their
     slacks add up to 0 or more, and lack that many shared elements if not."""
     spark = members.sparkSession
     core = C.cut_lineage(cores(members, fragments), spark, f"{name}-cores")
+    few = (core.agg(F.sum(F.size("core") + 1)).first()[0] or 0) <= broadcast_rows
     size = core.groupBy("grp").agg(F.sum(F.size("core")).alias("core_size"))
     core = core.join(size, "grp")
     none = F.array().cast("array<bigint>")
     q = 100 + percent
-    parts = (with_group(members.join(fragments, "rid"), core, ["grp", "group_size", "fragment"], "left")
+    parts = (with_group(members.join(fragments, "rid"), core, ["grp", "group_size", "fragment"], "left", few)
              .withColumn("core", F.coalesce("core", none))
              .select("grp", "group_size", "rid", "n", "core_size", F.size(F.array_intersect("hashes", "core")).alias("common"),
                      F.array_except("hashes", "core").alias("more"),
@@ -224,21 +251,19 @@ def differences(members: DataFrame, fragments: DataFrame, percent: int, name: st
                 .cast("long").alias("slack")))
 
 
-def links(sets: DataFrame, of: DataFrame, percent: int, small: int = 64, small_in_group: int = 512,
+def links(sets: DataFrame, of: DataFrame, pieces, percent: int, small: int = 64, small_in_group: int = 512,
           rounds: int = 4, spare: int = 10, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(a, b): links between distinct sets that give the same components as
-    all links do. ``sets`` is (rid, n, f0..f3), ``of`` the rids to look at,
-    one for each distinct set. Only heads are dealt out, no whole sets."""
+    all links do. ``sets`` is (rid, n, head), ``of`` the rids to look at,
+    one for each distinct set; ``pieces`` gives (rid, fragment, hashes) of the
+    rids in a table. Only heads are dealt out, no whole sets."""
     spark = sets.sparkSession
-    names = [f"f{i}" for i in range(FRAGMENTS)]
     n = F.col("n")
-    more = F.greatest(F.lit(1), F.floor(n / spare))
     least = F.greatest(F.lit(1), F.floor(_need(n, percent) / spare))
-    head = F.slice(F.concat(*names), 1, F.least(n, n - _need(n, percent) + more).cast("int"))
     # copies are few, or else heads are dealt out by rid to leave them out
     copies = sets.where("n > 0").select("rid").join(of, "rid", "left_anti")
     n_copies = sets.where("n > 0").count() - of.count()
-    heads = sets.where("n > 0").select("rid", "n", head.alias("head"))
+    heads = sets.where("n > 0").select("rid", "n", "head")
     heads = (heads.join(F.broadcast(copies), "rid", "left_anti") if n_copies <= broadcast_rows
              else heads.join(of, "rid", "left_semi"))
     rows = heads.select("rid", "n", F.explode("head").alias("e"))
@@ -251,14 +276,9 @@ def links(sets: DataFrame, of: DataFrame, percent: int, small: int = 64, small_i
              .select(F.lit(0).cast("long").alias("grp"), "e", "rid", "n", F.lit(True).alias("open"),
                      F.lit(0).cast("long").alias("slack"), F.lit(0).cast("long").alias("shared")))
     index = C.cut_lineage(index, spark, "join-index")
-    stay = index.select("rid").distinct()
-    # few sets stay; beyond that size they are dealt out by rid instead
-    stay = F.broadcast(stay) if stay.count() <= broadcast_rows else stay
-    fragments = C.cut_lineage(
-        sets.join(stay, "rid", "left_semi")
-        .select("rid", F.posexplode(F.array(*names)).alias("fragment", "hashes")), spark, "join-fragments")
-
-    found = []
+    fragments = pieces(C.cut_lineage(index.select("rid").distinct(), spark, "join-stay"))
+
+    found, asked_pairs = [], []
     for turn in range(rounds):
         most = small if turn == 0 else small_in_group
         buckets = (index.groupBy("grp", "e").agg(F.count("*").alias("size"), F.max("open").alias("any_open"))
@@ -278,16 +298,16 @@ def links(sets: DataFrame, of: DataFrame, percent: int, small: int = 64, small_i
                         & (2 * (100 + percent) * F.least("shared_a", "shared_b") + F.col("slack_a") + F.col("slack_b") >= 0))
                  .groupBy(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
                  .agg(F.first("n_a").alias("na"), F.first("n_b").alias("nb")))
-        pairs = C.cut_lineage(pairs, spark, "join-pairs")
-        found.append(overlaps(pairs, fragments).join(pairs, ["a", "b"])
-                     .where(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
+        asked_pairs.append(C.cut_lineage(pairs, spark, "join-pairs"))
         if last:
             break
         sizes = crowded.groupBy("grp").agg(F.count("*").alias("group_size"))
-        near = C.cut_lineage(differences(crowded.join(sizes, "grp"), fragments, percent, "join"), spark, "join-near")
+        few = 100 * sizes.count() <= broadcast_rows     # a group's levels are some rows' worth
+        near = C.cut_lineage(differences(crowded.join(sizes, "grp"), fragments, percent, "join", broadcast_rows),
+                             spark, "join-near")
         of_group = ["grp", "group_size"]
         best = near.groupBy(of_group).agg(F.max(F.struct("slack", "rid")).alias("best"))
-        near = with_group(near, best, of_group).withColumn("open", F.col("slack") + F.col("best.slack") < 0)
+        near = with_group(near, best, of_group, few=few).withColumn("open", F.col("slack") + F.col("best.slack") < 0)
         closed = near.where((~F.col("open")) & (F.col("rid") != F.col("best.rid")))
         found.append(closed.select(F.least("rid", "best.rid").alias("a"), F.greatest("rid", "best.rid").alias("b")))
         # y can share as many elements with x as they lack only if its
@@ -300,12 +320,12 @@ def links(sets: DataFrame, of: DataFrame, percent: int, small: int = 64, small_i
         partner = F.array_max(F.transform(
             F.filter("levels", lambda y: (y["level"] >= F.floor(-F.col("slack") / unit)) & (F.col("open") | y["open"])),
             lambda y: y["slack"]))
-        asked = (with_group(near, levels, of_group)
+        asked = (with_group(near, levels, of_group, few=few)
                  .withColumn("lacks", F.ceil(-(F.col("slack") + partner) / F.lit(unit)).cast("int"))
                  .where("size(diff) >= lacks"))
         # heads of the differences, in the order of hashes, as in step 2
         spared = asked.groupBy(of_group).agg(F.least(F.min("lacks"), F.lit(4)).alias("spared"))
-        asked = (with_group(asked, spared, of_group)
+        asked = (with_group(asked, spared, of_group, few=few)
                  .select("grp", "rid", "n", "open", "slack", "lacks", "spared",
                          F.explode(F.slice(F.array_sort("diff"), 1, F.size("diff") - F.col("lacks") + F.col("spared")))
                          .alias("e")))
@@ -319,24 +339,31 @@ def links(sets: DataFrame, of: DataFrame, percent: int, small: int = 64, small_i
             # at most: all elements behind the head may be shared
             .select("grp", "e", "rid", "n", "open", "slack",
                     (F.col("shared") + F.col("lacks") - F.col("spared")).alias("shared")), spark, "join-index")
-    out = found[0]
-    for more_links in found[1:]:
-        out = out.unionByName(more_links)
-    return out.distinct()
+    # the sets of all rounds' pairs are dealt out once; several rounds may ask for a pair
+    pairs = functools.reduce(DataFrame.unionByName, asked_pairs).dropDuplicates(["a", "b"])
+    linked = (overlaps(pairs, fragments, percent)
+              .where(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
+    return functools.reduce(DataFrame.unionByName, found, linked).distinct()
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(pairs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(v, c): for each end of the links (a, b), the smallest v of its
     component. Smallest label of the neighbours, then the label's label, until
-    nothing changes; every round is a written table."""
+    nothing changes; every round is a written table. Labels are broadcast if
+    there are few."""
     spark = pairs.sparkSession
-    edges = C.cut_lineage(pairs.select(F.col("a").alias("v"), F.col("b").alias("u"))
-                          .unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("u"))), spark, "cc-edges")
+    edges = C.cut_lineage(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")),
+                                                         F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x"))
+                          .select("x.v", "x.u"), spark, "cc-edges")
     now = C.cut_lineage(edges.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("c")), spark, "cc")
+    few = F.broadcast if now.count() <= broadcast_rows else lambda df: df
     while True:
-        seen = (edges.join(now.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("m")))
-        low = now.join(seen, "v").select("v", "c", F.least("c", "m").alias("m"))
-        up = now.select(F.col("v").alias("m"), F.col("c").alias("mm"))
+        # an end's own label counts with those of its neighbours
+        seen = (edges.join(few(now.select(F.col("v").alias("u"), F.col("c").alias("m"))), "u")
+                .select("v", "m", F.lit(None).cast("long").alias("c"))
+                .unionByName(now.select("v", F.col("c").alias("m"), "c")))
+        low = seen.groupBy("v").agg(F.max("c").alias("c"), F.min("m").alias("m"))
+        up = few(now.select(F.col("v").alias("m"), F.col("c").alias("mm")))
         new = C.cut_lineage(low.join(up, "m").select("v", F.least("m", "mm").alias("c"),
                                                      (F.least("m", "mm") != F.col("c")).alias("moved")), spark, "cc")
         if new.where("moved").isEmpty():
@@ -344,17 +371,54 @@ def components(pairs: DataFrame) -> DataFrame:
         now = new.select("v", "c")
 
 
-def groups(docs: DataFrame, words: int, percent: int, **options) -> tuple[DataFrame, DataFrame]:
-    """(rows, sets): the rows of ``docs`` (doc_id, text bytes, others) with
-    the key of their set, and of each key its component c."""
+def pieces_of(docs: DataFrame, words: int, same: DataFrame, broadcast_rows: int):
+    """For ``links``: the second pass over ``docs`` (doc_id, text, mark), which
+    shingles one row again of each set (key, rid, row) of ``same`` that is asked
+    for. A row is told by its id and its text's hash, and the set by its key."""
+    spark = docs.sparkSession
+    names = [f"f{i}" for i in range(FRAGMENTS)]
+
+    def pieces(rids: DataFrame) -> DataFrame:
+        wanted = rids.count()
+        few = F.broadcast if wanted <= broadcast_rows else lambda df: df
+        # a row of this is some times as long as an id
+        few_rows = F.broadcast if 4 * wanted <= broadcast_rows else lambda df: df
+        of = same.join(few(rids), "rid", "left_semi").select(
+            "rid", F.col("key").alias("of"), F.col("row.mark").alias("of_mark"), F.col("row.doc_id").alias("of_id"))
+        texts = docs.join(few_rows(of), (F.col("mark") == F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+        with C.small_batches(spark):
+            out = C.cut_lineage(
+                shingle_sets(texts.select("rid", "of", "text"), words).where("key = of")
+                .withColumn("nth", F.monotonically_increasing_id())
+                .select("rid", "nth", F.posexplode(F.array(*names)).alias("fragment", "hashes")), spark, "join-fragments")
+        ones = out.where("fragment = 0").groupBy("rid").agg(F.min("nth").alias("nth"), F.count("*").alias("rows"))
+        got, rows = ones.agg(F.count("*"), F.sum("rows")).first()
+        if got != wanted:
+            raise RuntimeError(f"{wanted - got} of {wanted} texts were not found again: the input changed between two reads")
+        if wanted and rows > wanted:        # rows that repeat, id and text: one of them
+            out = C.cut_lineage(out.join(few(ones.select("rid", "nth")), ["rid", "nth"], "left_semi"), spark, "join-fragments")
+        return out.drop("nth")
+
+    return pieces
+
+
+def groups(docs: DataFrame, words: int, percent: int, spare: int = 10, broadcast_rows: int = 1_000_000,
+           **options) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): the rows of ``docs`` (doc_id, text bytes) with the hash of
+    their text (mark) and the key of their set, and of each key its component
+    c. ``docs`` is read twice."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("mark"))
     with C.small_batches(spark):
-        rows = C.cut_lineage(shingle_sets(docs, words).withColumn("rid", F.monotonically_increasing_id()), spark, "join-sets")
+        rows = C.cut_lineage(shingle_sets(docs, words, (percent, spare))
+                             .withColumn("rid", F.monotonically_increasing_id()), spark, "join-sets")
     same = C.cut_lineage(rows.where("key IS NOT NULL").groupBy("key")
-                         .agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc")), spark, "join-same")
-    names = [f"f{i}" for i in range(FRAGMENTS)]
-    whole = components(links(rows.select("rid", "n", *names), same.select("rid"), percent, **options))
-    return rows.drop(*names), (same.join(whole.withColumnRenamed("v", "rid"), "rid", "left")
+                         .agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc"),
+                              F.min(F.struct("mark", "doc_id")).alias("row")), spark, "join-same")
+    found = links(rows.select("rid", "n", "head"), same.select("rid"), pieces_of(docs, words, same, broadcast_rows),
+                  percent, spare=spare, broadcast_rows=broadcast_rows, **options)
+    whole = components(found, broadcast_rows)
+    return rows.drop("head"), (same.drop("row").join(whole.withColumnRenamed("v", "rid"), "rid", "left")
                                .withColumn("c", F.coalesce("c", "rid")))
 
 
@@ -375,8 +439,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_rows:
     without a word all stay. Texts aren't dealt out if the rows to drop are
     few enough to broadcast."""
     spark = docs.sparkSession
-    rows, sets = groups(C.id_and_bytes(docs).withColumn("mark", F.xxhash64(F.col("text").cast("string"))),
-                        words, percent, **options)
+    rows, sets = groups(C.id_and_bytes(docs), words, percent, broadcast_rows=broadcast_rows, **options)
     each = (rows.where("key IS NOT NULL").join(sets.select("key", "c"), "key")
             .groupBy("c", "doc_id", "mark").agg(F.count("*").alias("rows")))
     first = each.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("lead"))

@@ -86,6 +86,63 @@ def test_groups_in_many_shares_equal_brute_force(spark, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, brute_groups(rows, 3, 90)))
 
 
+def test_groups_too_many_to_broadcast_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(join, "SHARE", 5)
+    rows = near_copies(37)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in join.linked_groups(C.id_and_bytes(df), 3, 90, small=4, small_in_group=8,
+                                                broadcast_rows=0).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_groups(rows, 3, 90)))
+
+
+def heard_tables(monkeypatch):
+    tables, cut = {}, C.cut_lineage
+
+    def heard(df, session, what, **options):
+        out = cut(df, session, what, **options)
+        tables.setdefault(what, []).append(out)
+        return out
+
+    monkeypatch.setattr(C, "cut_lineage", heard)
+    return tables
+
+
+def test_whole_sets_are_kept_of_candidates_alone(spark, monkeypatch):
+    tables, rng = heard_tables(monkeypatch), random.Random(12)
+    rows = [(i, " ".join(f"x{rng.randrange(10 ** 9)}" for _ in range(200))) for i in range(300)]
+    rows += [(300 + i, rows[i][1].rsplit(" ", 1)[0]) for i in range(6)]            # near copies of the first six
+    rows += [rows[0], rows[0], (0, rows[0][1].upper())]                            # rows that repeat; a set under one id
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in join.linked_groups(C.id_and_bytes(df), 5, 80, spare=20).collect()]
+    assert sorted(got) == sorted(brute_groups(rows, 5, 80))
+    kept = tables["join-sets"][0]
+    assert not any(c in kept.columns for c in ("f0", "f1", "f2", "f3"))
+    assert kept.agg(F.sum(F.size("head"))).first()[0] < 0.3 * kept.agg(F.sum("n")).first()[0]
+    pieces = tables["join-fragments"][-1]
+    assert pieces.groupBy("rid").count().where(f"count <> {join.FRAGMENTS}").isEmpty()
+    assert pieces.select("rid").distinct().count() == 12
+
+
+def test_pairs_are_dropped_at_the_first_fragments(spark):
+    sets = {1: range(0, 40), 2: range(0, 39), 3: range(100, 140), 4: [*range(0, 30), *range(200, 210)]}
+    fragments = spark.createDataFrame([(r, i, [x for x in s if x % join.FRAGMENTS == i]) for r, s in sets.items()
+                                       for i in range(join.FRAGMENTS)], "rid long, fragment int, hashes array<long>")
+    pairs = spark.createDataFrame([(a, b, len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b],
+                                  "a long, b long, na int, nb int")
+    got = {(r.a, r.b): r.common for r in join.overlaps(pairs, fragments, 80).collect()}
+    assert got == {(1, 2): 39}
+    assert {(r.a, r.b): r.common for r in join.overlaps(pairs, fragments, 50).collect()} == {(1, 2): 39, (1, 4): 30, (2, 4): 30}
+
+
+def test_members_of_large_groups_are_not_joined_with_their_buckets(spark):
+    crowded = spark.createDataFrame([(0, e, r, 9) for e in range(30) for r in range(40 if e < 20 else 20)],
+                                    "grp long, e long, rid long, n int")
+    got = join.groups_of(crowded)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, r, 9) for r in range(40)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_join_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in QUERIES["op5_fragment_join"](spark, SF).collect()]
