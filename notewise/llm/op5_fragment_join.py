@@ -5,7 +5,8 @@ the global order; it is cut at fixed pivots into ``FRAGMENTS`` fragments, and
 a set is stored as its piece in each of them. Two sets link when
 ``100 * |x & y| >= percent * |x | y|``. The overlap of a candidate pair is
 counted fragment by fragment (each a small join of its own) and summed; a pair
-that lacks more in its first fragments than whole sets may goes no further.
+that lacks more in its first fragments than whole sets may goes no further, and
+one whose sets' 256-bit parity marks differ in more bits than that not even there.
 
 Texts are read twice. The first pass keeps the head of each set (step 2), the
 second the whole sets of those that stay after it: whole sets of all texts
@@ -139,6 +140,23 @@ def _likely(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def near_by_parity(pairs: DataFrame, fragments: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """Of pairs (a, b, na, nb), all that link and few others. A set's mark has
+    64 bits a fragment, each turned over by every element that falls on it; two
+    marks differ in no more bits than their sets in elements."""
+    parity = F.expr("aggregate(hashes, 0L, (s, x) -> s ^ shiftleft(1L, cast(x & 63 as int)))")
+    marks = fragments.groupBy("rid").agg(*[F.max(F.when(F.col("fragment") == i, parity)).alias(f"s{i}")
+                                           for i in range(FRAGMENTS)])
+    # a mark is some times as long as an id
+    few = F.broadcast if 4 * fragments.where("fragment = 0").count() <= broadcast_rows else lambda df: df
+    for end in ("a", "b"):
+        pairs = pairs.join(few(marks.select(F.col("rid").alias(end), *[F.col(f"s{i}").alias(f"{end}{i}")
+                                                                       for i in range(FRAGMENTS)])), end)
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(FRAGMENTS)])
+    least = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    return pairs.where(apart <= F.col("na") + F.col("nb") - 2 * least).select("a", "b", "na", "nb")
+
+
 def overlaps(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """(a, b, na, nb, common): overlaps of pairs (a, b, na, nb) of rids, counted
     in each fragment and summed. ``fragments`` is (rid, fragment, hashes). A pair
@@ -341,6 +359,7 @@ def links(sets: DataFrame, of: DataFrame, pieces, percent: int, small: int = 64,
                     (F.col("shared") + F.col("lacks") - F.col("spared")).alias("shared")), spark, "join-index")
     # the sets of all rounds' pairs are dealt out once; several rounds may ask for a pair
     pairs = functools.reduce(DataFrame.unionByName, asked_pairs).dropDuplicates(["a", "b"])
+    pairs = C.cut_lineage(near_by_parity(pairs, fragments, percent, broadcast_rows), spark, "join-near-pairs")
     linked = (overlaps(pairs, fragments, percent)
               .where(_linked(F.col("common"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
     return functools.reduce(DataFrame.unionByName, found, linked).distinct()

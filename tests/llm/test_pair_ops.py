@@ -129,6 +129,9 @@ def test_pairs_are_dropped_at_the_first_fragments(spark):
                                        for i in range(join.FRAGMENTS)], "rid long, fragment int, hashes array<long>")
     pairs = spark.createDataFrame([(a, b, len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b],
                                   "a long, b long, na int, nb int")
+    for rows in (0, 1000):
+        near = {(r.a, r.b) for r in join.near_by_parity(pairs, fragments, 80, rows).collect()}
+        assert near == {(1, 2)}
     got = {(r.a, r.b): r.common for r in join.overlaps(pairs, fragments, 80).collect()}
     assert got == {(1, 2): 39}
     assert {(r.a, r.b): r.common for r in join.overlaps(pairs, fragments, 50).collect()} == {(1, 2): 39, (1, 4): 30, (2, 4): 30}
