@@ -34,6 +34,9 @@ Candidates, none of which can be missed:
    pairs. The others are members with small differences and a known least
    overlap of them: they are indexed by their rarest difference elements (3),
    and 4 repeats on that index. After ``rounds`` rounds what is left is paired.
+   Two members of several groups meet in one: where the largest group of both
+   is the same, nowhere else. Only elements that members with something to find
+   in a group share become rows; a group without such members is left out.
 
 So a large group of near copies costs a comparison with its core for each
 member, not one for each pair, and components come out exact.
@@ -64,6 +67,8 @@ FRAGMENTS = 4
 PIVOTS = np.array([-(1 << 62), 0, 1 << 62], dtype=np.int64)
 #: members of a large group that one task compares with the group's own row
 SHARE = 1024
+#: elements of a large group's heads that are held against each other at once
+SLICE = 1 << 16
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _ADD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -206,6 +211,91 @@ def groups_of(crowded: DataFrame) -> DataFrame:
             .agg(F.first("n").alias("n")))
 
 
+def without_repeats(crowded: DataFrame) -> DataFrame:
+    """(grp, rid, n, group_size, who): ``who`` is alike for members of a group
+    that are together in a larger one, which is the largest of each, and need
+    not meet here. Groups where nobody need meet are left out."""
+    sizes = crowded.groupBy("grp").agg(F.count("*").alias("group_size"))
+    largest = F.max(F.struct("group_size", "grp")).over(Window.partitionBy("rid"))["grp"]
+    members = (crowded.join(sizes, "grp").withColumn("largest", largest)
+               # rids are not negative
+               .withColumn("who", F.when(F.col("largest") == F.col("grp"), F.col("rid")).otherwise(F.bitwise_not("largest"))))
+    some = members.groupBy("grp").agg(F.min("who").alias("low"), F.max("who").alias("high")).where("low < high")
+    return members.join(some.select("grp"), "grp", "left_semi").drop("largest")
+
+
+def shared_elements(heads: DataFrame) -> DataFrame:
+    """(grp, rid, e): of the heads (grp, rid, who, slices, head), the elements
+    that members of a group with another ``who`` hold too. A task first looks
+    among its own members; of what they share it passes on the element alone,
+    so that a frequent one isn't gathered. The rest meets by group and slice."""
+    def met(e, rid, who):
+        """In the order of elements, and whether two of an element's holders differ."""
+        order = np.lexsort((who, e))
+        e, rid, who = e[order], rid[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]])) if len(e) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(e))
+        differ = who[first] != who[ends - 1] if len(e) else np.zeros(0, bool)
+        return e, rid, who, first, np.repeat(differ, ends - first)
+
+    def block(key, rows):
+        grp, slices = key
+        rids, whos, sets = zip(*rows)
+        sizes = [len(x) for x in sets]
+        e, rid, who, first, known = met(np.concatenate(sets), np.repeat(rids, sizes), np.repeat(whos, sizes))
+        out = [(-1 - rids[0] % SLICE, e[known], rid[known], who[:0])]       # a place that doesn't depend on e
+        # of a known element one entry without a holder
+        stay = ~known
+        stay[first] = True
+        e, rid, who = e[stay], np.where(known[stay], -1, rid[stay]), who[stay]
+        at = e % slices
+        order = np.argsort(at, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(at[order])) + 1), len(at)]
+        out += [(at[i[0]], e[i], rid[i], who[i]) for i in (order[x:y] for x, y in zip(cuts, cuts[1:])) if len(i)]
+        out = [x for x in out if len(x[1])]
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([grp] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()),
+                 *(_lists([x[i] for x in out]) for i in (1, 2, 3))], names=["grp", "slice", "e", "rid", "who"])
+
+    def blocks(batches):
+        held: dict = {}
+        for b in batches:
+            sets = b.column("head")
+            for i, (grp, slices, rid, who) in enumerate(C.rows_of([b], "grp", "slices", "rid", "who")):
+                mine = held.setdefault((grp, slices), [])
+                mine.append((rid, who, sets[i].values.to_numpy(zero_copy_only=False)))
+                if len(mine) >= SHARE:
+                    yield from block((grp, slices), held.pop((grp, slices)))
+        for key, rows in held.items():
+            yield from block(key, rows)
+
+    def record(grp, e, rid):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(e), grp), pa.int64()), pa.array(rid, pa.int64()),
+                                           pa.array(e, pa.int64())], names=["grp", "rid", "e"])
+
+    def meet(batches):
+        held: dict = {}
+        for b in batches:
+            lists = [b.column(c) for c in ("e", "rid", "who")]
+            for i, (grp, at) in enumerate(C.rows_of([b], "grp", "slice")):
+                row = [x[i].values.to_numpy(zero_copy_only=False) for x in lists]
+                if at < 0:
+                    yield record(grp, *row[:2])
+                else:
+                    held.setdefault((grp, at), []).append(row)
+        for (grp, _), rows in held.items():
+            e, rid, who, first, known = met(*(np.concatenate(x) for x in zip(*rows)))
+            if len(e):
+                known |= np.repeat(np.logical_or.reduceat(rid < 0, first), np.diff([*first, len(e)]))
+                yield record(grp, e[known & (rid >= 0)], rid[known & (rid >= 0)])
+
+    C.ship_package(heads.sparkSession)
+    packed = heads.select("grp", "rid", "who", "slices", "head").mapInArrow(
+        blocks, "grp bigint, slice bigint, e array<bigint>, rid array<bigint>, who array<bigint>")
+    return packed.repartition("grp", "slice").mapInArrow(meet, "grp bigint, rid bigint, e bigint")
+
+
 def cores(members: DataFrame, fragments: DataFrame, block: int = 64) -> DataFrame:
     """(grp, group_size, fragment, core): in each fragment, the elements that more than
     half of a group hold. ``members`` is (grp, rid, group_size). Members are
@@ -243,7 +333,7 @@ def cores(members: DataFrame, fragments: DataFrame, block: int = 64) -> DataFram
 
 
 def differences(members: DataFrame, fragments: DataFrame, percent: int, name: str, broadcast_rows: int) -> DataFrame:
-    """(grp, group_size, rid, n, slack, diff): of each member, its difference to
+    """(grp, group_size, rid, n, who, slack, diff): of each member, its difference to
     the group's core and its slack, in units of 1 / (2 * (100 + percent))
     elements: two members share enough without their differences if their
     slacks add up to 0 or more, and lack that many shared elements if not."""
@@ -256,15 +346,15 @@ def differences(members: DataFrame, fragments: DataFrame, percent: int, name: st
     q = 100 + percent
     parts = (with_group(members.join(fragments, "rid"), core, ["grp", "group_size", "fragment"], "left", few)
              .withColumn("core", F.coalesce("core", none))
-             .select("grp", "group_size", "rid", "n", "core_size", F.size(F.array_intersect("hashes", "core")).alias("common"),
+             .select("grp", "group_size", "rid", "n", "who", "core_size", F.size(F.array_intersect("hashes", "core")).alias("common"),
                      F.array_except("hashes", "core").alias("more"),
                      # what is lacking is told from what is there by its bits turned over
                      F.transform(F.array_except("core", "hashes"), lambda x: F.bitwise_not(x)).alias("less")))
     # as many entries as fragments
-    return (parts.groupBy("grp", "group_size", "rid", "n").agg(
+    return (parts.groupBy("grp", "group_size", "rid", "n", "who").agg(
         F.sum("common").alias("common"), F.max("core_size").alias("core_size"),
         F.flatten(F.collect_list(F.concat("more", "less"))).alias("diff"))
-        .select("grp", "group_size", "rid", "n", "diff",
+        .select("grp", "group_size", "rid", "n", "who", "diff",
                 (2 * q * F.col("common") - 2 * percent * F.col("n") - q * F.coalesce("core_size", F.lit(0)))
                 .cast("long").alias("slack")))
 
@@ -291,7 +381,7 @@ def links(sets: DataFrame, of: DataFrame, pieces, percent: int, small: int = 64,
              .withColumn("shared", F.count("*").over(of_set))
              .withColumn("rank", F.row_number().over(of_set.orderBy("df", "e")))
              .where((F.col("shared") >= least) & (F.col("rank") <= F.col("shared") - least + 1))
-             .select(F.lit(0).cast("long").alias("grp"), "e", "rid", "n", F.lit(True).alias("open"),
+             .select(F.lit(0).cast("long").alias("grp"), "e", "rid", "n", F.col("rid").alias("who"), F.lit(True).alias("open"),
                      F.lit(0).cast("long").alias("slack"), F.lit(0).cast("long").alias("shared")))
     index = C.cut_lineage(index, spark, "join-index")
     fragments = pieces(C.cut_lineage(index.select("rid").distinct(), spark, "join-stay"))
@@ -307,11 +397,11 @@ def links(sets: DataFrame, of: DataFrame, pieces, percent: int, small: int = 64,
         if not last:
             buckets = buckets.where(F.col("size") <= most)
         some = index.join(buckets.select("grp", "e"), ["grp", "e"])
-        a = some.select("grp", "e", *[F.col(c).alias(f"{c}_a") for c in ("rid", "n", "open", "slack", "shared")])
-        b = some.select(*[F.col(c).alias(f"{c}_b") for c in ("grp", "e", "rid", "n", "open", "slack", "shared")])
+        a = some.select("grp", "e", *[F.col(c).alias(f"{c}_a") for c in ("rid", "n", "who", "open", "slack", "shared")])
+        b = some.select(*[F.col(c).alias(f"{c}_b") for c in ("grp", "e", "rid", "n", "who", "open", "slack", "shared")])
         pairs = (a.join(b, (F.col("grp") == F.col("grp_b")) & (F.col("e") == F.col("e_b"))
                         & (F.col("rid_a") < F.col("rid_b")) & _likely(F.col("n_a"), F.col("n_b"), percent)
-                        & (F.col("open_a") | F.col("open_b"))
+                        & (F.col("open_a") | F.col("open_b")) & (F.col("who_a") != F.col("who_b"))
                         # as many shared elements of the differences as they lack
                         & (2 * (100 + percent) * F.least("shared_a", "shared_b") + F.col("slack_a") + F.col("slack_b") >= 0))
                  .groupBy(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
@@ -319,9 +409,8 @@ def links(sets: DataFrame, of: DataFrame, pieces, percent: int, small: int = 64,
         asked_pairs.append(C.cut_lineage(pairs, spark, "join-pairs"))
         if last:
             break
-        sizes = crowded.groupBy("grp").agg(F.count("*").alias("group_size"))
-        few = 100 * sizes.count() <= broadcast_rows     # a group's levels are some rows' worth
-        near = C.cut_lineage(differences(crowded.join(sizes, "grp"), fragments, percent, "join", broadcast_rows),
+        few = 100 * crowded.select("grp").distinct().count() <= broadcast_rows      # a group's levels are some rows' worth
+        near = C.cut_lineage(differences(without_repeats(crowded), fragments, percent, "join", broadcast_rows),
                              spark, "join-near")
         of_group = ["grp", "group_size"]
         best = near.groupBy(of_group).agg(F.max(F.struct("slack", "rid")).alias("best"))
@@ -342,20 +431,25 @@ def links(sets: DataFrame, of: DataFrame, pieces, percent: int, small: int = 64,
                  .withColumn("lacks", F.ceil(-(F.col("slack") + partner) / F.lit(unit)).cast("int"))
                  .where("size(diff) >= lacks"))
         # heads of the differences, in the order of hashes, as in step 2
-        spared = asked.groupBy(of_group).agg(F.least(F.min("lacks"), F.lit(4)).alias("spared"))
-        asked = (with_group(asked, spared, of_group, few=few)
-                 .select("grp", "rid", "n", "open", "slack", "lacks", "spared",
-                         F.explode(F.slice(F.array_sort("diff"), 1, F.size("diff") - F.col("lacks") + F.col("spared")))
-                         .alias("e")))
-        known = asked.groupBy("grp", "e").agg(F.count("*").alias("df")).where("df > 1")
+        spared = asked.groupBy(of_group).agg(
+            F.least(F.min("lacks"), F.lit(4)).alias("spared"),
+            F.ceil((F.sum(F.size("diff") - F.col("lacks")) + 1) / SLICE).cast("long").alias("slices"))
+        asked = C.cut_lineage(
+            with_group(asked, spared, of_group, few=few)
+            .select("grp", "rid", "n", "who", "open", "slack", "lacks", "spared", "slices",
+                    F.slice(F.array_sort("diff"), 1, F.size("diff") - F.col("lacks") + F.col("spared")).alias("head")),
+            spark, "join-heads")
+        with C.small_batches(spark):
+            held = C.cut_lineage(shared_elements(asked), spark, "join-shared")
+        known = held.groupBy("grp", "e").agg(F.count("*").alias("df"))
         of_set = Window.partitionBy("grp", "rid")
         index = C.cut_lineage(
-            asked.join(known, ["grp", "e"])
+            held.join(known, ["grp", "e"]).join(asked.drop("head", "slices"), ["grp", "rid"])
             .withColumn("shared", F.count("*").over(of_set))
             .withColumn("rank", F.row_number().over(of_set.orderBy("df", "e")))
             .where("shared >= spared AND rank <= shared - spared + 1")
             # at most: all elements behind the head may be shared
-            .select("grp", "e", "rid", "n", "open", "slack",
+            .select("grp", "e", "rid", "n", "who", "open", "slack",
                     (F.col("shared") + F.col("lacks") - F.col("spared")).alias("shared")), spark, "join-index")
     # the sets of all rounds' pairs are dealt out once; several rounds may ask for a pair
     pairs = functools.reduce(DataFrame.unionByName, asked_pairs).dropDuplicates(["a", "b"])

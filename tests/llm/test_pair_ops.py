@@ -146,6 +146,50 @@ def test_members_of_large_groups_are_not_joined_with_their_buckets(spark):
     assert plan.count("Join") == 1
 
 
+@pytest.mark.parametrize("share, width, parts", [(1024, 1 << 16, 1), (3, 5, 1), (2, 7, 5)])
+def test_shared_elements_equal_brute_force(spark, monkeypatch, share, width, parts):
+    monkeypatch.setattr(join, "SHARE", share)
+    monkeypatch.setattr(join, "SLICE", width)
+    rng = random.Random(share)
+    rows = [(g, r, rng.choice([r, r, -9, -10]), g + 1, rng.sample(range(-30, 30), rng.randrange(12)))
+            for g in range(4) for r in range(12)]
+    rows += [(9, r, -5, 3, [1, 2, 3]) for r in range(12)]              # nobody need meet
+    heads = spark.createDataFrame(rows, "grp long, rid long, who long, slices long, head array<long>").repartition(parts)
+    got = [tuple(r) for r in join.shared_elements(heads).collect()]
+    who = {}
+    for g, _, w, _, head in rows:
+        for e in head:
+            who.setdefault((g, e), set()).add(w)
+    assert sorted(got) == sorted((g, r, e) for g, r, _, _, head in rows for e in head if len(who[g, e]) > 1)
+
+
+def test_members_meet_in_one_of_their_groups(spark):
+    groups = {1: range(0, 8), 2: range(0, 5), 3: range(4, 11), 5: [20, 21], 6: [20, 21]}
+    crowded = spark.createDataFrame([(g, r, 9) for g, rids in groups.items() for r in rids], "grp long, rid long, n int")
+    members: dict = {}
+    for m in join.without_repeats(crowded).collect():
+        members.setdefault(m.grp, {})[m.rid] = m.who
+        assert m.group_size == len(groups[m.grp])
+    assert sorted(members) == [1, 3, 6]
+    for g, rids in groups.items():
+        for a in rids:
+            for b in rids:
+                met = [h for h, of in members.items() if a in of and b in of and of[a] != of[b]]
+                assert a == b or len(met) >= 1
+    assert {r for r in groups[3] if members[3][r] == members[3][4]} == {4, 5, 6, 7}
+
+
+def test_elements_that_one_member_holds_make_no_rows(spark, monkeypatch):
+    tables, rows = heard_tables(monkeypatch), near_copies(14)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in join.linked_groups(C.id_and_bytes(df), 3, 90, small=4, small_in_group=8).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, brute_groups(rows, 3, 90)))
+    elements = sum(t.agg(F.sum(F.size("head"))).first()[0] or 0 for t in tables["join-heads"])
+    assert 0 < sum(t.count() for t in tables["join-shared"]) < elements
+    for t in tables["join-shared"]:
+        assert t.groupBy("grp", "e").count().where("count = 1").isEmpty()
+
+
 def test_join_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in QUERIES["op5_fragment_join"](spark, SF).collect()]
